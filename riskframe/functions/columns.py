@@ -84,12 +84,15 @@ def require_columns(df: DataFrame, required: Iterable[str], what: str = "data")
 
 # Output normalisation used by the query catalogue --------------------------
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every float column to ``digits`` (oracle comparison)."""
+    """Round every float column to ``digits`` as ``round(x * 10^d) / 10^d``
+    (the same IEEE steps in any SQL engine, so two engines that computed the
+    same double print the same rounded double; ties round away from zero)."""
     out = []
+    scale = float(10 ** digits)
     for f in df.schema.fields:
         c = col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(c.cast("double"), digits).alias(f.name))
+            out.append((F.round(c.cast("double") * scale, 0) / scale).alias(f.name))
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             out.append(c.cast("long").alias(f.name))
         else:

@@ -45,6 +45,26 @@ def queries() -> dict[str, QueryFn]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
 
+def _wrap(sql: str, doubles: list[str], longs: list[str]) -> str:
+    """Apply the Spark side's output normalisation to the DuckDB twin: doubles
+    as round(x * 1e6) / 1e6, integers widened to BIGINT."""
+    reps = [f'round(CAST("{c}" AS DOUBLE) * CAST(1000000 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS "{c}"'
+            for c in doubles]
+    reps += [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in longs]
+    if not reps:
+        return sql
+    return f"SELECT * REPLACE ({', '.join(reps)}) FROM (\n{sql.strip()}\n) AS _oracle"
+
+
 def oracle_sql() -> dict[str, str]:
     _load_all()
-    return {k: v[1] for k, v in REGISTRY.items() if v[1]}
+    try:
+        from ._schema_hints import HINTS
+    except ImportError:  # before the first generation
+        HINTS = {}
+    out = {}
+    for k, (_, sql) in REGISTRY.items():
+        if sql:
+            d, l = HINTS.get(k, ([], []))
+            out[k] = _wrap(sql, d, l)
+    return out
