@@ -1,7 +1,9 @@
 """Generated by tools/gen_schema_hints.py: (double columns, bigint columns)."""
 
-HINTS = {'boxplot_stats': (['q1', 'median', 'q3', 'iqr', 'whisker_low', 'whisker_high'],
+HINTS = {'best_by_auc': (['roc_auc'], []),
+ 'boxplot_stats': (['q1', 'median', 'q3', 'iqr', 'whisker_low', 'whisker_high'],
                    ['label', 'n', 'outliers']),
+ 'choose_candidate': (['selected_threshold', 'fbeta', 'recall', 'precision', 'f1'], []),
  'class_counts': ([], ['count']),
  'class_counts_segment': ([], ['count']),
  'class_weights': (['weight'], ['label', 'n_c']),
@@ -29,6 +31,7 @@ HINTS = {'boxplot_stats': (['q1', 'median', 'q3', 'iqr', 'whisker_low', 'whisker
  'duplicate_rows': ([], ['duplicate_rows']),
  'duplicate_rows_lineitem': ([], ['duplicate_rows']),
  'fbeta': (['threshold', 'precision', 'recall', 'f2', 'f0_5'], []),
+ 'first_row': (['score'], ['label']),
  'kde': (['x', 'density'], ['label', 'grid_index']),
  'kfold_ordered': ([], ['o_orderkey', 'label', 'fold']),
  'metrics_by_model': (['accuracy',
@@ -40,10 +43,31 @@ HINTS = {'boxplot_stats': (['q1', 'median', 'q3', 'iqr', 'whisker_low', 'whisker
                       ['tn', 'fp', 'fn', 'tp']),
  'missing_cells': ([], ['missing']),
  'quality_report': ([], ['value']),
+ 'rank_models': (['recall', 'roc_auc', 'f1'], ['fn', 'rank']),
+ 'rank_models_recall_auc': (['recall', 'roc_auc', 'f1'], ['rank']),
+ 'recommend_threshold': (['threshold',
+                          'accuracy',
+                          'precision',
+                          'recall',
+                          'f1',
+                          'specificity',
+                          'false_negative_rate',
+                          'roc_auc'],
+                         ['tn', 'fp', 'fn', 'tp']),
+ 'recommend_threshold_by_model': (['threshold',
+                                   'accuracy',
+                                   'precision',
+                                   'recall',
+                                   'f1',
+                                   'specificity',
+                                   'false_negative_rate',
+                                   'roc_auc'],
+                                  ['tn', 'fp', 'fn', 'tp']),
  'roc_auc': (['roc_auc'], []),
  'roc_auc_by_model': (['roc_auc'], []),
  'roc_curve': (['threshold', 'fpr', 'tpr'], []),
  'sample_n': (['score'], ['label']),
+ 'select_threshold_f2': (['selected_threshold', 'fbeta', 'recall', 'precision', 'f1'], []),
  'shape': ([], ['rows', 'columns']),
  'shuffle_rank': ([], ['shuffle_rank']),
  'split_overlap': (['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'], []),
@@ -78,6 +102,7 @@ HINTS = {'boxplot_stats': (['q1', 'median', 'q3', 'iqr', 'whisker_low', 'whisker
                                'false_negative_rate',
                                'roc_auc'],
                               ['tn', 'fp', 'fn', 'tp']),
+ 'top_k': (['p_retailprice'], ['p_partkey']),
  'train_validation_test': ([], ['label']),
  'union_tables': (['score'], ['label']),
  'unpivot_features': (['value'], ['label'])}

@@ -87,19 +87,24 @@ def roc_curve_q(spark, sf_dir):
     return M.roc_curve(labelled(spark, sf_dir), "label", "score")
 
 
-def _sweep_sql(grid, src_sql, src, g=""):
+def sweep_ctes(grid, src, g="", with_auc=True):
+    """CTEs ending in ``sweep``: the brute-force per-threshold metric table."""
     gsel = f"{g}," if g else ""
-    return f"""
-WITH {src_sql}, {_grid_sql(grid)},
+    auc = (f",\n{_AUC_SQL.format(g=gsel, pg=g or '1', src=src)}" if with_auc else "")
+    join = ("JOIN a USING (" + g + ")" if g else ", a") if with_auc else ""
+    return f"""{_grid_sql(grid)},
 cs AS (SELECT {gsel} threshold,
         CAST(count_if(label = 0 AND score < threshold) AS BIGINT) AS tn,
         CAST(count_if(label = 0 AND score >= threshold) AS BIGINT) AS fp,
         CAST(count_if(label = 1 AND score < threshold) AS BIGINT) AS fn,
         CAST(count_if(label = 1 AND score >= threshold) AS BIGINT) AS tp
-      FROM grid, {src} GROUP BY ALL),
-{_AUC_SQL.format(g=gsel, pg=g or '1', src=src)}
-SELECT {gsel} threshold, tn, fp, fn, tp, {_METRICS_SQL}, roc_auc
-FROM cs {"JOIN a USING (" + g + ")" if g else ", a"}"""
+      FROM grid, {src} WHERE label IS NOT NULL AND score IS NOT NULL GROUP BY ALL){auc},
+sweep AS (SELECT {gsel} threshold, tn, fp, fn, tp, {_METRICS_SQL}{", roc_auc" if with_auc else ""}
+          FROM cs {join})"""
+
+
+def _sweep_sql(grid, src_sql, src, g=""):
+    return f"WITH {src_sql}, {sweep_ctes(grid, src, g)}\nSELECT * FROM sweep"
 
 
 @register("threshold_sweep_05", _sweep_sql(arange(*M.GRID_05), LABELLED_SQL, "lab"))
