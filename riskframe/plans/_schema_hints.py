@@ -1,14 +1,19 @@
 """Generated by tools/gen_schema_hints.py: (double columns, bigint columns)."""
 
-HINTS = {'best_by_auc': (['roc_auc'], []),
+HINTS = {'audit_events': ([], []),
+ 'audit_history': ([], ['event_id']),
+ 'best_by_auc': (['roc_auc'], []),
  'boxplot_stats': (['q1', 'median', 'q3', 'iqr', 'whisker_low', 'whisker_high'],
                    ['label', 'n', 'outliers']),
+ 'case_records': (['Malignant_Probability', 'Threshold'], []),
+ 'case_timeline': ([], []),
  'choose_candidate': (['selected_threshold', 'fbeta', 'recall', 'precision', 'f1'], []),
  'class_counts': ([], ['count']),
  'class_counts_segment': ([], ['count']),
  'class_weights': (['weight'], ['label', 'n_c']),
  'clean_target': ([], ['target', 'records']),
  'compare_tables': (['value_a', 'value_b'], []),
+ 'completeness': ([], ['vec_id', 'filled']),
  'confusion_metrics': (['accuracy',
                         'precision',
                         'recall',
@@ -28,12 +33,17 @@ HINTS = {'best_by_auc': (['roc_auc'], []),
                 []),
  'decode_label': ([], ['records']),
  'describe_features': (['mean', 'std', 'min', 'p25', 'p50', 'p75', 'max'], ['count']),
+ 'display_fields': (['bar_pct'], []),
  'duplicate_rows': ([], ['duplicate_rows']),
  'duplicate_rows_lineitem': ([], ['duplicate_rows']),
  'fbeta': (['threshold', 'precision', 'recall', 'f2', 'f0_5'], []),
+ 'feature_labels': ([], ['p_partkey']),
+ 'feedback_agreement': (['Malignant_Probability'], []),
+ 'feedback_rejects': ([], []),
  'first_row': (['score'], ['label']),
  'kde': (['x', 'density'], ['label', 'grid_index']),
  'kfold_ordered': ([], ['o_orderkey', 'label', 'fold']),
+ 'latest_prediction': (['value'], ['user_id', 'event_id']),
  'metrics_by_model': (['accuracy',
                        'precision',
                        'recall',
@@ -63,10 +73,16 @@ HINTS = {'best_by_auc': (['roc_auc'], []),
                                    'false_negative_rate',
                                    'roc_auc'],
                                   ['tn', 'fp', 'fn', 'tp']),
+ 'report_text': ([], []),
+ 'request_rejects': ([], ['vec_id']),
+ 'request_valid': ([], ['vec_id', 'n_features']),
+ 'response_json': ([], []),
+ 'risk_bands': ([], ['cases']),
  'roc_auc': (['roc_auc'], []),
  'roc_auc_by_model': (['roc_auc'], []),
  'roc_curve': (['threshold', 'fpr', 'tpr'], []),
  'sample_n': (['score'], ['label']),
+ 'score_cases': (['probability', 'probability_pct', 'threshold'], []),
  'select_threshold_f2': (['selected_threshold', 'fbeta', 'recall', 'precision', 'f1'], []),
  'shape': ([], ['rows', 'columns']),
  'shuffle_rank': ([], ['shuffle_rank']),
