@@ -43,6 +43,7 @@ HINTS = {'audit_events': ([], []),
  'first_row': (['score'], ['label']),
  'kde': (['x', 'density'], ['label', 'grid_index']),
  'kfold_ordered': ([], ['o_orderkey', 'label', 'fold']),
+ 'knn_classify': (['probability'], ['vec_id', 'predicted']),
  'latest_prediction': (['value'], ['user_id', 'event_id']),
  'metrics_by_model': (['accuracy',
                        'precision',
@@ -88,6 +89,7 @@ HINTS = {'audit_events': ([], []),
  'shuffle_rank': ([], ['shuffle_rank']),
  'split_overlap': (['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'], []),
  'split_report': ([], ['records', 'positives', 'negatives']),
+ 'standardise': (['l_quantity_z', 'l_extendedprice_z', 'l_discount_z', 'l_tax_z'], []),
  'stratified_holdout': ([], ['label']),
  'stratified_kfold': ([], ['label', 'fold']),
  'target_correlations': (['correlation_with_target'], []),

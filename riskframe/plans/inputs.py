@@ -69,3 +69,11 @@ SCORED_MODELS_SQL = "sm AS (" + " UNION ALL ".join(
     f"SELECT '{m}' AS model, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS case_key, "
     f"CAST(l_returnflag = 'R' AS INTEGER) AS label, CAST({e} AS DOUBLE) AS score FROM lineitem"
     for m, e in MODEL_SCORES.items()) + ")"
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled lineitem with a planted label that is a known function of two
+    features (discount*10 + tax*10 > 0.9), for model-recovery queries."""
+    lab = labelled(spark, sf_dir)
+    return lab.withColumn("label", ((F.col("l_discount") * 10 + F.col("l_tax") * 10) > 0.9)
+                          .cast("int"))

@@ -1,5 +1,145 @@
-"""Queries (filled in per build step)."""
+"""Model queries (build step 7). Model fits are not SQL-expressible and are
+registered without a twin (rows-only check) — they are covered by
+planted-signal tests; standardisation and kNN have exact twins."""
 
 from __future__ import annotations
 
-from .catalog import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..operators import metrics as M
+from ..operators import models as ML
+from ..operators import sampling as SM
+from ..operators import select as SEL
+from .catalog import register
+from .inputs import FEATURES, LABELLED_SQL, planted, table
+from .q_sampling import _holdout_sql
+
+
+def _split(spark, sf_dir):
+    lab = planted(spark, sf_dir)
+    return SM.stratified_holdout(lab, "label", 0.2, "case_key", 42)
+
+
+_STD_SQL = f"""
+WITH {LABELLED_SQL}, k AS (SELECT case_key, label FROM lab), {_holdout_sql('k', 0.2, '42', 'h')},
+j AS (SELECT h.split, lab.* FROM h JOIN lab USING (case_key)),
+st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in FEATURES)} FROM j WHERE split = 'train')
+SELECT case_key, split, {', '.join(f'({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END AS {c}_z' for c in FEATURES)}
+FROM j, st"""
+
+
+@register("standardise", _STD_SQL)
+def standardise_q(spark, sf_dir):
+    """Z-scores with mean / population std fitted on the training split only."""
+    from .inputs import labelled
+    s = SM.stratified_holdout(labelled(spark, sf_dir), "label", 0.2, "case_key", 42)
+    z = ML.standardise(s.where(F.col("split") == "train"), s, FEATURES)
+    return z.select("case_key", "split", *[c + "_z" for c in FEATURES])
+
+
+_KNN_SQL = """
+WITH e AS (SELECT vec_id, label, embedding, CAST(vec_id AS VARCHAR) AS case_key FROM embeddings),
+k AS (SELECT case_key, label FROM e), {hold},
+tr AS (SELECT e.* FROM e JOIN h USING (case_key) WHERE split = 'train'),
+te AS (SELECT e.* FROM e JOIN h USING (case_key) WHERE split = 'test'),
+d AS (SELECT te.vec_id AS qid, tr.vec_id AS tid, tr.label AS tl,
+        list_reduce(list_transform(list_zip(tr.embedding, te.embedding),
+          lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))),
+          lambda a, b: a + b, 0.0) AS dist FROM te, tr),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS r FROM d) WHERE r <= 5),
+v AS (SELECT qid, tl, count(*) AS votes FROM nn GROUP BY qid, tl),
+b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, tl ASC) AS r FROM v)
+SELECT qid AS vec_id, tl AS predicted, votes / 5.0 AS probability FROM b WHERE r = 1"""
+
+
+@register("knn_classify", _KNN_SQL.format(hold=_holdout_sql("k", 0.2, "42", "h")))
+def knn_classify_q(spark, sf_dir):
+    """Exact 5-NN vote of the embeddings test split against the
+    training split (stratified by class, md5 order)."""
+    e = table(spark, sf_dir, "embeddings").withColumn("case_key", F.col("vec_id").cast("string"))
+    s = SM.stratified_holdout(e, "label", 0.2, "case_key", 42)
+    return ML.knn_classify(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"),
+                           5, "vec_id", "embedding", "label")
+
+
+@register("logistic_coefficients")
+def logistic_coefficients_q(spark, sf_dir):
+    """Balanced L2 logistic regression on the planted label; coefficients."""
+    s = _split(spark, sf_dir)
+    model = ML.fit_logistic(s.where(F.col("split") == "train"), FEATURES, "label", C=1.0)
+    return spark.createDataFrame(ML.coefficients(model, FEATURES), "term string, value double")
+
+
+@register("tree_importance")
+def tree_importance_q(spark, sf_dir):
+    """Depth-5 balanced tree; impurity importance per feature."""
+    s = _split(spark, sf_dir)
+    model = ML.fit_tree(s.where(F.col("split") == "train"), FEATURES, "label", 5)
+    return ML.feature_importance(spark, model, FEATURES)
+
+
+@register("forest_importance")
+def forest_importance_q(spark, sf_dir):
+    """200-tree forest (the importance study's size); importance desc."""
+    s = _split(spark, sf_dir)
+    model = ML.fit_forest(s.where(F.col("split") == "train"), FEATURES, "label", 200,
+                          balanced=False)
+    return ML.feature_importance(spark, model, FEATURES)
+
+
+@register("evaluate_models")
+def evaluate_models_q(spark, sf_dir):
+    """J11+G1: fit logistic, tree and forest on the training split, score the
+    test split into one long table, metrics and ROC-AUC per model, ranked
+    recall-first."""
+    s = _split(spark, sf_dir)
+    train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+    fitted = {
+        "logistic_regression": ML.fit_logistic(train, FEATURES),
+        "decision_tree": ML.fit_tree(train, FEATURES),
+        "random_forest": ML.fit_forest(train, FEATURES, n_trees=50),
+    }
+    long = None
+    for name, model in fitted.items():
+        sc = ML.positive_score(model, test, "score").select(
+            F.lit(name).alias("model"), "case_key", "label", "score")
+        long = sc if long is None else long.unionByName(sc)
+    m = M.threshold_metrics(long, "label", "score", 0.5, by=["model"])
+    m = m.join(M.roc_auc(long, "label", "score", by=["model"]), "model")
+    return SEL.rank_models(m, SEL.ORDER_RECALL_FN)
+
+
+@register("cross_validate")
+def cross_validate_q(spark, sf_dir):
+    """J8+E17: 5 shuffled stratified folds, logistic and tree per fold,
+    metrics per (model, fold), then mean / population std per model."""
+    lab = planted(spark, sf_dir)
+    folds = SM.stratified_kfold(lab, "label", 5, "case_key", 42)
+    per = ML.cross_validate(folds, {"logistic_regression": lambda d: ML.fit_logistic(d, FEATURES),
+                                    "decision_tree": lambda d: ML.fit_tree(d, FEATURES)})
+    return M.cv_summary(per, ["accuracy", "precision", "recall", "f1", "roc_auc"], by=["model"])
+
+
+@register("grid_search")
+def grid_search_q(spark, sf_dir):
+    """Logistic regression regParam grid with 5 ordered stratified folds,
+    exact ROC-AUC per setting (CrossValidator with our fold column)."""
+    lab = planted(spark, sf_dir).withColumn("key", F.xxhash64("case_key"))
+    folds = SM.kfold_ordered(lab, "label", 5, "key")
+    grid = [{"regParam": r} for r in (1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0)]
+    _, table_ = ML.grid_search(folds, FEATURES, "label", "logistic", grid)
+    return table_
+
+
+@register("calibrated_svm")
+def calibrated_svm_q(spark, sf_dir):
+    """J3+J10: RBF SVM approximated with random Fourier features, sigmoid-
+    calibrated over 5 folds; metrics of the test split at 0.5."""
+    s = _split(spark, sf_dir)
+    train = SM.kfold_ordered(s.where(F.col("split") == "train")
+                             .withColumn("key", F.xxhash64("case_key")), "label", 5, "key")
+    scorer = ML.calibrate_sigmoid(train, lambda d: ML.fit_svm(d, FEATURES, n_components=100,
+                                                              max_iter=50))
+    scored = scorer(s.where(F.col("split") == "test")).withColumn("_g", F.lit(1))
+    m = M.threshold_metrics(scored, "label", "probability", 0.5, by=["_g"])
+    return m.join(M.roc_auc(scored, "label", "probability", by=["_g"]), "_g").drop("_g")
