@@ -92,7 +92,9 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append((F.round(c.cast("double") * scale, 0) / scale).alias(f.name))
+            r = F.round(c.cast("double") * scale, 0) / scale
+            # -0.0 prints differently from 0.0: fold it into 0.0
+            out.append(F.when(r == 0, F.lit(0.0)).otherwise(r).alias(f.name))
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             out.append(c.cast("long").alias(f.name))
         else:

@@ -36,15 +36,18 @@ HINTS = {'audit_events': ([], []),
  'display_fields': (['bar_pct'], []),
  'duplicate_rows': ([], ['duplicate_rows']),
  'duplicate_rows_lineitem': ([], ['duplicate_rows']),
+ 'factor_bars': (['bar_pct'], []),
  'fbeta': (['threshold', 'precision', 'recall', 'f2', 'f0_5'], []),
  'feature_labels': ([], ['p_partkey']),
  'feedback_agreement': (['Malignant_Probability'], []),
  'feedback_rejects': ([], []),
  'first_row': (['score'], ['label']),
+ 'global_importance': (['mean_abs_shap'], []),
  'kde': (['x', 'density'], ['label', 'grid_index']),
  'kfold_ordered': ([], ['o_orderkey', 'label', 'fold']),
  'knn_classify': (['probability'], ['vec_id', 'predicted']),
  'latest_prediction': (['value'], ['user_id', 'event_id']),
+ 'local_prediction': (['malignant_probability'], []),
  'metrics_by_model': (['accuracy',
                        'precision',
                        'recall',
@@ -53,6 +56,7 @@ HINTS = {'audit_events': ([], []),
                        'false_negative_rate'],
                       ['tn', 'fp', 'fn', 'tp']),
  'missing_cells': ([], ['missing']),
+ 'permutation_shap': (['value', 'shap_value'], []),
  'quality_report': ([], ['value']),
  'rank_models': (['recall', 'roc_auc', 'f1'], ['fn', 'rank']),
  'rank_models_recall_auc': (['recall', 'roc_auc', 'f1'], ['rank']),
@@ -120,6 +124,7 @@ HINTS = {'audit_events': ([], []),
                                'false_negative_rate',
                                'roc_auc'],
                               ['tn', 'fp', 'fn', 'tp']),
+ 'top_factors': (['value', 'shap_value'], ['rank']),
  'top_k': (['p_retailprice'], ['p_partkey']),
  'train_validation_test': ([], ['label']),
  'union_tables': (['score'], ['label']),

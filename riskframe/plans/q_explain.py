@@ -1,5 +1,95 @@
-"""Queries (filled in per build step)."""
+"""Explanation queries (build step 8). The scorer is additive
+(f = (2 q + 1000 d + 500 t) / 260), so the exact Shapley value is the closed
+form w_j (x_j - mean background x_j) and the DuckDB twin computes that; the
+Spark side runs the full permutation algorithm. Explained rows and
+background are the reference's samples: 20 test rows and 40 training rows
+(md5 order)."""
 
 from __future__ import annotations
 
-from .catalog import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions.columns import round_doubles  # noqa: F401
+from ..operators import explain as X
+from ..operators import sampling as SM
+from ..operators import scoring as SC
+from .catalog import register
+from .inputs import FEATURES, LABELLED_SQL, labelled
+from .q_sampling import _holdout_sql
+
+WEIGHTS = {"l_quantity": 2 / 260.0, "l_extendedprice": 0.0, "l_discount": 1000 / 260.0,
+           "l_tax": 500 / 260.0}
+_EXPR = F.expr("(l_quantity * 2 + l_discount * 1000 + l_tax * 500) / 260.0")
+
+
+def _parts(spark, sf_dir):
+    lab = labelled(spark, sf_dir)
+    s = SM.stratified_holdout(lab, "label", 0.2, "case_key", 42)
+    explained = SM.sample_n(s.where(F.col("split") == "test"), X.EXPLAINED_REPORT, "case_key", 7)
+    background = SM.sample_n(s.where(F.col("split") == "train"), X.BACKGROUND_REPORT, "case_key", 42)
+    return explained, background
+
+
+def _shap(spark, sf_dir):
+    explained, background = _parts(spark, sf_dir)
+    return X.permutation_shap(explained, background, SC.expression_scorer(_EXPR), FEATURES,
+                              "case_key", n_perm=8)
+
+
+_BASE_SQL = f"""
+WITH {LABELLED_SQL}, k AS (SELECT case_key, label FROM lab), {_holdout_sql('k', 0.2, '42', 'h')},
+j AS (SELECT h.split, lab.* FROM h JOIN lab USING (case_key)),
+ex AS (SELECT * FROM j WHERE split = 'test' ORDER BY md5(concat_ws('|', '7', case_key)), case_key LIMIT 20),
+bg AS (SELECT * FROM j WHERE split = 'train' ORDER BY md5(concat_ws('|', '42', case_key)), case_key LIMIT 40),
+bm AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in FEATURES)} FROM bg),
+sh AS ({' UNION ALL '.join(f"SELECT case_key, '{c}' AS feature, CAST({c} AS DOUBLE) AS value, {WEIGHTS[c]!r} * ({c} - m_{c}) AS shap_value FROM ex, bm" for c in FEATURES)})"""
+
+
+@register("permutation_shap", _BASE_SQL + "\nSELECT case_key, feature, value, shap_value FROM sh")
+def permutation_shap_q(spark, sf_dir):
+    """Permutation Shapley values (8 orders, 40 background rows) of
+    20 explained test rows."""
+    return _shap(spark, sf_dir).select("case_key", "feature", "value", "shap_value")
+
+
+@register("global_importance", _BASE_SQL + """
+SELECT feature, avg(abs(shap_value)) AS mean_abs_shap FROM sh GROUP BY feature""")
+def global_importance_q(spark, sf_dir):
+    """Mean |shap| per feature over the explained rows."""
+    return X.global_importance(_shap(spark, sf_dir))
+
+
+@register("top_factors", _BASE_SQL + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY abs(shap_value) DESC, feature) AS rank FROM sh)
+SELECT case_key, rank, feature, round_even(value, 5) AS value, round_even(shap_value, 5) AS shap_value,
+       CASE WHEN shap_value > 0 THEN 'increases malignant risk' ELSE 'reduces malignant risk' END AS direction
+FROM r WHERE rank <= 5""")
+def top_factors_q(spark, sf_dir):
+    """Top-5 factors per explained case with direction."""
+    return X.top_factors(_shap(spark, sf_dir), "case_key", 5)
+
+
+@register("factor_bars", _BASE_SQL + """
+SELECT case_key, feature,
+  array_to_string(list_transform(string_split(feature, ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS label,
+  least(abs(shap_value) / greatest(max(abs(shap_value)) OVER (PARTITION BY case_key), 1e-6) * 100, 100.0) AS bar_pct
+FROM sh""")
+def factor_bars_q(spark, sf_dir):
+    """Normalised bar widths of the factors of each case."""
+    return X.factor_bars(_shap(spark, sf_dir), "case_key")
+
+
+@register("local_prediction", f"""
+WITH {LABELLED_SQL}, k AS (SELECT case_key, label FROM lab), {_holdout_sql('k', 0.2, '42', 'h')},
+j AS (SELECT h.split, lab.* FROM h JOIN lab USING (case_key)),
+ex AS (SELECT * FROM j WHERE split = 'test' ORDER BY md5(concat_ws('|', '7', case_key)), case_key LIMIT 20)
+SELECT case_key, CASE WHEN label = 1 THEN 'Malignant' WHEN label = 0 THEN 'Benign' END AS actual_label,
+  CASE WHEN (l_quantity * 2 + l_discount * 1000 + l_tax * 500) / 260.0 >= 0.5 THEN 'Malignant' ELSE 'Benign' END AS predicted_label,
+  (l_quantity * 2 + l_discount * 1000 + l_tax * 500) / 260.0 AS malignant_probability FROM ex""")
+def local_prediction_q(spark, sf_dir):
+    """Actual label (joined by key), label at 0.5 and probability of
+    the explained rows."""
+    explained, _ = _parts(spark, sf_dir)
+    labels = labelled(spark, sf_dir).select("case_key", "label")
+    return X.local_prediction(explained.drop("label"), SC.expression_scorer(_EXPR), labels,
+                              "case_key", "label", 0.5)
