@@ -206,7 +206,13 @@ def calibrate_sigmoid(df: DataFrame, fit_fn, label: str = "label", folds: int =
                       fold_col: str = "fold", parallelism: int = 4):
     """Per fold k: fit on the other folds, Platt-scale the fold's decision
     values; the calibrated probability is the mean over the k (model, a, b).
-    Returns a scorer ``DataFrame -> DataFrame`` adding ``probability``."""
+    Returns a scorer ``DataFrame -> DataFrame`` adding ``probability``.
+
+    The training rows are checkpointed once (shared folder) so the 2k
+    iterative fits do not re-run the split/fold lineage."""
+    from ..session import cut_lineage
+    df = cut_lineage(df)
+
     def one(k):
         model = fit_fn(df.where(F.col(fold_col) != k))
         held = positive_score(model, df.where(F.col(fold_col) == k), "raw")
@@ -217,15 +223,19 @@ def calibrate_sigmoid(df: DataFrame, fit_fn, label: str = "label", folds: int =
         parts = list(pool.map(one, range(folds)))
 
     def scorer(d: DataFrame) -> DataFrame:
-        out = d
+        # Each fold model scores the same rows separately (narrow projections,
+        # no giant fused expression); the k probabilities are joined back on a
+        # row id and averaged.
+        base = d.withColumn("_rid", F.monotonically_increasing_id())
+        base = cut_lineage(base)
         acc = None
         for i, (model, a, b) in enumerate(parts):
-            s = positive_score(model, out, f"_raw{i}")
-            out = s
-            p = 1.0 / (1.0 + F.exp(-(F.col(f"_raw{i}") * a + b)))
-            acc = p if acc is None else acc + p
-        return out.withColumn("probability", acc / len(parts)).drop(
-            *[f"_raw{i}" for i in range(len(parts))])
+            s = positive_score(model, base, "_raw").select(
+                "_rid", (1.0 / (1.0 + F.exp(-(F.col("_raw") * a + b)))).alias(f"_p{i}"))
+            acc = s if acc is None else acc.join(s, "_rid")
+        prob = sum((F.col(f"_p{i}") for i in range(len(parts))), F.lit(0.0)) / len(parts)
+        return base.join(acc.select("_rid", prob.alias("probability")), "_rid").drop("_rid")
+    scorer.parts = parts  # (fold model, a, b) per fold, for persistence
     return scorer
 
 

@@ -143,3 +143,51 @@ def calibrated_svm_q(spark, sf_dir):
     scored = scorer(s.where(F.col("split") == "test")).withColumn("_g", F.lit(1))
     m = M.threshold_metrics(scored, "label", "probability", 0.5, by=["_g"])
     return m.join(M.roc_auc(scored, "label", "probability", by=["_g"]), "_g").drop("_g")
+
+
+def _svm_small(d):
+    """RBF SVM approximation used inside experiments (50 Fourier features)."""
+    return ML.fit_svm(d, FEATURES, n_components=50, max_iter=30)
+
+
+@register("synthesise")
+def synthesise_q(spark, sf_dir):
+    """1000 Gaussian-copula rows fitted on the training split only."""
+    from ..operators import synth as SY
+    s = _split(spark, sf_dir)
+    train = s.where(F.col("split") == "train").select(*FEATURES, "label")
+    return SY.synthesise(spark, train, FEATURES, 1000, "label", 42)
+
+
+@register("synthetic_fidelity")
+def synthetic_fidelity_q(spark, sf_dir):
+    """E10 on real training rows vs 1000 synthetic rows (describe, shape,
+    missing, duplicates side by side)."""
+    from ..operators import profile as P
+    from ..operators import synth as SY
+    s = _split(spark, sf_dir)
+    train = s.where(F.col("split") == "train").select(*FEATURES, "label")
+    syn = SY.synthesise(spark, train, FEATURES, 1000, "label", 42).drop("synthetic_id")
+    return P.compare_tables(train, syn, FEATURES)
+
+
+@register("augmentation_experiment")
+def augmentation_experiment_q(spark, sf_dir):
+    """Real-only vs augmented calibrated SVM, F2 threshold on
+    validation, choice on validation, both evaluated on the test split."""
+    from .experiments import augmentation_experiment
+    lab = planted(spark, sf_dir).select("case_key", "label", *FEATURES)
+    return augmentation_experiment(spark, lab, FEATURES, "label", "case_key", _svm_small, 1000)
+
+
+@register("training_run")
+def training_run_q(spark, sf_dir):
+    """Validate, clean target, calibrated fit, fixed-threshold metrics,
+    versioned model/threshold and run log in the shared checkpoint folder."""
+    from ..session import scratch_path
+    from .experiments import evaluate_training_run
+    s = _split(spark, sf_dir).select("case_key", "label", "split", *FEATURES)
+    return evaluate_training_run(spark, s.where(F.col("split") == "train").drop("split"),
+                                 s.where(F.col("split") == "test").drop("split"),
+                                 FEATURES, "label", "case_key", _svm_small,
+                                 scratch_path(spark, "training-run"))
