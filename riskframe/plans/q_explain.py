@@ -19,7 +19,10 @@ from .q_sampling import _holdout_sql
 
 WEIGHTS = {"l_quantity": 2 / 260.0, "l_extendedprice": 0.0, "l_discount": 1000 / 260.0,
            "l_tax": 500 / 260.0}
-_EXPR = F.expr("(l_quantity * 2 + l_discount * 1000 + l_tax * 500) / 260.0")
+
+
+def _expr():
+    return F.expr("(l_quantity * 2 + l_discount * 1000 + l_tax * 500) / 260.0")
 
 
 def _parts(spark, sf_dir):
@@ -32,7 +35,7 @@ def _parts(spark, sf_dir):
 
 def _shap(spark, sf_dir):
     explained, background = _parts(spark, sf_dir)
-    return X.permutation_shap(explained, background, SC.expression_scorer(_EXPR), FEATURES,
+    return X.permutation_shap(explained, background, SC.expression_scorer(_expr()), FEATURES,
                               "case_key", n_perm=8)
 
 
@@ -91,5 +94,5 @@ def local_prediction_q(spark, sf_dir):
     the explained rows."""
     explained, _ = _parts(spark, sf_dir)
     labels = labelled(spark, sf_dir).select("case_key", "label")
-    return X.local_prediction(explained.drop("label"), SC.expression_scorer(_EXPR), labels,
+    return X.local_prediction(explained.drop("label"), SC.expression_scorer(_expr()), labels,
                               "case_key", "label", 0.5)
