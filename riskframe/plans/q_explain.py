@@ -40,8 +40,7 @@ def _shap(spark, sf_dir):
 
 
 _BASE_SQL = f"""
-WITH {LABELLED_SQL}, k AS (SELECT case_key, label FROM lab), {_holdout_sql('k', 0.2, '42', 'h')},
-j AS (SELECT h.split, lab.* FROM h JOIN lab USING (case_key)),
+WITH {LABELLED_SQL}, {_holdout_sql('lab', 0.2, '42', 'j')},
 ex AS (SELECT * FROM j WHERE split = 'test' ORDER BY md5(concat_ws('|', '7', case_key)), case_key LIMIT 20),
 bg AS (SELECT * FROM j WHERE split = 'train' ORDER BY md5(concat_ws('|', '42', case_key)), case_key LIMIT 40),
 bm AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in FEATURES)} FROM bg),
@@ -83,8 +82,7 @@ def factor_bars_q(spark, sf_dir):
 
 
 @register("local_prediction", f"""
-WITH {LABELLED_SQL}, k AS (SELECT case_key, label FROM lab), {_holdout_sql('k', 0.2, '42', 'h')},
-j AS (SELECT h.split, lab.* FROM h JOIN lab USING (case_key)),
+WITH {LABELLED_SQL}, {_holdout_sql('lab', 0.2, '42', 'j')},
 ex AS (SELECT * FROM j WHERE split = 'test' ORDER BY md5(concat_ws('|', '7', case_key)), case_key LIMIT 20)
 SELECT case_key, CASE WHEN label = 1 THEN 'Malignant' WHEN label = 0 THEN 'Benign' END AS actual_label,
   CASE WHEN (l_quantity * 2 + l_discount * 1000 + l_tax * 500) / 260.0 >= 0.5 THEN 'Malignant' ELSE 'Benign' END AS predicted_label,

@@ -21,8 +21,7 @@ def _split(spark, sf_dir):
 
 
 _STD_SQL = f"""
-WITH {LABELLED_SQL}, k AS (SELECT case_key, label FROM lab), {_holdout_sql('k', 0.2, '42', 'h')},
-j AS (SELECT h.split, lab.* FROM h JOIN lab USING (case_key)),
+WITH {LABELLED_SQL}, {_holdout_sql('lab', 0.2, '42', 'j')},
 st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in FEATURES)} FROM j WHERE split = 'train')
 SELECT case_key, split, {', '.join(f'({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END AS {c}_z' for c in FEATURES)}
 FROM j, st"""

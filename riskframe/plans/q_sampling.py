@@ -68,7 +68,7 @@ def train_validation_test_q(spark, sf_dir):
     return SM.train_validation_test(lab, "label", 0.2, 0.2, "case_key", 42)
 
 
-_KFOLD_SQL = """f AS (SELECT case_key, label, CAST((row_number() OVER (PARTITION BY label
+_KFOLD_SQL = """f AS (SELECT *, CAST((row_number() OVER (PARTITION BY label
         ORDER BY md5(concat_ws('|', '42', case_key)), case_key) - 1) % 5 AS BIGINT) AS fold FROM lab)"""
 
 
@@ -83,8 +83,7 @@ def stratified_kfold_q(spark, sf_dir):
 
 @register("cv_summary", f"""
 WITH {LABELLED_SQL}, {_KFOLD_SQL},
-j AS (SELECT f.fold, lab.* FROM f JOIN lab USING (case_key)),
-c AS (SELECT fold, {_CONF_SQL.format(t='0.5')} FROM j GROUP BY fold),
+c AS (SELECT fold, {_CONF_SQL.format(t='0.5')} FROM f GROUP BY fold),
 m AS (SELECT fold, {_METRICS_SQL} FROM c)
 SELECT avg(accuracy) AS accuracy_mean, stddev_pop(accuracy) AS accuracy_std,
        avg(precision) AS precision_mean, stddev_pop(precision) AS precision_std,
@@ -157,8 +156,7 @@ def union_tables_q(spark, sf_dir):
 
 
 @register("split_overlap", f"""
-WITH {LABELLED_SQL}, {_KEYED}, {_holdout_sql('k', 0.2, '42', 'h')},
-j AS (SELECT h.split, lab.* FROM h JOIN lab USING (case_key))
+WITH {LABELLED_SQL}, {_holdout_sql('lab', 0.2, '42', 'j')}
 SELECT {', '.join(FEATURES)} FROM j WHERE split = 'train'
 INTERSECT SELECT {', '.join(FEATURES)} FROM j WHERE split = 'test'""")
 def split_overlap_q(spark, sf_dir):
