@@ -144,8 +144,19 @@ def local_prediction(explained: DataFrame, scorer, labels: DataFrame, key: str,
                      label: str, threshold: float = 0.5) -> DataFrame:
     """Actual label (D1 join), predicted label at a fixed 0.5 (not the stored
     threshold) and probability of each explained row."""
-    s = scorer(explained)
+    s = scorer(explained.drop(label) if label in explained.columns else explained)
     j = s.join(labels.select(key, label), key)
     return j.select(key, S.decode_label(label).alias("actual_label"),
                     S.predicted_label("probability", threshold).alias("predicted_label"),
                     F.col("probability").alias("malignant_probability"))
+
+
+def explain_report(explained: DataFrame, background: DataFrame, scorer, features: Sequence[str],
+                   key: str, labels: DataFrame, label: str, n_perm: int | None = None,
+                   top_n: int = TOP_N, seed: int = 42) -> dict[str, DataFrame]:
+    """The three explanation tables — global importance (E20), local
+    top factors per case (S8) and local predictions with actual labels (D1)."""
+    shap = permutation_shap(explained, background, scorer, features, key, n_perm, seed)
+    return {"global_importance": global_importance(shap),
+            "local_factors": top_factors(shap, key, top_n),
+            "local_prediction": local_prediction(explained, scorer, labels, key, label)}

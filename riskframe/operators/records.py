@@ -197,3 +197,13 @@ def validate_feature_lines(lines: DataFrame, n: int = 30, file_col: str = "file"
     file_rejects = fr.where(F.col("reason").isNotNull()).select(
         file_col, F.lit(None).cast("long").alias(no_col), "reason")
     return valid, line_rejects.unionByName(file_rejects)
+
+
+def ingest_feature_csv(spark, path: str, n: int = 30) -> tuple[DataFrame, DataFrame]:
+    """A9 over files: each uploaded file is read whole (``wholetext``; uploads
+    are single small files) so line numbers are exact, then split into lines
+    and validated by ``validate_feature_lines``."""
+    raw = spark.read.option("wholetext", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value")
+    lines = raw.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    return validate_feature_lines(lines.withColumn("line_no", F.col("line_no").cast("long")), n)

@@ -94,3 +94,17 @@ def local_prediction_q(spark, sf_dir):
     labels = labelled(spark, sf_dir).select("case_key", "label")
     return X.local_prediction(explained.drop("label"), SC.expression_scorer(_expr()), labels,
                               "case_key", "label", 0.5)
+
+
+@register("response_with_factors")
+def response_with_factors_q(spark, sf_dir):
+    """D3+I19: scored explained cases with their top-5 factors attached as an
+    ordered array and the nested JSON response."""
+    from ..operators import scoring as SCO
+    explained, _ = _parts(spark, sf_dir)
+    shap = _shap(spark, sf_dir)
+    pred = SCO.score_cases(explained, SC.expression_scorer(_expr()), 0.5, "case_key")
+    factors = X.top_factors(shap, "case_key", 5)
+    pred = pred.join(factors.select("case_key").distinct(), "case_key")
+    with_f = SCO.attach_factors(pred, factors, key="case_key", n=5)
+    return SCO.response_json(with_f)
