@@ -83,7 +83,7 @@ def require_columns(df: DataFrame, required: Iterable[str], what: str = "data")
 
 
 # Output normalisation used by the query catalogue --------------------------
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+def round_doubles(df: DataFrame, digits: int = 9) -> DataFrame:
     """Round every float column to ``digits`` as ``round(x * 10^d) / 10^d``
     (the same IEEE steps in any SQL engine, so two engines that computed the
     same double print the same rounded double; ties round away from zero)."""

@@ -71,12 +71,16 @@ def threshold_metrics(df: DataFrame, label: str, score: str, threshold: float,
 # E15 / E16 -----------------------------------------------------------------
 def _score_counts(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     """Distinct (group, score) with positive / negative counts; rows with a
-    null label or score are left out."""
+    null label or score are left out. One pass over the rows with map-side
+    combine; the result is persisted (memory, spilling to disk) because the
+    quantile, offset and final steps all read it."""
+    from pyspark import StorageLevel
     y = F.col(label)
     return (df.where(y.isNotNull() & F.col(score).isNotNull())
               .groupBy(*by, score)
               .agg(F.count_if(y == 1).cast("long").alias("pos"),
-                   F.count_if(y != 1).cast("long").alias("neg")))
+                   F.count_if(y != 1).cast("long").alias("neg"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
@@ -88,7 +92,21 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
     row count. A group with only one class gives null."""
     d, g = with_all_group(df, by)
     sc = _score_counts(d, label, score, g)
-    pre = two_level_prefix(sc, g, score, ["neg"], n_buckets=n_buckets)
+    return _drop_all(_auc_from_counts(sc, g, score, n_buckets), by)
+
+
+def _n_groups(sc: DataFrame, g: list[str]) -> int:
+    """Number of groups: 1 for the global form, else one count of the small
+    per-group table (it bounds every per-(group, bucket) table below)."""
+    if g == [ALL]:
+        return 1
+    return sc.select(*g).distinct().count()
+
+
+def _auc_from_counts(sc: DataFrame, g: list[str], score: str, n_buckets: int,
+                     n_groups: int | None = None) -> DataFrame:
+    ng = n_groups if n_groups is not None else _n_groups(sc, g)
+    pre = two_level_prefix(sc, g, score, ["neg"], n_buckets=n_buckets, n_groups=ng)
     dec = "decimal(38,0)"
     pos, neg, nb = (F.col(c).cast(dec) for c in ("pos", "neg", "before_neg"))
     agg = pre.groupBy(*g).agg(
@@ -97,24 +115,65 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
     auc = F.when((F.col("_p") == 0) | (F.col("_n") == 0), F.lit(None).cast("double")) \
            .otherwise(F.col("_u2").cast("double") /
                       (F.col("_p").cast("double") * F.col("_n").cast("double") * 2.0))
-    return _drop_all(agg.select(*g, auc.alias("roc_auc")), by)
+    return agg.select(*g, auc.alias("roc_auc"))
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
-              by: Sequence[str] = (), n_buckets: int = 256) -> DataFrame:
-    """(threshold, fpr, tpr) at each distinct score: the rates of rows with
-    score >= threshold. Every distinct score gives a point (no collinear
-    pruning)."""
+              by: Sequence[str] = (), n_buckets: int = 256,
+              drop_intermediate: bool = True) -> DataFrame:
+    """(threshold, fpr, tpr): rates of rows with score >= threshold at each
+    distinct score, plus the origin point (threshold +inf, 0, 0).
+
+    ``drop_intermediate`` keeps, besides the highest and lowest score, only
+    points where the curve changes slope: walking scores downwards, a point is
+    dropped when the next lower score adds exactly the same (pos, neg) counts
+    as it did. The neighbour of the lowest score of a range bucket is found
+    in a small per-bucket table, so no global window is needed."""
+    from pyspark.sql import Window
     d, g = with_all_group(df, by)
     sc = _score_counts(d, label, score, g)
-    pre = two_level_prefix(sc, g, score, ["pos", "neg"], n_buckets=n_buckets)
+    splits = range_splits_for(sc, score, n_buckets)
+    ng = _n_groups(sc, g)
+    bound = ng * (len(splits) - 1)  # rows of any per-(group, bucket) table
+    b = bucketize(sc, score, splits, "_rb")
+    off = prefix_before(
+        b.groupBy(*g, "_rb").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")),
+        g, "_rb", ["pos", "neg"], prefix="_off_").drop("pos", "neg")
+    j = null_safe_join(b, sized_broadcast(off, known_rows=bound), [*g, "_rb"])
+    w = Window.partitionBy(*g, "_rb").orderBy(score)
+    wc = w.rowsBetween(Window.unboundedPreceding, -1)
+    j = j.select(*g, score, "pos", "neg", "_rb",
+                 (F.col("_off_pos") + F.coalesce(F.sum("pos").over(wc), F.lit(0))).alias("before_pos"),
+                 (F.col("_off_neg") + F.coalesce(F.sum("neg").over(wc), F.lit(0))).alias("before_neg"),
+                 F.lag(F.struct("pos", "neg")).over(w).alias("_lower"))
+    # counts of the next lower distinct score for the lowest score of a bucket:
+    # the highest score of the previous non-empty bucket (small table)
+    last = b.groupBy(*g, "_rb").agg(F.max_by(F.struct("pos", "neg"), F.col(score)).alias("_last"),
+                                    F.max(score).alias("_bmax"))
+    wl = Window.partitionBy(*g).orderBy("_rb")
+    edge = last.select(*g, "_rb", F.lag("_last").over(wl).alias("_prev_last"), "_bmax")
+    top = last.groupBy(*g).agg(F.max("_bmax").alias("_top"))
+    j = null_safe_join(j, sized_broadcast(edge.drop("_bmax"), known_rows=bound), [*g, "_rb"])
+    j = null_safe_join(j, sized_broadcast(top, known_rows=ng), g)
+    lower = F.coalesce(F.col("_lower"), F.col("_prev_last"))
     totals = sc.groupBy(*g).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    tot = null_safe_join(pre, sized_broadcast(totals), g)
-    out = tot.select(
-        *g, F.col(score).alias("threshold"),
+    j = null_safe_join(j, sized_broadcast(totals, known_rows=ng), g)
+    keep = (lower.isNull() | (F.col(score) == F.col("_top")) |
+            (lower["pos"] != F.col("pos")) | (lower["neg"] != F.col("neg")))
+    if drop_intermediate:
+        j = j.where(keep)
+    pts = j.select(
+        *g, F.col(score).cast("double").alias("threshold"),
         safe_ratio(F.col("_N") - F.col("before_neg"), F.col("_N")).alias("fpr"),
         safe_ratio(F.col("_P") - F.col("before_pos"), F.col("_P")).alias("tpr"))
-    return _drop_all(out, by)
+    origin = totals.select(*g, F.lit(float("inf")).alias("threshold"),
+                           F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return _drop_all(pts.unionByName(origin), by)
+
+
+def range_splits_for(sc: DataFrame, score: str, n_buckets: int) -> list[float]:
+    from .ranking import range_splits
+    return range_splits(sc, score, n_buckets)
 
 
 # H1 ------------------------------------------------------------------------
@@ -132,13 +191,13 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score",
     if sorted(grid) != grid or len(set(grid)) != len(grid):
         raise ValueError("grid must be strictly increasing")
     d, g = with_all_group(df, by)
-    d = d.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    # One pass over the rows: distinct (group, score) counts, shared with the
+    # ROC-AUC below; the bucketing then runs over distinct scores only.
+    sc = _score_counts(d, label, score, g)
     splits = [float("-inf"), *grid, float("inf")]
-    b = bucketize(d, score, splits, "_bucket")
-    y = F.col(label)
-    counts = b.groupBy(*g, "_bucket").agg(
-        F.count_if(y == 1).cast("long").alias("pos"),
-        F.count_if(y != 1).cast("long").alias("neg"))
+    b = bucketize(sc, score, splits, "_bucket")
+    counts = b.groupBy(*g, "_bucket").agg(F.sum("pos").cast("long").alias("pos"),
+                                          F.sum("neg").cast("long").alias("neg"))
     # Grid points per group: the grid is a parameter (bounded), exploded from a
     # literal array next to each distinct group; no join with the rows.
     groups = counts.select(*g).distinct()
@@ -157,7 +216,7 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score",
                  (F.col("_N") - F.col("fp")).alias("tn"))
     out = j.select(*g, "_i", "threshold", "tn", "fp", "fn", "tp", *metric_columns())
     if with_auc:
-        out = null_safe_join(out, roc_auc(d, label, score, g), g, how="left")
+        out = null_safe_join(out, _auc_from_counts(sc, g, score, 256), g, how="left")
     return _drop_all(out.orderBy(*g, "_i").drop("_i"), by)
 
 

@@ -304,41 +304,77 @@ def grid_search(df: DataFrame, cols: Sequence[str], label: str, estimator: str,
 
 # J4 ------------------------------------------------------------------------
 def _sqdist(a: Column, b: Column) -> Column:
+    """Squared Euclidean distance of two double arrays, summed left to right."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
                        lambda acc, v: acc + v)
 
 
+def _block_topk(k: int):
+    """Per (test block, train block): exact k nearest train rows of each test
+    row. Candidates are screened with |q|^2 + |t|^2 - 2 q.t (one matrix
+    product) widened by a bound on its rounding error, then re-ranked by the
+    exact left-to-right sum of squared differences (tie → smaller train id)."""
+    import numpy as np
+    import pandas as pd
+
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or t.empty:
+            return pd.DataFrame({"qid": [], "d": [], "tid": [], "tl": []})
+        Q = np.stack(q["qv"].to_numpy()).astype(np.float64)
+        T = np.stack(t["tv"].to_numpy()).astype(np.float64)
+        tid = t["tid"].to_numpy()
+        tl = t["tl"].to_numpy()
+        qn = (Q * Q).sum(1)
+        tn = (T * T).sum(1)
+        out_q, out_d, out_t, out_l = [], [], [], []
+        kk = min(k, len(T))
+        for s0 in range(0, len(Q), 1024):
+            Qc = Q[s0:s0 + 1024]
+            approx = qn[s0:s0 + 1024, None] + tn[None, :] - 2.0 * (Qc @ T.T)
+            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+            tol = 1e-9 * (qn[s0:s0 + 1024] + tn.max() + 1.0)
+            for i in range(len(Qc)):
+                cand = np.nonzero(approx[i] <= kth[i] + tol[i])[0]
+                diff = T[cand] - Qc[i]
+                exact = np.cumsum(diff * diff, axis=1)[:, -1]
+                order = np.lexsort((tid[cand], exact))[:kk]
+                c = cand[order]
+                out_q.extend([q["qid"].iloc[s0 + i]] * len(c))
+                out_d.extend(exact[order].tolist())
+                out_t.extend(tid[c].tolist())
+                out_l.extend(tl[c].tolist())
+        return pd.DataFrame({"qid": out_q, "d": out_d, "tid": out_t, "tl": out_l})
+    return run
+
+
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "id",
-                 vec_col: str = "vec", label: str = "label", block_rows: int = 20000
+                 vec_col: str = "vec", label: str = "label", block_rows: int = 4096
                  ) -> DataFrame:
     """Exact k-nearest-neighbour vote (squared Euclidean; distance ties →
     smaller train id; vote ties → smaller class; probability = votes / k).
 
-    The training side is packed into blocks of <= ``block_rows`` rows (arrays
-    of structs, one row per block). Every test row meets every block through
-    an equi-join on the block id (the work of exact kNN is |test| x |train|
-    distance evaluations, done JVM-side with higher-order functions); each
-    (test row, block) keeps only its k best candidates, so no all-pairs table
-    is ever materialised, and a final top-k per test row merges the blocks."""
-    n_train = train.count()
-    nb = max(1, math.ceil(n_train / block_rows))
-    tr = train.select(F.col(id_col).alias("tid"),
+    Exact kNN is |test| x |train| distance work. Both sides are hashed into
+    blocks of about ``block_rows`` rows; every (test block, train block) pair
+    is one cogroup whose size is bounded by 2 x block_rows, solved with NumPy
+    (one matrix product per chunk, exact re-rank of the candidates). Each
+    pair emits only k candidates per test row — no all-pairs table — and a
+    final top-k per test row merges the train blocks."""
+    n_tr, n_te = train.count(), test.count()
+    nb_tr = max(1, math.ceil(n_tr / block_rows))
+    nb_te = max(1, math.ceil(n_te / block_rows))
+    tr = train.select(F.col(id_col).cast("long").alias("tid"),
                       F.transform(vec_col, lambda x: x.cast("double")).alias("tv"),
-                      F.col(label).alias("tl"))
-    blocks = (tr.withColumn("_blk", F.pmod(F.xxhash64("tid"), F.lit(nb)))
-                .groupBy("_blk").agg(F.collect_list(F.struct("tid", "tv", "tl")).alias("items")))
-    te = test.select(F.col(id_col).alias("qid"),
+                      F.col(label).cast("int").alias("tl"))
+    te = test.select(F.col(id_col).cast("long").alias("qid"),
                      F.transform(vec_col, lambda x: x.cast("double")).alias("qv"))
-    te = te.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
-    # Broadcast the packed training side only when it is a few blocks (each
-    # block <= block_rows vectors); otherwise both sides shuffle on the block id
-    # and AQE splits skewed block partitions.
-    j = te.join(sized_broadcast(blocks, limit=4), "_blk")
-    cand = j.select("qid", F.slice(F.array_sort(F.transform(
-        "items", lambda e: F.struct(_sqdist(e["tv"], F.col("qv")).alias("d"),
-                                    e["tid"].alias("tid"), e["tl"].alias("tl")))), 1, k).alias("c"))
-    flat = cand.select("qid", F.explode("c").alias("e"))
-    top = flat.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list("e")), 1, k).alias("nn"))
+    tr = tr.withColumn("_rb", F.pmod(F.xxhash64("tid"), F.lit(nb_tr))) \
+           .withColumn("_tb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb_te - 1).cast("long"))))
+    te = te.withColumn("_tb", F.pmod(F.xxhash64("qid"), F.lit(nb_te))) \
+           .withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb_tr - 1).cast("long"))))
+    cand = (te.groupBy("_tb", "_rb").cogroup(tr.groupBy("_tb", "_rb"))
+              .applyInPandas(_block_topk(k), "qid long, d double, tid long, tl int"))
+    top = cand.groupBy("qid").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("d", "tid", "tl"))), 1, k).alias("nn"))
     votes = top.select("qid", F.explode("nn").alias("e")).groupBy("qid", F.col("e.tl").alias("cls")) \
                .agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("qid").agg(F.max_by(F.struct("votes", (-F.col("cls")).alias("neg")),

@@ -19,10 +19,17 @@ from ..session import BROADCAST_ROW_LIMIT
 ALL = "_all"  # constant group column so that grouped and global forms share code
 
 
-def sized_broadcast(small: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``small`` only when a count proves it has at most ``limit``
-    rows; otherwise return it unchanged so the join shuffles. The frame is
-    cached first so the count and the join read one computation."""
+def sized_broadcast(small: DataFrame, limit: int = BROADCAST_ROW_LIMIT,
+                    known_rows: int | None = None) -> DataFrame:
+    """Broadcast ``small`` only when its size is proven to be at most
+    ``limit`` rows; otherwise return it unchanged so the join shuffles.
+
+    The proof is either ``known_rows`` — an upper bound the caller derives
+    from the construction (e.g. groups x buckets) — or a count; in the latter
+    case the frame is cached first so the count and the join read one
+    computation."""
+    if known_rows is not None and known_rows <= limit:
+        return F.broadcast(small)
     small = small.cache()
     n = small.count()
     return F.broadcast(small) if n <= limit else small
@@ -51,7 +58,8 @@ def hash_order_key(key: Column, seed: int | str) -> Column:
 
 
 def rank_within(df: DataFrame, groups: Sequence[str], order_hex: str,
-                tie: str, out: str = "rank", hex_digits: int = 3) -> DataFrame:
+                tie: str, out: str = "rank", hex_digits: int = 3,
+                return_counts: bool = False):
     """Exact 1-based ``row_number() over (partition by groups order by
     order_hex, tie)`` without a per-group single-task window.
 
@@ -59,20 +67,26 @@ def rank_within(df: DataFrame, groups: Sequence[str], order_hex: str,
     bucketed by its first ``hex_digits`` digits (4096 buckets by default; raise
     it at larger scale), counted per (group, bucket), and the small count table
     gets exclusive prefix sums. Level 2: ``row_number`` inside each
-    (group, bucket) plus the bucket offset.
-    """
+    (group, bucket) plus the bucket offset. With ``return_counts`` the cached
+    (group, bucket, count) table is returned too (it also gives group sizes
+    without another pass over the rows)."""
+    from pyspark import StorageLevel
     b = "_rk_bucket"
     d = df.withColumn(b, F.conv(F.substring(F.col(order_hex), 1, hex_digits), 16, 10)
                       .cast("int"))
-    counts = d.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("_rk_n"))
+    counts = (d.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("_rk_n"))
+                .persist(StorageLevel.MEMORY_AND_DISK))
     w = (Window.partitionBy(*groups).orderBy(b)
          .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*groups, b,
                             F.coalesce(F.sum("_rk_n").over(w), F.lit(0)).alias("_rk_off"))
     joined = null_safe_join(d, sized_broadcast(offsets), [*groups, b])
     w2 = Window.partitionBy(*groups, b).orderBy(F.col(order_hex), F.col(tie))
-    return joined.withColumn(out, F.row_number().over(w2) + F.col("_rk_off")) \
-                 .drop(b, "_rk_off")
+    ranked = joined.withColumn(out, F.row_number().over(w2) + F.col("_rk_off")) \
+                   .drop(b, "_rk_off")
+    if return_counts:
+        return ranked, counts.groupBy(*groups).agg(F.sum("_rk_n").alias("n_c"))
+    return ranked
 
 
 def range_splits(df: DataFrame, column: str, n_buckets: int,
@@ -109,7 +123,7 @@ def prefix_before(df: DataFrame, groups: Sequence[str], order: str,
 
 def two_level_prefix(df: DataFrame, groups: Sequence[str], order: str,
                      values: Sequence[str], n_buckets: int = 256,
-                     prefix: str = "before_") -> DataFrame:
+                     prefix: str = "before_", n_groups: int | None = None) -> DataFrame:
     """Exact exclusive prefix sums of ``values`` over ``order`` within each
     group, for tables of any size: range buckets on ``order`` (approximate
     quantiles), bucket totals (small) → prefix → joined back, then a running
@@ -119,7 +133,8 @@ def two_level_prefix(df: DataFrame, groups: Sequence[str], order: str,
     d = bucketize(df, order, splits, b)
     tot = d.groupBy(*groups, b).agg(*[F.sum(v).alias(v) for v in values])
     off = prefix_before(tot, groups, b, values, prefix="_pf_off_").drop(*values)
-    j = null_safe_join(d, sized_broadcast(off), [*groups, b])
+    bound = None if n_groups is None else n_groups * (len(splits) - 1)
+    j = null_safe_join(d, sized_broadcast(off, known_rows=bound), [*groups, b])
     w = (Window.partitionBy(*groups, b).orderBy(order)
          .rowsBetween(Window.unboundedPreceding, -1))
     return j.select(

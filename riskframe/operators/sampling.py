@@ -23,6 +23,12 @@ def _key(df: DataFrame, key: str | Sequence[str]) -> Column:
 
 
 def class_quotas(df: DataFrame, label: str, test_frac: float) -> DataFrame:
+    """Quotas from the rows (one aggregate); see ``quotas_from_counts``."""
+    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    return quotas_from_counts(c, label, test_frac)
+
+
+def quotas_from_counts(c: DataFrame, label: str, test_frac: float) -> DataFrame:
     """Per class: n_c, train quota and test quota of a stratified split.
 
     n_test = ceil(frac * n), n_train = n - n_test; train quotas are
@@ -30,7 +36,6 @@ def class_quotas(df: DataFrame, label: str, test_frac: float) -> DataFrame:
     remainders (ties → smaller class value) until they sum to n_train; test
     quota = n_c - train quota. One row per class: the windows below run over
     that tiny table only."""
-    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
     w = Window.partitionBy()
     n = F.sum("n_c").over(w)
     c = c.select(label, "n_c", n.alias("_n"))
@@ -56,8 +61,8 @@ def stratified_holdout(df: DataFrame, label: str, test_frac: float = 0.2,
     rows in md5(seed|key) order. Reproducible on any engine with md5."""
     d = df.withColumn("_h", hash_order_key(_key(df, key), seed)) \
           .withColumn("_tie", _key(df, key).cast("string"))
-    quotas = class_quotas(d, label, test_frac).select(label, "test_quota")
-    ranked = rank_within(d, [label], "_h", "_tie", out="_rank")
+    ranked, class_n = rank_within(d, [label], "_h", "_tie", out="_rank", return_counts=True)
+    quotas = quotas_from_counts(class_n, label, test_frac).select(label, "test_quota")
     j = null_safe_join(ranked, sized_broadcast(quotas), [label])
     out = j.withColumn(split_col, F.when(F.col("_rank") <= F.col("test_quota"), names[1])
                        .otherwise(names[0]))

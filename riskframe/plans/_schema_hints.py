@@ -86,6 +86,7 @@ HINTS = {'audit_events': ([], []),
  'roc_auc': (['roc_auc'], []),
  'roc_auc_by_model': (['roc_auc'], []),
  'roc_curve': (['threshold', 'fpr', 'tpr'], []),
+ 'roc_curve_all_points': (['threshold', 'fpr', 'tpr'], []),
  'sample_n': (['score'], ['label']),
  'score_cases': (['probability', 'probability_pct', 'threshold'], []),
  'select_threshold_f2': (['selected_threshold', 'fbeta', 'recall', 'precision', 'f1'], []),

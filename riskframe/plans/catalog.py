@@ -47,8 +47,8 @@ def queries() -> dict[str, QueryFn]:
 
 def _wrap(sql: str, doubles: list[str], longs: list[str]) -> str:
     """Apply the Spark side's output normalisation to the DuckDB twin: doubles
-    as round(x * 1e6) / 1e6, integers widened to BIGINT."""
-    r = 'round(CAST("{c}" AS DOUBLE) * CAST(1000000 AS DOUBLE)) / CAST(1000000 AS DOUBLE)'
+    as round(x * 1e9) / 1e9, integers widened to BIGINT."""
+    r = 'round(CAST("{c}" AS DOUBLE) * CAST(1000000000 AS DOUBLE)) / CAST(1000000000 AS DOUBLE)'
     reps = [f'CASE WHEN {r.format(c=c)} = 0 THEN CAST(0 AS DOUBLE) ELSE {r.format(c=c)} END AS "{c}"'
             for c in doubles]
     reps += [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in longs]

@@ -78,15 +78,32 @@ def roc_auc_by_model(spark, sf_dir):
 @register("roc_curve", f"""
 WITH {LABELLED_SQL},
 s AS (SELECT score, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM lab GROUP BY score),
-c AS (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS pge, sum(neg) OVER (ORDER BY score DESC) AS nge,
-             sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM s)
+c AS (SELECT score, pos, neg, sum(pos) OVER (ORDER BY score DESC) AS pge, sum(neg) OVER (ORDER BY score DESC) AS nge,
+             sum(pos) OVER () AS p, sum(neg) OVER () AS n,
+             lag(pos) OVER (ORDER BY score) AS lpos, lag(neg) OVER (ORDER BY score) AS lneg,
+             max(score) OVER () AS top FROM s)
 SELECT score AS threshold, CASE WHEN n = 0 THEN 0.0 ELSE nge / n END AS fpr,
-       CASE WHEN p = 0 THEN 0.0 ELSE pge / p END AS tpr FROM c""")
+       CASE WHEN p = 0 THEN 0.0 ELSE pge / p END AS tpr FROM c
+WHERE lpos IS NULL OR score = top OR lpos <> pos OR lneg <> neg
+UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0""")
 def roc_curve_q(spark, sf_dir):
-    """ROC points at every distinct score."""
+    """ROC points (collinear intermediate points dropped, origin added)."""
     return M.roc_curve(labelled(spark, sf_dir), "label", "score")
 
 
+@register("roc_curve_all_points", f"""
+WITH {LABELLED_SQL},
+s AS (SELECT score, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM lab GROUP BY score),
+c AS (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS pge, sum(neg) OVER (ORDER BY score DESC) AS nge,
+             sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM s)
+SELECT score AS threshold, CASE WHEN n = 0 THEN 0.0 ELSE nge / n END AS fpr,
+       CASE WHEN p = 0 THEN 0.0 ELSE pge / p END AS tpr FROM c
+UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0""")
+def roc_curve_all_points_q(spark, sf_dir):
+    """E16 without pruning: a point at every distinct score, plus the origin."""
+    return M.roc_curve(labelled(spark, sf_dir), "label", "score", drop_intermediate=False)
+
+
 def sweep_ctes(grid, src, g="", with_auc=True):
     """CTEs ending in ``sweep``: the brute-force per-threshold metric table."""
     gsel = f"{g}," if g else ""

@@ -127,3 +127,27 @@ def test_class_weights_balanced(spark):
     d = df_of(spark, [(1, .1)] * 1 + [(0, .1)] * 3)
     w = {r["label"]: r["weight"] for r in M.class_weights(d).collect()}
     assert w[1] == pytest.approx(4 / (2 * 1)) and w[0] == pytest.approx(4 / (2 * 3))
+
+
+def test_roc_curve_matches_drop_intermediate_rule(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.randint(0, 1), float(rnd.randint(0, 30))) for _ in range(400)]
+    rows += [(1, 100.0), (0, 101.0), (1, 102.0), (0, 103.0)]
+    got = sorted((r["threshold"], r["fpr"], r["tpr"]) for r in
+                 M.roc_curve(df_of(spark, rows), n_buckets=5).collect())
+    # reference computation: cumulative counts over decreasing distinct scores
+    scores = sorted({s for _, s in rows}, reverse=True)
+    pos = {s: sum(1 for y, t in rows if t == s and y == 1) for s in scores}
+    neg = {s: sum(1 for y, t in rows if t == s and y == 0) for s in scores}
+    P, N = sum(pos.values()), sum(neg.values())
+    fps, tps, acc_p, acc_n = [], [], 0, 0
+    for s in scores:
+        acc_p += pos[s]; acc_n += neg[s]
+        tps.append(acc_p); fps.append(acc_n)
+    keep = [0] + [i for i in range(1, len(scores) - 1)
+                  if fps[i + 1] - 2 * fps[i] + fps[i - 1] != 0 or tps[i + 1] - 2 * tps[i] + tps[i - 1] != 0] \
+        + [len(scores) - 1]
+    want = sorted([(float("inf"), 0.0, 0.0)] + [(scores[i], fps[i] / N, tps[i] / P) for i in keep])
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1]) and a[2] == pytest.approx(b[2])
