@@ -71,8 +71,9 @@ def feedback_events(feedback: DataFrame) -> DataFrame:
 
 
 def audit_export(events: DataFrame) -> DataFrame:
-    """Audit rows with the ISO-seconds text timestamp of the CSV export."""
-    return events.select(S.iso_seconds("Timestamp").alias("Timestamp"), "Case_ID",
+    """Audit rows with the ISO-seconds (UTC) text timestamp of the CSV export."""
+    tz = events.sparkSession.conf.get("spark.sql.session.timeZone", "UTC")
+    return events.select(S.iso_seconds("Timestamp", tz).alias("Timestamp"), "Case_ID",
                          "Event_Type", "Details")
 
 

@@ -26,8 +26,11 @@ def _expr():
 
 
 def _parts(spark, sf_dir):
+    from pyspark import StorageLevel
     lab = labelled(spark, sf_dir)
-    s = SM.stratified_holdout(lab, "label", 0.2, "case_key", 42)
+    # the split feeds the explained sample, the background sample and the
+    # background literal: materialise it once (memory, spilling to disk)
+    s = SM.stratified_holdout(lab, "label", 0.2, "case_key", 42).persist(StorageLevel.MEMORY_AND_DISK)
     explained = SM.sample_n(s.where(F.col("split") == "test"), X.EXPLAINED_REPORT, "case_key", 7)
     background = SM.sample_n(s.where(F.col("split") == "train"), X.BACKGROUND_REPORT, "case_key", 42)
     return explained, background

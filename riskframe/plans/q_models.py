@@ -16,8 +16,10 @@ from .q_sampling import _holdout_sql
 
 
 def _split(spark, sf_dir):
+    from pyspark import StorageLevel
     lab = planted(spark, sf_dir)
-    return SM.stratified_holdout(lab, "label", 0.2, "case_key", 42)
+    return SM.stratified_holdout(lab, "label", 0.2, "case_key", 42) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
 
 _STD_SQL = f"""
@@ -30,8 +32,11 @@ FROM j, st"""
 @register("standardise", _STD_SQL)
 def standardise_q(spark, sf_dir):
     """Z-scores with mean / population std fitted on the training split only."""
+    from pyspark import StorageLevel
     from .inputs import labelled
-    s = SM.stratified_holdout(labelled(spark, sf_dir), "label", 0.2, "case_key", 42)
+    # the split is read twice (training statistics, then the projection)
+    s = SM.stratified_holdout(labelled(spark, sf_dir), "label", 0.2, "case_key", 42) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     z = ML.standardise(s.where(F.col("split") == "train"), s, FEATURES)
     return z.select("case_key", "split", *[c + "_z" for c in FEATURES])
 
