@@ -147,11 +147,20 @@ def fit_svm(df: DataFrame, cols: Sequence[str], label: str = "label", C: float =
                     maxIter=max_iter)
     if kernel == "linear":
         return _pipeline(stats, cols, svc).fit(d)
-    rff = rff_transformer(cols, n_components, g, seed)
-    stages = [standardiser(stats), rff,
-              VectorAssembler(inputCols=[f"__rff_{i}" for i in range(n_components)],
-                              outputCol="features"), svc]
-    return Pipeline(stages=stages).fit(d)
+    from pyspark import StorageLevel
+    feature_stages = [standardiser(stats), rff_transformer(cols, n_components, g, seed),
+                      VectorAssembler(inputCols=[f"__rff_{i}" for i in range(n_components)],
+                                      outputCol="features")]
+    # The optimiser makes several passes (summary statistics, blocks); the
+    # projected vectors are materialised once instead of recomputing the
+    # D cosines on every pass.
+    vec = d
+    for st in feature_stages:
+        vec = st.transform(vec)
+    vec = vec.select("features", label, "_w").persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = svc.fit(vec)
+    vec.unpersist()
+    return PipelineModel(stages=[*feature_stages, fitted])
 
 
 # Scores --------------------------------------------------------------------
