@@ -83,29 +83,36 @@ STATS = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
 def describe_features(df: DataFrame, cols: Sequence[str], exact: bool = True,
                       accuracy: int = 10000) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (linear interpolation), max
-    per feature, in long form (one row per feature), from ONE aggregate.
+    per feature, in long form (one row per feature).
 
-    ``exact=True`` uses ``percentile`` (keeps a value→count map per column; fine
-    while distinct values are bounded); at scale use ``exact=False``
-    (``percentile_approx``, bounded memory, relative rank error 1/accuracy)."""
+    Moments come from ONE aggregate. Quartiles: ``exact=True`` selects them
+    exactly with the two-level selection of ``exact_quantiles`` over the
+    melted (feature, value) rows — bounded memory at any cardinality;
+    ``exact=False`` uses ``percentile_approx`` inside the same aggregate
+    (relative rank error 1/accuracy)."""
     aggs = []
     for i, c in enumerate(cols):
         x = _clean(c)
-        if exact:
-            pct = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        else:
-            pct = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy)
-        aggs.append(F.struct(
-            F.lit(c).alias("feature"),
-            F.count(x).cast("long").alias("count"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-            pct.alias("_p"), F.max(x).alias("max")).alias(f"_s{i}"))
+        parts = [F.lit(c).alias("feature"),
+                 F.count(x).cast("long").alias("count"), F.avg(x).alias("mean"),
+                 F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+        if not exact:
+            parts.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias("_p"))
+        aggs.append(F.struct(*parts).alias(f"_s{i}"))
     wide = df.agg(*aggs)
     long = wide.select(F.explode(F.array(*[F.col(f"_s{i}") for i in range(len(cols))])).alias("s"))
-    return long.select(
-        "s.feature", "s.count", "s.mean", "s.std", "s.min",
-        F.col("s._p")[0].cast("double").alias("p25"), F.col("s._p")[1].cast("double").alias("p50"),
-        F.col("s._p")[2].cast("double").alias("p75"), "s.max")
+    if not exact:
+        return long.select(
+            "s.feature", "s.count", "s.mean", "s.std", "s.min",
+            F.col("s._p")[0].cast("double").alias("p25"), F.col("s._p")[1].cast("double").alias("p50"),
+            F.col("s._p")[2].cast("double").alias("p75"), "s.max")
+    from .ranking import exact_quantiles
+    melted = unpivot_features(df, [], cols)
+    qs = exact_quantiles(melted, ["feature"], "value", [0.25, 0.5, 0.75])
+    mom = long.select("s.feature", "s.count", "s.mean", "s.std", "s.min", "s.max")
+    return mom.join(qs, "feature", "left").select(
+        "feature", "count", "mean", "std", "min", F.col("q0").alias("p25"),
+        F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max")
 
 
 # E5 ------------------------------------------------------------------------
@@ -165,14 +172,18 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], by: str, exact: bool = Tru
     long = unpivot_features(df, [by], cols).where(
         F.col("value").isNotNull() & ~F.isnan("value"))
     keys = [by, "feature"]
+    n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if exact:
-        pct = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        from .ranking import exact_quantiles
+        q = exact_quantiles(long, keys, "value", [0.25, 0.5, 0.75])
+        qs = null_safe_join(n, q, keys).select(*keys, "n", F.col("q0").alias("q1"),
+                                               F.col("q1").alias("median"), F.col("q2").alias("q3"))
     else:
         pct = F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy)
-    qs = long.groupBy(*keys).agg(pct.alias("_q"), F.count(F.lit(1)).alias("n"))
-    qs = qs.select(*keys, "n", F.col("_q")[0].cast("double").alias("q1"),
-                   F.col("_q")[1].cast("double").alias("median"),
-                   F.col("_q")[2].cast("double").alias("q3"))
+        qs = long.groupBy(*keys).agg(pct.alias("_q"), F.count(F.lit(1)).alias("n"))
+        qs = qs.select(*keys, "n", F.col("_q")[0].cast("double").alias("q1"),
+                       F.col("_q")[1].cast("double").alias("median"),
+                       F.col("_q")[2].cast("double").alias("q3"))
     qs = qs.withColumn("iqr", F.col("q3") - F.col("q1")) \
            .withColumn("lo_fence", F.col("q1") - F.col("iqr") * WHISKER) \
            .withColumn("hi_fence", F.col("q3") + F.col("iqr") * WHISKER)

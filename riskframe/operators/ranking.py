@@ -57,20 +57,33 @@ def hash_order_key(key: Column, seed: int | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
 
+def auto_hex_digits(n_rows: int, rows_per_bucket: int = 1_000_000) -> int:
+    """Hex prefix length so that an average (group, bucket) holds at most
+    ``rows_per_bucket`` rows: 3 digits (4096 buckets) up to ~4e9 rows, then one
+    more digit per factor 16."""
+    digits = 3
+    while n_rows / (16 ** digits) > rows_per_bucket and digits < 8:
+        digits += 1
+    return digits
+
+
 def rank_within(df: DataFrame, groups: Sequence[str], order_hex: str,
-                tie: str, out: str = "rank", hex_digits: int = 3,
+                tie: str, out: str = "rank", hex_digits: int | None = None,
                 return_counts: bool = False):
     """Exact 1-based ``row_number() over (partition by groups order by
     order_hex, tie)`` without a per-group single-task window.
 
     ``order_hex`` is a lower-case hex string column (an md5). Level 1: rows are
-    bucketed by its first ``hex_digits`` digits (4096 buckets by default; raise
-    it at larger scale), counted per (group, bucket), and the small count table
+    bucketed by its first ``hex_digits`` digits (by default sized from the row
+    count: 4096 buckets up to ~4e9 rows, 16x more per further digit), counted
+    per (group, bucket), and the small count table
     gets exclusive prefix sums. Level 2: ``row_number`` inside each
     (group, bucket) plus the bucket offset. With ``return_counts`` the cached
     (group, bucket, count) table is returned too (it also gives group sizes
     without another pass over the rows)."""
     from pyspark import StorageLevel
+    if hex_digits is None:
+        hex_digits = auto_hex_digits(df.count())
     b = "_rk_bucket"
     d = df.withColumn(b, F.conv(F.substring(F.col(order_hex), 1, hex_digits), 16, 10)
                       .cast("int"))
@@ -141,3 +154,54 @@ def two_level_prefix(df: DataFrame, groups: Sequence[str], order: str,
         *[c for c in d.columns if c != b],
         *[(F.col("_pf_off_" + v) + F.coalesce(F.sum(v).over(w), F.lit(0))).alias(prefix + v)
           for v in values])
+
+
+def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
+                    probs: Sequence[float], n_buckets: int | None = None,
+                    rows_per_bucket: int = 2_000_000) -> DataFrame:
+    """Exact linear-interpolation quantiles (the definition used by
+    ``percentile`` / pandas / ``quantile_cont``) of ``value`` per group, for
+    columns of any size and cardinality.
+
+    Two-level selection: range buckets from an approximate-quantile sketch;
+    per (group, bucket) counts (small) give each target rank's bucket; only
+    the rows of the (at most 2 x len(probs)) target buckets per group are
+    ranked, inside their bucket. Output: groups + ``q{i}`` per probability.
+    Nulls and NaN are ignored."""
+    v = F.col(value)
+    d = df.where(v.isNotNull() & ~F.isnan(v)).select(*groups, v.cast("double").alias("_v"))
+    if n_buckets is None:  # keep the rows ranked inside one bucket bounded
+        n_buckets = int(min(100_000, max(1024, d.count() // rows_per_bucket + 1)))
+    splits = range_splits(d, "_v", n_buckets, rel_err=min(0.001, 0.5 / n_buckets))
+    b = bucketize(d, "_v", splits, "_qb")
+    cnt = b.groupBy(*groups, "_qb").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*groups).orderBy("_qb")
+    cnt = cnt.select(*groups, "_qb", "_n",
+                     (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))).alias("_lo"),
+                     F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding,
+                                                    Window.unboundedFollowing)).alias("_tot"))
+    cnt = cnt.fillna(0, ["_lo"])
+    # target 0-based ranks: floor and ceil of (n - 1) * p, per probability
+    targets = []
+    for i, p in enumerate(probs):
+        h = (F.col("_tot") - 1) * F.lit(float(p))
+        for side, r in (("f", F.floor(h)), ("c", F.ceil(h))):
+            targets.append(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"),
+                                    r.cast("long").alias("r"), h.alias("h")))
+    t = cnt.select(*groups, "_qb", "_lo", "_n", F.explode(F.array(*targets)).alias("t"))
+    t = t.where((F.col("t.r") >= F.col("_lo")) & (F.col("t.r") < F.col("_lo") + F.col("_n")))
+    t = t.select(*groups, "_qb", (F.col("t.r") - F.col("_lo") + 1).alias("_pos"),
+                 F.col("t.i").alias("_i"), F.col("t.side").alias("_side"), F.col("t.h").alias("_h"))
+    want = sized_broadcast(t)  # <= groups x 2 x len(probs) rows, size-checked
+    hit = null_safe_join(b, want.select(*groups, "_qb").distinct(), [*groups, "_qb"], "left_semi")
+    wr = Window.partitionBy(*groups, "_qb").orderBy("_v")
+    ranked = hit.select(*groups, "_qb", "_v", F.row_number().over(wr).alias("_pos"))
+    picked = null_safe_join(ranked, want, [*groups, "_qb", "_pos"])
+    agg = picked.groupBy(*groups, "_i").agg(
+        F.max(F.when(F.col("_side") == "f", F.col("_v"))).alias("_vf"),
+        F.max(F.when(F.col("_side") == "c", F.col("_v"))).alias("_vc"),
+        F.first("_h").alias("_h"))
+    q = F.col("_vf") + (F.col("_vc") - F.col("_vf")) * (F.col("_h") - F.floor("_h"))
+    res = agg.select(*groups, "_i", q.alias("_q"))
+    out = res.groupBy(*groups).pivot("_i", list(range(len(probs)))).agg(F.first("_q"))
+    return out.select(*groups, *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))])
