@@ -201,7 +201,7 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], by: str, exact: bool = Tru
 
 # E9 ------------------------------------------------------------------------
 def kde(df: DataFrame, cols: Sequence[str], by: str, grid_n: int = KDE_GRID,
-        cut: float = KDE_CUT, bw_adjust: float = 1.0) -> DataFrame:
+        cut: float = KDE_CUT, bw_adjust: float = 1.0, bins: int | None = None) -> DataFrame:
     """Gaussian kernel density per (class, feature), each normalised on its
     own: bandwidth h = std_samp * n^(-1/5) * bw_adjust (Scott), evaluated on
     ``grid_n`` points from min - cut*h to max + cut*h.
@@ -210,7 +210,12 @@ def kde(df: DataFrame, cols: Sequence[str], by: str, grid_n: int = KDE_GRID,
     each distinct value then adds its kernel to the grid points of its group
     (explode of the grid inside the task) and the sums are partially
     aggregated before the shuffle, so the shuffle carries at most grid_n rows
-    per group per task."""
+    per group per task.
+
+    ``bins``: for very high-cardinality columns, values are first snapped to
+    the centres of ``bins`` equal-width bins per group (counts kept), which
+    bounds the kernel work at bins x grid_n per group (an approximation with
+    error below half a bin width in x; off by default)."""
     long = unpivot_features(df, [by], cols).where(
         F.col("value").isNotNull() & ~F.isnan("value"))
     keys = [by, "feature"]
@@ -222,6 +227,12 @@ def kde(df: DataFrame, cols: Sequence[str], by: str, grid_n: int = KDE_GRID,
     st = st.withColumn("g0", F.col("lo") - F.col("h") * cut) \
            .withColumn("step", (F.col("hi") - F.col("lo") + F.col("h") * (2 * cut))
                        / F.lit(grid_n - 1))
+    if bins:
+        rng = st.select(*keys, "lo", ((F.col("hi") - F.col("lo")) / bins).alias("_bw"))
+        long = null_safe_join(long, sized_broadcast(rng), keys).select(
+            *keys, F.when(F.col("_bw") > 0, F.col("lo") + (F.least(
+                F.floor((F.col("value") - F.col("lo")) / F.col("_bw")), F.lit(bins - 1)) + 0.5)
+                * F.col("_bw")).otherwise(F.col("value")).alias("value"))
     distinct = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
     j = null_safe_join(distinct, sized_broadcast(st.select(*keys, "n", "h", "g0", "step")), keys)
     j = j.select(*keys, "value", "c", "n", "h", "g0", "step",

@@ -99,3 +99,12 @@ def test_kde_integrates_to_one(spark):
         area = sum((pts[i + 1][0] - pts[i][0]) * (pts[i + 1][1] + pts[i][1]) / 2
                    for i in range(len(pts) - 1))
         assert area == pytest.approx(1.0, abs=0.01)
+
+
+def test_kde_binned_close_to_exact(spark):
+    import random
+    rnd = random.Random(2)
+    d = spark.createDataFrame([(rnd.gauss(0, 1), 0) for _ in range(3000)], "x double, label int")
+    ex = {r["grid_index"]: r["density"] for r in P.kde(d, ["x"], "label").collect()}
+    bn = {r["grid_index"]: r["density"] for r in P.kde(d, ["x"], "label", bins=400).collect()}
+    assert max(abs(ex[i] - bn[i]) for i in ex) < 0.01
