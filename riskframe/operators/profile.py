@@ -184,6 +184,8 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], by: str, exact: bool = Tru
         qs = qs.select(*keys, "n", F.col("_q")[0].cast("double").alias("q1"),
                        F.col("_q")[1].cast("double").alias("median"),
                        F.col("_q")[2].cast("double").alias("q3"))
+    # one row per (class, feature), read twice (fences, output): keep it
+    qs = qs.cache()
     qs = qs.withColumn("iqr", F.col("q3") - F.col("q1")) \
            .withColumn("lo_fence", F.col("q1") - F.col("iqr") * WHISKER) \
            .withColumn("hi_fence", F.col("q3") + F.col("iqr") * WHISKER)

@@ -103,13 +103,21 @@ def rank_within(df: DataFrame, groups: Sequence[str], order_hex: str,
 
 
 def range_splits(df: DataFrame, column: str, n_buckets: int,
-                 rel_err: float = 0.001) -> list[float]:
+                 rel_err: float = 0.001, n_rows: int | None = None,
+                 per_bucket_sample: int = 200, seed: int = 42) -> list[float]:
     """Bucket boundaries of ``column`` from Spark's approximate quantiles
-    (one pass, bounded memory; only ``n_buckets + 1`` numbers reach the
-    driver). The outer splits are -inf/+inf so every value has a bucket."""
+    (bounded memory; only ``n_buckets + 1`` numbers reach the driver). The
+    boundaries only balance the buckets — exactness never depends on them —
+    so when ``n_rows`` is known and large, they are taken from a seeded
+    sample of about ``per_bucket_sample`` values per bucket. The outer
+    splits are -inf/+inf so every value has a bucket."""
     if n_buckets <= 1:
         return [float("-inf"), float("inf")]
     probs = [i / n_buckets for i in range(1, n_buckets)]
+    target = per_bucket_sample * n_buckets
+    if n_rows is not None and n_rows > 2 * target:
+        df = df.sample(False, target / n_rows, seed)
+        rel_err = min(rel_err, 0.25 / n_buckets)
     qs = df.approxQuantile(column, probs, rel_err)
     inner = sorted({float(x) for x in qs if x == x and abs(x) != float("inf")})
     return [float("-inf"), *inner, float("inf")]
@@ -170,11 +178,16 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
     Nulls and NaN are ignored."""
     v = F.col(value)
     d = df.where(v.isNotNull() & ~F.isnan(v)).select(*groups, v.cast("double").alias("_v"))
+    n_rows = d.count()
     if n_buckets is None:  # keep the rows ranked inside one bucket bounded
-        n_buckets = int(min(100_000, max(1024, d.count() // rows_per_bucket + 1)))
-    splits = range_splits(d, "_v", n_buckets, rel_err=min(0.001, 0.5 / n_buckets))
+        n_buckets = int(min(100_000, max(1024, n_rows // rows_per_bucket + 1)))
+    splits = range_splits(d, "_v", n_buckets, rel_err=min(0.001, 0.5 / n_buckets),
+                          n_rows=n_rows)
     b = bucketize(d, "_v", splits, "_qb")
-    cnt = b.groupBy(*groups, "_qb").agg(F.count(F.lit(1)).alias("_n"))
+    from pyspark import StorageLevel
+    # small (groups x buckets) and read three times: persist it
+    cnt = (b.groupBy(*groups, "_qb").agg(F.count(F.lit(1)).alias("_n"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
     w = Window.partitionBy(*groups).orderBy("_qb")
     cnt = cnt.select(*groups, "_qb", "_n",
                      (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))).alias("_lo"),

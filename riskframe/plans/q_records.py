@@ -87,8 +87,13 @@ def report_text_q(spark, sf_dir):
 
 
 @register("audit_events", f"""
-WITH {LABELLED_SQL}, {_scored_sql()},
-ev AS (SELECT sc.*, l.l_shipdate FROM sc JOIN (SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS case_key, l_shipdate FROM lineitem) l USING (case_key))
+WITH lab AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS case_key,
+                    round((l_quantity * 2 + l_discount * 1000 + l_tax * 500) / 260.0, 4) AS score,
+                    l_shipdate FROM lineitem),
+ev AS (SELECT case_key, 'CASE-' || upper(substr(md5(case_key), 1, 8)) AS case_id, score AS probability,
+        CASE WHEN score >= 0.5 THEN 'Malignant' ELSE 'Benign' END AS prediction,
+        CASE WHEN score >= 0.75 THEN 'High' WHEN score >= 0.5 THEN 'Moderate' ELSE 'Low' END AS risk_level,
+        CAST(0.5 AS DOUBLE) AS threshold, l_shipdate FROM lab)
 SELECT strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS Timestamp, case_id AS Case_ID,
        'PREDICTION_CREATED' AS Event_Type,
        'Prediction=' || prediction || '; Probability=' || printf('%.4f', round_even(probability, 4))
@@ -97,10 +102,10 @@ FROM ev""")
 def audit_events_q(spark, sf_dir):
     """One PREDICTION_CREATED audit row per scored case, stamped
     with the ship date, exported with ISO-seconds text."""
+    from .inputs import score_expr
     li = table(spark, sf_dir, "lineitem")
-    lab = labelled(spark, sf_dir).join(
-        li.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-                  .alias("case_key"), "l_shipdate"), "case_key")
+    lab = li.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+                    .alias("case_key"), score_expr().alias("score"), "l_shipdate")
     sc = SC.score_cases(lab, SC.expression_scorer(F.col("score")), 0.5, "case_key",
                         keep=["l_shipdate"])
     return R.audit_export(R.prediction_events(sc, F.col("l_shipdate")))
