@@ -144,3 +144,14 @@ def test_norm_functions(spark):
                                 SY.norm_cdf(F.lit(1.959963984540054)).alias("p")).first()
     assert row["z"] == pytest.approx(1.959963984540054, abs=1e-8)
     assert row["p"] == pytest.approx(0.975, abs=2e-7)
+
+
+def test_explain_report_tables(spark):
+    d = planted(spark, 50)
+    rep = X.explain_report(d.orderBy("id").limit(3), d.limit(8),
+                           SC.expression_scorer(F.expr("0.3 * a + 0.1 * b")), FEATS, "id",
+                           d.select("id", "label"), "label", n_perm=2, top_n=2)
+    assert set(rep) == {"global_importance", "local_factors", "local_prediction"}
+    assert rep["global_importance"].first()["feature"] == "a"
+    assert rep["local_factors"].count() == 6
+    assert rep["local_prediction"].count() == 3

@@ -34,3 +34,11 @@ def test_query_matches_duckdb(spark, con, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() == 1 and "threshold" in df.columns
+
+
+def test_schema_hints_cover_every_twin():
+    from riskframe.plans import catalog
+    from riskframe.plans._schema_hints import HINTS
+    catalog._load_all()
+    twins = {k for k, (_, sql) in catalog.REGISTRY.items() if sql}
+    assert twins <= set(HINTS), sorted(twins - set(HINTS))
