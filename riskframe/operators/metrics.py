@@ -84,7 +84,7 @@ def _score_counts(df: DataFrame, label: str, score: str, by: list[str]) -> DataF
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
-            by: Sequence[str] = (), n_buckets: int = 256) -> DataFrame:
+            by: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
     """Exact area under the ROC curve per group; ties get half credit.
 
     AUC = sum_s pos(s) * (neg_below(s) + neg(s) / 2) / (P * N), summed in
@@ -103,7 +103,7 @@ def _n_groups(sc: DataFrame, g: list[str]) -> int:
     return sc.select(*g).distinct().count()
 
 
-def _auc_from_counts(sc: DataFrame, g: list[str], score: str, n_buckets: int,
+def _auc_from_counts(sc: DataFrame, g: list[str], score: str, n_buckets: int | None,
                      n_groups: int | None = None) -> DataFrame:
     ng = n_groups if n_groups is not None else _n_groups(sc, g)
     pre = two_level_prefix(sc, g, score, ["neg"], n_buckets=n_buckets, n_groups=ng)
@@ -119,7 +119,7 @@ def _auc_from_counts(sc: DataFrame, g: list[str], score: str, n_buckets: int,
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
-              by: Sequence[str] = (), n_buckets: int = 256,
+              by: Sequence[str] = (), n_buckets: int | None = None,
               drop_intermediate: bool = True) -> DataFrame:
     """(threshold, fpr, tpr): rates of rows with score >= threshold at each
     distinct score, plus the origin point (threshold +inf, 0, 0).
@@ -132,7 +132,9 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
     from pyspark.sql import Window
     d, g = with_all_group(df, by)
     sc = _score_counts(d, label, score, g)
-    splits = range_splits_for(sc, score, n_buckets)
+    n_sc = sc.count()  # distinct (group, score) rows; also materialises the cache
+    from .ranking import auto_buckets
+    splits = range_splits_for(sc, score, n_buckets or auto_buckets(n_sc), n_sc)
     ng = _n_groups(sc, g)
     bound = ng * (len(splits) - 1)  # rows of any per-(group, bucket) table
     b = bucketize(sc, score, splits, "_rb")
@@ -171,9 +173,10 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
     return _drop_all(pts.unionByName(origin), by)
 
 
-def range_splits_for(sc: DataFrame, score: str, n_buckets: int) -> list[float]:
+def range_splits_for(sc: DataFrame, score: str, n_buckets: int,
+                     n_rows: int | None = None) -> list[float]:
     from .ranking import range_splits
-    return range_splits(sc, score, n_buckets)
+    return range_splits(sc, score, n_buckets, n_rows=n_rows)
 
 
 # H1 ------------------------------------------------------------------------
@@ -216,7 +219,7 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score",
                  (F.col("_N") - F.col("fp")).alias("tn"))
     out = j.select(*g, "_i", "threshold", "tn", "fp", "fn", "tp", *metric_columns())
     if with_auc:
-        out = null_safe_join(out, _auc_from_counts(sc, g, score, 256), g, how="left")
+        out = null_safe_join(out, _auc_from_counts(sc, g, score, None), g, how="left")
     return _drop_all(out.orderBy(*g, "_i").drop("_i"), by)
 
 

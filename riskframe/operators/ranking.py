@@ -142,14 +142,25 @@ def prefix_before(df: DataFrame, groups: Sequence[str], order: str,
                             for v in values])
 
 
+def auto_buckets(n_rows: int, minimum: int = 256, rows_per_bucket: int = 1_000_000,
+                 maximum: int = 100_000) -> int:
+    """Bucket count that keeps about ``rows_per_bucket`` rows per bucket."""
+    return int(min(maximum, max(minimum, n_rows // rows_per_bucket + 1)))
+
+
 def two_level_prefix(df: DataFrame, groups: Sequence[str], order: str,
-                     values: Sequence[str], n_buckets: int = 256,
-                     prefix: str = "before_", n_groups: int | None = None) -> DataFrame:
+                     values: Sequence[str], n_buckets: int | None = None,
+                     prefix: str = "before_", n_groups: int | None = None,
+                     n_rows: int | None = None) -> DataFrame:
     """Exact exclusive prefix sums of ``values`` over ``order`` within each
     group, for tables of any size: range buckets on ``order`` (approximate
-    quantiles), bucket totals (small) → prefix → joined back, then a running
-    sum inside each (group, bucket)."""
-    splits = range_splits(df, order, n_buckets)
+    quantiles; the bucket count grows with the row count), bucket totals
+    (small) → prefix → joined back, then a running sum inside each
+    (group, bucket)."""
+    if n_buckets is None:
+        n_rows = df.count() if n_rows is None else n_rows
+        n_buckets = auto_buckets(n_rows)
+    splits = range_splits(df, order, n_buckets, n_rows=n_rows)
     b = "_pf_bucket"
     d = bucketize(df, order, splits, b)
     tot = d.groupBy(*groups, b).agg(*[F.sum(v).alias(v) for v in values])

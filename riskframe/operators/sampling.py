@@ -137,7 +137,9 @@ def _rank_by_key(d: DataFrame, label: str, key: str) -> DataFrame:
     numeric = dict(d.dtypes)[key] in ("int", "bigint", "smallint", "tinyint", "double", "float")
     if not numeric:
         raise TypeError("kfold_ordered needs a numeric key column")
-    splits = range_splits(d, key, 256)
+    from .ranking import auto_buckets
+    n_rows = d.count()
+    splits = range_splits(d, key, auto_buckets(n_rows), n_rows=n_rows)
     b = bucketize(d, key, splits, "_kb")
     cnt = b.groupBy(label, "_kb").agg(F.count(F.lit(1)).alias("_n"))
     off = prefix_before(cnt, [label], "_kb", ["_n"], prefix="_off").drop("_n")
@@ -157,11 +159,19 @@ def shuffle_rank(df: DataFrame, key: str | Sequence[str], seed: int = 42,
 
 
 # S6 / S7 -------------------------------------------------------------------
+TOP_N_LIMIT = 100_000
+
+
 def sample_n(df: DataFrame, n: int, key: str | Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly min(n, rows) rows without replacement: the first n in
-    md5(seed|key) order (a top-n, planned as TakeOrderedAndProject)."""
-    return (df.withColumn("_h", hash_order_key(_key(df, key), seed))
-              .orderBy("_h", _key(df, key).cast("string")).limit(n).drop("_h"))
+    md5(seed|key) order. Small n is a top-n (TakeOrderedAndProject: per-task
+    top-n, then an n-row merge); a large n filters on the two-level rank
+    instead, so no single task ever holds the sample."""
+    if n <= TOP_N_LIMIT:
+        return (df.withColumn("_h", hash_order_key(_key(df, key), seed))
+                  .orderBy("_h", _key(df, key).cast("string")).limit(n).drop("_h"))
+    ranked = shuffle_rank(df, key, seed, out="_sr")
+    return ranked.where(F.col("_sr") <= n).drop("_sr")
 
 
 sample_at_most = sample_n

@@ -72,3 +72,11 @@ def test_shuffle_rank_is_permutation(spark):
     d = spark.range(257).withColumnRenamed("id", "k")
     r = [x["shuffle_rank"] for x in SM.shuffle_rank(d, "k").collect()]
     assert sorted(r) == list(range(1, 258))
+
+
+def test_sample_n_large_path_equals_top_n(spark, monkeypatch):
+    d = spark.range(500).withColumnRenamed("id", "k")
+    small = {r["k"] for r in SM.sample_n(d, 120, "k").collect()}
+    monkeypatch.setattr(SM, "TOP_N_LIMIT", 10)
+    large = {r["k"] for r in SM.sample_n(d, 120, "k").collect()}
+    assert small == large and len(small) == 120
