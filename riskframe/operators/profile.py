@@ -172,12 +172,11 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], by: str, exact: bool = Tru
     long = unpivot_features(df, [by], cols).where(
         F.col("value").isNotNull() & ~F.isnan("value"))
     keys = [by, "feature"]
-    n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if exact:
         from .ranking import exact_quantiles
         q = exact_quantiles(long, keys, "value", [0.25, 0.5, 0.75])
-        qs = null_safe_join(n, q, keys).select(*keys, "n", F.col("q0").alias("q1"),
-                                               F.col("q1").alias("median"), F.col("q2").alias("q3"))
+        qs = q.select(*keys, "n", F.col("q0").alias("q1"),
+                      F.col("q1").alias("median"), F.col("q2").alias("q3"))
     else:
         pct = F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy)
         qs = long.groupBy(*keys).agg(pct.alias("_q"), F.count(F.lit(1)).alias("n"))

@@ -228,4 +228,9 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
     q = F.col("_vf") + (F.col("_vc") - F.col("_vf")) * (F.col("_h") - F.floor("_h"))
     res = agg.select(*groups, "_i", q.alias("_q"))
     out = res.groupBy(*groups).pivot("_i", list(range(len(probs)))).agg(F.first("_q"))
-    return out.select(*groups, *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))])
+    cols = [*groups, *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))]]
+    if not groups:
+        return out.select(*cols)
+    # group sizes come free from the bucket counts (non-null values)
+    sizes = cnt.groupBy(*groups).agg(F.sum("_n").alias("n"))
+    return null_safe_join(out, sizes, groups).select(*cols, "n")

@@ -60,8 +60,10 @@ SELECT qid AS vec_id, tl AS predicted, votes / 5.0 AS probability FROM b WHERE r
 def knn_classify_q(spark, sf_dir):
     """Exact 5-NN vote of the embeddings test split against the
     training split (stratified by class, md5 order)."""
+    from pyspark import StorageLevel
     e = table(spark, sf_dir, "embeddings").withColumn("case_key", F.col("vec_id").cast("string"))
-    s = SM.stratified_holdout(e, "label", 0.2, "case_key", 42)
+    # both sides are counted (block sizing) and then joined: split once
+    s = SM.stratified_holdout(e, "label", 0.2, "case_key", 42).persist(StorageLevel.MEMORY_AND_DISK)
     return ML.knn_classify(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"),
                            5, "vec_id", "embedding", "label")
 
