@@ -40,11 +40,11 @@ def prediction_records(scored: DataFrame) -> DataFrame:
 
 
 # I12 / A8 ------------------------------------------------------------------
-def report_rows(records: DataFrame) -> DataFrame:
+def report_rows(records: DataFrame, title: str = S.REPORT_TITLE) -> DataFrame:
     """One text report per prediction record."""
     return records.select("Case_ID", S.report_text(
         "Case_ID", "Predicted_Diagnosis", "Malignant_Probability", "Risk_Level",
-        F.col("Threshold")).alias("report"))
+        F.col("Threshold"), title).alias("report"))
 
 
 # I9 / I10 / K2 -------------------------------------------------------------

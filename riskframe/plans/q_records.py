@@ -75,7 +75,7 @@ def _pct_sql(x):
 @register("report_text", f"""
 WITH {LABELLED_SQL}, {_scored_sql()}
 SELECT case_id AS Case_ID,
-  printf({S.REPORT_HEAD!r}, case_id, prediction, {_pct_sql('probability')}, risk_level,
+  printf({S.REPORT_HEAD!r}, {S.REPORT_TITLE!r}, case_id, prediction, {_pct_sql('probability')}, risk_level,
          printf('%.2f', round_even(threshold, 2)))
   || CASE WHEN risk_level = 'High' THEN {S.REPORT_HIGH!r} WHEN risk_level = 'Moderate' THEN {S.REPORT_MODERATE!r}
           ELSE {S.REPORT_LOW!r} END
