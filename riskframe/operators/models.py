@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import q
 from . import metrics as M
-from .ranking import sized_broadcast
 
 Z = "__z_"  # prefix of standardised columns
 

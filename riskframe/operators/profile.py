@@ -12,10 +12,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, q, unpivot_features
+from ..functions.columns import col, unpivot_features
 from .ranking import null_safe_join, sized_broadcast
 
 # Metric names of the quality report, in report order.
@@ -273,8 +273,3 @@ def compare_tables(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame
 def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("long")
                   .alias("columns"))
-
-
-__all__ = ["quality_report", "missing_cells", "duplicate_rows", "describe_features",
-           "class_counts", "correlation_matrix", "target_correlations", "boxplot_stats",
-           "kde", "compare_tables", "shape", "q", "Window"]

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import round_doubles  # noqa: F401
 from ..operators import explain as X
 from ..operators import sampling as SM
 from ..operators import scoring as SC

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.scalars import arange
 from ..operators import metrics as M
 from .catalog import register

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import arange  # noqa: F401
 from ..operators import metrics as M
 from ..operators import sampling as SM
 from .catalog import register
