@@ -78,7 +78,9 @@ def rank_within(df: DataFrame, groups: Sequence[str], order_hex: str,
     count: 4096 buckets up to ~4e9 rows, 16x more per further digit), counted
     per (group, bucket), and the small count table
     gets exclusive prefix sums. Level 2: ``row_number`` inside each
-    (group, bucket) plus the bucket offset. With ``return_counts`` the cached
+    (group, bucket) plus the bucket offset. The order key is expected to be a
+    row id (splits and folds hash unique keys); a key repeated on a large
+    share of rows would fall into a single bucket. With ``return_counts`` the cached
     (group, bucket, count) table is returned too (it also gives group sizes
     without another pass over the rows)."""
     from pyspark import StorageLevel
@@ -218,9 +220,15 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
                  F.col("t.i").alias("_i"), F.col("t.side").alias("_side"), F.col("t.h").alias("_h"))
     want = sized_broadcast(t)  # <= groups x 2 x len(probs) rows, size-checked
     hit = null_safe_join(b, want.select(*groups, "_qb").distinct(), [*groups, "_qb"], "left_semi")
-    wr = Window.partitionBy(*groups, "_qb").orderBy("_v")
-    ranked = hit.select(*groups, "_qb", "_v", F.row_number().over(wr).alias("_pos"))
-    picked = null_safe_join(ranked, want, [*groups, "_qb", "_pos"])
+    # Collapse each target bucket to distinct (value, count) first (map-side),
+    # so a value repeated on a third of the rows is one row, not one task's
+    # sort; then cumulative counts in value order locate each target rank.
+    dv = hit.groupBy(*groups, "_qb", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    wr = (Window.partitionBy(*groups, "_qb").orderBy("_v")
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    dv = dv.select(*groups, "_qb", "_v", F.sum("_c").over(wr).alias("_cum"), "_c")
+    picked = null_safe_join(dv, want, [*groups, "_qb"]).where(
+        (F.col("_pos") > F.col("_cum") - F.col("_c")) & (F.col("_pos") <= F.col("_cum")))
     agg = picked.groupBy(*groups, "_i").agg(
         F.max(F.when(F.col("_side") == "f", F.col("_v"))).alias("_vf"),
         F.max(F.when(F.col("_side") == "c", F.col("_v"))).alias("_vc"),

@@ -45,3 +45,13 @@ def test_projection_helpers(spark):
     assert (r["k"], r["x"], r["y"], r["z"]) == (7, 1.0, 2.0, 3.0)
     m = C.unpivot_features(d, ["id"], ["mean radius", "n"]).collect()
     assert sorted((x["feature"], x["value"]) for x in m) == [("mean radius", 2.0), ("n", 3.0)]
+
+
+def test_exact_quantiles_heavy_value(spark):
+    rows = [("g", 0.0)] * 700 + [("g", float(i)) for i in range(1, 301)]
+    d = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.1, 0.5, 0.7, 0.75, 0.99]
+    r = exact_quantiles(d, ["g"], "v", probs, n_buckets=4).first()
+    want = np.percentile(np.array([v for _, v in rows]), [p * 100 for p in probs])
+    assert [r[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(want))
+    assert r["n"] == 1000
