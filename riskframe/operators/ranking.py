@@ -82,7 +82,7 @@ def rank_within(df: DataFrame, groups: Sequence[str], order_hex: str,
     row id (splits and folds hash unique keys); a key repeated on a large
     share of rows would fall into a single bucket. With ``return_counts`` the cached
     (group, bucket, count) table is returned too (it also gives group sizes
-    without another pass over the rows)."""
+    without another pass over the rows) with the number of groups."""
     from pyspark import StorageLevel
     if hex_digits is None:
         hex_digits = auto_hex_digits(df.count())
@@ -95,12 +95,17 @@ def rank_within(df: DataFrame, groups: Sequence[str], order_hex: str,
          .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*groups, b,
                             F.coalesce(F.sum("_rk_n").over(w), F.lit(0)).alias("_rk_off"))
-    joined = null_safe_join(d, sized_broadcast(offsets), [*groups, b])
+    # one count (it also materialises the cached counts) proves the size of
+    # every per-(group, bucket) and per-group table derived from it
+    n_groups = counts.select(*groups).distinct().count() if groups else 1
+    bound = n_groups * 16 ** hex_digits
+    joined = null_safe_join(d, sized_broadcast(offsets, known_rows=bound), [*groups, b])
     w2 = Window.partitionBy(*groups, b).orderBy(F.col(order_hex), F.col(tie))
     ranked = joined.withColumn(out, F.row_number().over(w2) + F.col("_rk_off")) \
                    .drop(b, "_rk_off")
     if return_counts:
-        return ranked, counts.groupBy(*groups).agg(F.sum("_rk_n").alias("n_c"))
+        class_n = counts.groupBy(*groups).agg(F.sum("_rk_n").alias("n_c"))
+        return ranked, class_n, n_groups
     return ranked
 
 

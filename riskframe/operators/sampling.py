@@ -61,9 +61,10 @@ def stratified_holdout(df: DataFrame, label: str, test_frac: float = 0.2,
     rows in md5(seed|key) order. Reproducible on any engine with md5."""
     d = df.withColumn("_h", hash_order_key(_key(df, key), seed)) \
           .withColumn("_tie", _key(df, key).cast("string"))
-    ranked, class_n = rank_within(d, [label], "_h", "_tie", out="_rank", return_counts=True)
+    ranked, class_n, n_classes = rank_within(d, [label], "_h", "_tie", out="_rank",
+                                             return_counts=True)
     quotas = quotas_from_counts(class_n, label, test_frac).select(label, "test_quota")
-    j = null_safe_join(ranked, sized_broadcast(quotas), [label])
+    j = null_safe_join(ranked, sized_broadcast(quotas, known_rows=n_classes), [label])
     out = j.withColumn(split_col, F.when(F.col("_rank") <= F.col("test_quota"), names[1])
                        .otherwise(names[0]))
     drop = ["_h", "_tie", "test_quota"] + ([] if keep_rank else ["_rank"])
