@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, ngram_join, packing, token_counts, toxicity, url_filter
+from . import embedding_dedup, exact_dedup, license_scan, mixing, ngram_join, packing, suffix_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -34,6 +34,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@register("op2_embedding_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @register("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have Jaccard >= 0.85."""
@@ -85,6 +91,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+@register("op7_license_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or inherited."""
+    files = license_scan.document_files(table(spark, sf_dir, "documents"))
+    return license_scan.scan_licenses(files).withColumnRenamed("id", "doc_id")
+
+
 OP8_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]', '', 'g') AS norm FROM documents),
 r AS (SELECT doc_id, sha256(norm) AS text_sha256, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size
@@ -99,6 +112,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@register("op9_suffix_array_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 100 bytes that occur earlier."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS BIGINT) AS size,
                   md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord FROM documents),
