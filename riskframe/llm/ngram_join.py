@@ -19,6 +19,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ WORDS, SIMILARITY = 4, 85
 #: Frequent tokens: at most this many (8 bytes each), the most frequent ones, each
 #: seen at least FREQUENT_FROM times. Tokens beyond it are indexed alone, so the
 #: choice moves work and no result.
-FREQUENT, FREQUENT_FROM = 200_000, 64
+FREQUENT, FREQUENT_FROM = 1_000_000, 4
 #: Prefix tokens per pair group; pivots of the first round with several.
 PER_GROUP, PIVOTS = 8, 8
 _MIX = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,8 +47,8 @@ class Shingler(dict):
     def __init__(self, words: int):
         self.words = words
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
+    def __missing__(self, word: bytes) -> bytes:
+        h = xxhash.xxh3_64_digest(word)
         if len(word) <= 64:
             if len(self) > 1_000_000:
                 self.clear()
@@ -56,14 +57,16 @@ class Shingler(dict):
 
     def __call__(self, text: bytes) -> np.ndarray:
         # bytes.lower() lower-cases A-Z alone and bytes.split() cuts at [\x20\x09-\x0D]
-        w = np.array([self[x] for x in text.lower().split()], np.uint64)
+        w = np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), np.uint64)
         k = min(self.words, len(w))
         if k == 0:
             return w
         h = np.full(len(w) - k + 1, k, np.uint64)
         for j in range(k):
             h += w[j:len(w) - k + 1 + j] * _MIX[j]
-        return np.unique(_stir(h))
+        h = _stir(h)
+        h.sort()
+        return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def missing(n: int, percent: int) -> int:
@@ -90,12 +93,15 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
     """
     n = len(tokens)
     need = missing(n, percent) + 1
-    if len(frequent):
-        at = np.searchsorted(frequent, tokens)
-        common = frequent[np.minimum(at, len(frequent) - 1)] == tokens
-        rare, often = tokens[~common], tokens[common]
-    else:
-        rare, often = tokens, tokens[:0]
+    look, rare, often = 2 * need, tokens, tokens[:0]
+    while len(frequent):
+        part = tokens[:look]
+        at = np.searchsorted(frequent, part)
+        common = frequent[np.minimum(at, len(frequent) - 1)] == part
+        rare, often = part[~common], part[common]
+        if len(rare) >= need or look >= n:
+            break
+        look = n
     keys = [rare[:need]]
     if len(rare) < need and n > 1:
         own = level_of(n, percent)
@@ -121,24 +127,18 @@ def _runs(sorted_values: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _describe(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per slice: doc_id, size and 128-bit name of each set, and the tokens
+    that several documents of the slice hold, with their number. A token in more
+    documents than there are slices cannot stay below two in all of them."""
     shingle = Shingler(words)
     for (ids,), texts in text_batches(batches, "doc_id"):
         sets = [shingle(t) for t in texts]
-        pairs = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())],
-            ["doc_id", "n", "d1", "d2"])
-
-
-def _repeated(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens that several documents of a slice hold, with their number. A token in
-    more documents than there are slices cannot stay below two in all of them."""
-    shingle = Shingler(words)
-    for _, texts in text_batches(batches):
-        sets = [shingle(t) for t in set(texts)]
-        token, count = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
+        names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        pairs = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+        token, count = np.unique(np.concatenate(list(dict(zip(names, sets, strict=True)).values())), return_counts=True)
         own = count > 1
-        yield pa.RecordBatch.from_arrays([pa.array(token[own].view(np.int64)), pa.array(count[own].astype(np.int64))], ["token", "n"])
+        cols = [ids, [len(s) for s in sets], pairs[:, 0], pairs[:, 1], token[own].view(np.int64), count[own].astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.list_(pa.int64())) for c in cols], ["doc_id", "n", "d1", "d2", "token", "times"])
 
 
 def _index(words: int, percent: int, frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,32 +158,59 @@ def _index(words: int, percent: int, frequent, batches: Iterator[pa.RecordBatch]
                                           pa.array(np.concatenate([empty.view(np.int64), *name]))], ["sig", "d1"])
 
 
-def _sets(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named(words: int, batches: Iterator[pa.RecordBatch], make, kind: str) -> Iterator[pa.RecordBatch]:
+    """cid and make(tokens) of the rows whose set has the name that cid stands for."""
     shingle = Shingler(words)
     for (cids, firsts, seconds), texts in text_batches(batches, "cid", "d1", "d2"):
-        out = [(c, s) for c, a, b, t in zip(cids, firsts, seconds, texts, strict=True)
-               for s in (shingle(t).tobytes(),) if xxhash.xxh3_128_digest(s) == np.array([a, b], "<i8").tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["cid", "tokens"])
+        out = [(c, make(s)) for c, a, b, t in zip(cids, firsts, seconds, texts, strict=True)
+               for s in (shingle(t),) if xxhash.xxh3_128_digest(s.tobytes()) == np.array([a, b], "<i8").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["cid", kind])
 
 
-def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketch(tokens: np.ndarray) -> bytes:
+    """The first 20 bits of each token, as compressed differences."""
+    step = np.diff(tokens >> np.uint64(44), prepend=np.uint64(0)).astype("<u4")
+    return zstandard.compress(step.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _read_sketch(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy()
+    return np.cumsum(raw.view("<u4").ravel().astype(np.uint64))
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of a are in b (sorted)."""
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def _similar(percent: int, n: int, m: int, both: int) -> bool:
+    return 100 * both >= percent * (n + m - both)
+
+
+def _possible(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches leave it possible: shared tokens share their first bits."""
     for batch in batches:
         good = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            small_, large = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.minimum(np.searchsorted(large, small_), len(large) - 1)
-            both = int((large[at] == small_).sum())
-            good.append(100 * both >= percent * (len(x) + len(y) - both))
-        keep = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "v")], ["u", "v"])
+            a, b = _read_sketch(x), _read_sketch(y)
+            good.append(_similar(percent, len(a), len(b), min(_common(a, b), _common(b, a))))
+        yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+
+def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = []
+        for pair in batch.column("sets").to_pylist():
+            a, b = (np.frombuffer(x, np.uint64) for x in pair)
+            good.append(_similar(percent, len(a), len(b), _common(a, b)))
+        yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
-def frequent_tokens(src: DataFrame, words: int, most: int = FREQUENT, least: int = FREQUENT_FROM) -> np.ndarray:
+def frequent_tokens(slices: DataFrame, most: int = FREQUENT, least: int = FREQUENT_FROM) -> np.ndarray:
     """Sorted array of at most ``most`` tokens, those counted most often over all
     documents. Whole powers of two of the count are taken or left."""
-    counts = materialise(src.mapInArrow(partial(_repeated, words), "token long, n long").groupBy("token")
-                         .agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    pairs = slices.select(F.explode(F.arrays_zip("token", "times")).alias("x")).select("x.token", "x.times")
+    counts = materialise(pairs.groupBy("token").agg(F.sum("times").alias("n")).where(F.col("n") >= least)
                          .select("token", F.floor(F.log2("n")).cast("int").alias("p")), "token_counts")
     held, floor = 0, None
     for row in counts.groupBy("p").count().orderBy(F.desc("p")).collect():
@@ -209,17 +236,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = SIMIL
     """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    info = materialise(src.mapInArrow(partial(_describe, words), "doc_id long, n long, d1 long, d2 long")
+    parts = ", ".join(f"{c} array<long>" for c in ("doc_id", "n", "d1", "d2", "token", "times"))
+    slices = materialise(src.mapInArrow(partial(_describe, words), parts), "slices")
+    info = materialise(slices.select(F.explode(F.arrays_zip("doc_id", "n", "d1", "d2")).alias("x")).select("x.*")
                        .withColumn("row", F.monotonically_increasing_id()), "sets")
     src = src.where("doc_id IS NOT NULL")
     classes = materialise(info.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2")
                           .agg(F.min("row").alias("cid"), F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
-    frequent = spark.sparkContext.broadcast(frequent_tokens(src, words))
+    frequent = spark.sparkContext.broadcast(frequent_tokens(slices))
     index = src.select("text").mapInArrow(partial(_index, words, percent, frequent), "sig long, d1 long")
     shared = (index.groupBy("sig").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("sig"))
     met = index.join(shared, "sig").distinct()
     met = materialise(met.join(classes.select("d1", "cid", "n"), "d1").select("sig", "cid", "n"), "met")
-    edges = _links(met, _fetch(src, classes, met, words), percent)
+    edges = _links(src, classes, met, words, percent)
     parts = connected_components(edges).withColumnRenamed("node", "cid")
     named = classes.join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -236,40 +265,46 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     return docs.join(small(out), docs["doc_id"].cast("long") == out["_gone"], "left_anti")
 
 
-def _fetch(src: DataFrame, classes: DataFrame, met: DataFrame, words: int) -> DataFrame:
-    """(cid, tokens) of the classes in met, made anew from the text of their
-    smallest doc_id; several equal rows where that id repeats."""
-    wanted = materialise(met.select("cid").distinct().join(classes, "cid").select("cid", "least", "d1", "d2"), "wanted")
-    texts = src.join(small(wanted), src["doc_id"] == wanted["least"]).select("cid", "d1", "d2", "text")
-    return materialise(texts.mapInArrow(partial(_sets, words), "cid long, tokens binary"), "tokens")
-
-
-def _links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(src: DataFrame, classes: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified edges (u, v) that connect what the index rows met (sig, cid, n) can
     connect. A pair of classes under a common key is left out only when the two
-    are in one component already, or verified and found unlike."""
-    spark = met.sparkSession
+    are in one component already, or compared and found unlike.
+
+    Pairs are compared by sketches of some 1.5 bytes a token, made once; what
+    those leave possible, by whole token sets made anew from the texts.
+    """
     like = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    texts_of = lambda some: (src.join(small(some), src["doc_id"] == some["least"])
+                             .select(*[c for c in some.columns if c != "least"], "text"))
+    wanted = materialise(met.select("cid").distinct().join(classes, "cid").select("cid", "least", "d1", "d2"), "wanted")
+    sketches = materialise(texts_of(wanted).mapInArrow(partial(_named, words, make=sketch, kind="sketch"), "cid long, sketch binary"), "sketches")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("cid").alias("u"), F.col("tokens").alias("x"))
-        y = sets.select(F.col("cid").alias("v"), F.col("tokens").alias("y"))
-        return materialise(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y")
-                           .mapInArrow(partial(_verify, percent), "u long, v long"), "links")
+        x = sketches.select(F.col("cid").alias("u"), F.col("sketch").alias("x"))
+        y = sketches.select(F.col("cid").alias("v"), F.col("sketch").alias("y"))
+        left = materialise(pairs.select("u", "v").join(x, "u").join(y, "v").mapInArrow(partial(_possible, percent), "u long, v long").distinct(), "possible")
+        ends = left.select(F.explode(F.array("u", "v")).alias("cid"), "u", "v")
+        some = materialise(ends.select("cid").distinct().join(wanted, "cid"), "ends")
+        sets = texts_of(some).mapInArrow(partial(_named, words, make=np.ndarray.tobytes, kind="tokens"), "cid long, tokens binary")
+        both = sets.join(ends, "cid").groupBy("u", "v").agg(F.collect_set("tokens").alias("sets"))
+        return materialise(both.mapInArrow(partial(_verify, percent), "u long, v long"), "links")
 
     # first every class with the smallest class it meets: as many pairs as classes
+    sizes = classes.select("cid", "n")
     first = met.groupBy("sig").agg(F.min("cid").alias("v"))
-    pairs = materialise(met.join(first, "sig").where("cid <> v").groupBy("cid").agg(F.min("v").alias("v"))
-                        .select(F.col("cid").alias("u"), "v"), "pairs")
-    edges, tried, pivots = verified(pairs), pairs, PIVOTS
+    pairs = met.join(first, "sig").where("cid <> v").groupBy("cid", "n").agg(F.min("v").alias("v"))
+    pairs = materialise(pairs.join(sizes.select(F.col("cid").alias("v"), F.col("n").alias("m")), "v")
+                        .select(F.col("cid").alias("u"), "v", "n", "m").where(like), "pairs")
+    edges, tried, pivots = verified(pairs), pairs.select("u", "v"), PIVOTS
     rest = met
     while True:
         parts = connected_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("c"))
         now = rest.join(parts, "cid", "left").withColumn("c", F.coalesce("c", "cid"))
-        open_ = now.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("least"),
-                                       F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig", "size", "least")
-        rest = materialise(now.join(open_, "sig").withColumn(
-            "pivot", (F.col("cid") == F.col("least")) | (F.pmod(F.xxhash64("cid", F.lit(pivots)), F.ceil(F.col("size") / pivots)) == 0)), "open")
+        open_ = now.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig", "size")
+        # one in a power of two of the classes, the same ones under every key: near
+        # copies meet under many keys, and few of them should be pivots in all
+        share = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("size") / pivots)))).cast("long")
+        rest = materialise(now.join(open_, "sig").withColumn("pivot", F.pmod(F.xxhash64("cid"), share) == 0), "open")
         if rest.isEmpty():
             return edges
         p = rest.where("pivot").select("sig", F.col("cid").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
@@ -279,4 +314,4 @@ def _links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         edges = materialise(edges.union(verified(pairs)), "links")
         tried = tried.union(pairs)
         rest = rest.where("NOT pivot").select("sig", "cid", "n")  # a pivot has met the whole group
-        pivots *= 8
+        pivots *= 4
