@@ -30,10 +30,19 @@ MSG_BAD_DECISION = "Please enter Benign, Malignant, or Uncertain."
 NUMERIC_RE = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|0[xX][0-9a-fA-F]+|Infinity)$"
 
 
+def _number(x):
+    """Value of a NUMERIC_RE string: hexadecimal digits too, and never an error."""
+    digits = F.conv(F.substring(x, 3, 64), 16, 10).try_cast("double")
+    return F.when(x.rlike(r"^0[xX]"), digits).otherwise(x.try_cast("double"))
+
+
 # A6 ------------------------------------------------------------------------
 def prediction_records(scored: DataFrame) -> DataFrame:
-    """The stored prediction record (probability as a fraction)."""
+    """The stored prediction record (probability as a fraction); carries the full
+    case_key where scored has one. Case_ID shows 32 bits of it and is no key."""
+    key = [c for c in ("case_key",) if c in scored.columns]
     return scored.select(
+        *key,
         F.col("case_id").alias("Case_ID"), F.col("prediction").alias("Predicted_Diagnosis"),
         F.col("probability").alias("Malignant_Probability"),
         F.col("threshold").alias("Threshold"), F.col("risk_level").alias("Risk_Level"))
@@ -98,7 +107,8 @@ def validate_feedback(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw reviewer input (Case_ID, Timestamp, reviewer, decision, comment) →
     (normalised rows, rejects). Reviewer must be non-blank after trim; the
     decision is trimmed and title-cased and must be one of the three names;
-    a blank comment becomes the default text."""
+    a blank comment becomes the default text. A case_key is carried along."""
+    key = [c for c in ("case_key",) if c in raw.columns]
     d = raw.select("*", F.trim("reviewer").alias("_rev"),
                    S.normalise_decision("decision").alias("_dec"))
     reason = (F.when(F.coalesce(F.length("_rev"), F.lit(0)) == 0, F.lit(MSG_BLANK_REVIEWER))
@@ -106,7 +116,7 @@ def validate_feedback(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
                     F.lit(MSG_BAD_DECISION)))
     d = d.withColumn("reason", reason)
     valid = d.where(F.col("reason").isNull()).select(
-        "Timestamp", "Case_ID", F.col("_rev").alias("Doctor_Name"),
+        *key, "Timestamp", "Case_ID", F.col("_rev").alias("Doctor_Name"),
         F.col("_dec").alias("Final_Clinical_Decision"),
         S.default_comment("comment").alias("Clinical_Comments"))
     rejects = d.where(F.col("reason").isNotNull()).select(*raw.columns, "reason")
@@ -115,9 +125,10 @@ def validate_feedback(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def join_feedback(records: DataFrame, feedback: DataFrame) -> DataFrame:
     """Feedback rows carry over the prediction fields of their case and get
-    the agreement label (equi-join on Case_ID)."""
-    j = feedback.join(records.select("Case_ID", "Predicted_Diagnosis", "Malignant_Probability",
-                                     "Risk_Level"), "Case_ID", "inner")
+    the agreement label. Joined on the full case_key where both sides have it, as
+    Case_ID can stand for several cases; else on Case_ID."""
+    key = "case_key" if "case_key" in records.columns and "case_key" in feedback.columns else "Case_ID"
+    j = feedback.join(records.select(key, "Predicted_Diagnosis", "Malignant_Probability", "Risk_Level"), key, "inner")
     return j.select(
         "Timestamp", "Case_ID", "Doctor_Name",
         F.col("Predicted_Diagnosis").alias("Model_Prediction"),
@@ -168,7 +179,9 @@ def validate_feature_lines(lines: DataFrame, n: int = 30, file_col: str = "file"
     not just the first) must have exactly n fields, each a number. Fields are
     trimmed; a blank field is not a number."""
     nb = lines.where(F.length(F.trim(F.col(line_col))) > 0)
-    fields = F.transform(F.split(F.col(line_col), ","), lambda x: F.trim(x))
+    # commas inside double quotes do not cut; a quoted field loses its quotes
+    fields = F.transform(F.split(F.col(line_col), r',(?=(?:[^"]*"[^"]*")*[^"]*$)'),
+                         lambda x: F.trim(F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1")))
     d = nb.select(file_col, no_col, fields.alias("_f"))
     d = d.withColumn("_num", F.forall("_f", lambda x: x.rlike(NUMERIC_RE)))
     # First non-blank line per file from an aggregate (no per-file window).
@@ -193,7 +206,7 @@ def validate_feature_lines(lines: DataFrame, n: int = 30, file_col: str = "file"
         F.when(~F.col("_num"), F.lit(MSG_NON_NUMERIC)))
     data = data.withColumn("reason", reason)
     valid = data.where(F.col("reason").isNull()).select(
-        file_col, no_col, F.transform("_f", lambda x: x.cast("double")).alias("features"))
+        file_col, no_col, F.transform("_f", _number).alias("features"))
     line_rejects = data.where(F.col("reason").isNotNull()).select(file_col, no_col, "reason")
     file_rejects = fr.where(F.col("reason").isNotNull()).select(
         file_col, F.lit(None).cast("long").alias(no_col), "reason")

@@ -38,7 +38,7 @@ def _parts(spark, sf_dir):
 def _shap(spark, sf_dir):
     explained, background = _parts(spark, sf_dir)
     return X.permutation_shap(explained, background, SC.expression_scorer(_expr()), FEATURES,
-                              "case_key", n_perm=8)
+                              "case_key")
 
 
 _BASE_SQL = f"""

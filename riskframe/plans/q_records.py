@@ -53,7 +53,7 @@ SELECT case_id AS Case_ID, prediction AS Predicted_Diagnosis, probability AS Mal
        threshold AS Threshold, risk_level AS Risk_Level FROM sc""")
 def case_records_q(spark, sf_dir):
     """The stored prediction record per case (probability as a fraction)."""
-    return R.prediction_records(_scored(spark, sf_dir))
+    return R.prediction_records(_scored(spark, sf_dir)).drop("case_key")
 
 
 @register("response_json", f"""
@@ -161,6 +161,7 @@ def _raw_feedback(spark, sf_dir):
            .when(F.col("o_orderstatus") == "O", F.lit("BENIGN "))
            .otherwise(F.lit("uncertain")))
     return o.select(
+        F.col("o_orderkey").cast("string").alias("case_key"),
         (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("Timestamp"),
         S.case_id(F.col("o_orderkey")).alias("Case_ID"),
         F.when(pr.startswith("5"), F.lit("  ")).otherwise(
@@ -171,11 +172,11 @@ def _raw_feedback(spark, sf_dir):
 
 _ORDERS_SQL = """
 osc AS (SELECT o_orderkey, o_orderdate, round(o_totalprice / 600000.0, 4) AS score FROM orders),
-orec AS (SELECT 'CASE-' || upper(substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS Case_ID, o_orderdate,
+orec AS (SELECT o_orderkey, 'CASE-' || upper(substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS Case_ID, o_orderdate,
    CASE WHEN score >= 0.5 THEN 'Malignant' ELSE 'Benign' END AS Predicted_Diagnosis,
    score AS Malignant_Probability, 0.5 AS Threshold,
    CASE WHEN score >= 0.75 THEN 'High' WHEN score >= 0.5 THEN 'Moderate' ELSE 'Low' END AS Risk_Level FROM osc),
-raw AS (SELECT o_orderdate + INTERVAL 1 DAY AS Timestamp,
+raw AS (SELECT o_orderkey, o_orderdate + INTERVAL 1 DAY AS Timestamp,
    'CASE-' || upper(substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS Case_ID,
    CASE WHEN o_orderpriority LIKE '5%' THEN '  ' ELSE 'Reviewer ' || CAST(o_custkey AS VARCHAR) END AS reviewer,
    CASE WHEN o_orderpriority LIKE '4%' THEN 'unknown' WHEN o_orderstatus = 'F' THEN ' malignant'
@@ -185,7 +186,7 @@ nrm AS (SELECT *, trim(reviewer) AS rev, upper(substr(trim(decision), 1, 1)) ||
 chk AS (SELECT *, CASE WHEN length(rev) = 0 THEN 'Reviewer name cannot be empty.'
                       WHEN dec NOT IN ('Benign', 'Malignant', 'Uncertain') THEN 'Please enter Benign, Malignant, or Uncertain.'
                  END AS reason FROM nrm),
-fb AS (SELECT Timestamp, Case_ID, rev AS Doctor_Name, dec AS Final_Clinical_Decision,
+fb AS (SELECT o_orderkey, Timestamp, Case_ID, rev AS Doctor_Name, dec AS Final_Clinical_Decision,
        coalesce(nullif(trim(comment), ''), 'No additional comments provided.') AS Clinical_Comments
        FROM chk WHERE reason IS NULL),
 fj AS (SELECT fb.Timestamp, fb.Case_ID, fb.Doctor_Name, orec.Predicted_Diagnosis AS Model_Prediction,
@@ -193,7 +194,7 @@ fj AS (SELECT fb.Timestamp, fb.Case_ID, fb.Doctor_Name, orec.Predicted_Diagnosis
        CASE WHEN Final_Clinical_Decision = 'Uncertain' THEN 'Not Applicable'
             WHEN Final_Clinical_Decision = orec.Predicted_Diagnosis THEN 'Agree' ELSE 'Disagree' END
          AS Model_Clinical_Agreement, fb.Clinical_Comments
-       FROM fb JOIN orec USING (Case_ID))"""
+       FROM fb JOIN orec USING (o_orderkey))"""
 
 
 @register("feedback_agreement", f"""
@@ -211,7 +212,7 @@ WITH {_ORDERS_SQL} SELECT Timestamp, Case_ID, reviewer, decision, comment, reaso
 def feedback_rejects_q(spark, sf_dir):
     """Reviewer rows rejected with their reason."""
     _, rejects = R.validate_feedback(_raw_feedback(spark, sf_dir))
-    return rejects
+    return rejects.drop("case_key")
 
 
 @register("case_timeline", f"""
@@ -229,7 +230,7 @@ def case_timeline_q(spark, sf_dir):
     """Prediction, report and feedback events of every order-case."""
     sc = _orders_records(spark, sf_dir)
     records = R.prediction_records(sc).join(
-        sc.select(F.col("case_id").alias("Case_ID"), "o_orderdate"), "Case_ID")
+        sc.select("case_key", "o_orderdate"), "case_key")
     valid, _ = R.validate_feedback(_raw_feedback(spark, sf_dir))
     fb = R.join_feedback(records.drop("o_orderdate"), valid)
     pe = R.prediction_events(sc, F.col("o_orderdate"))
@@ -237,12 +238,15 @@ def case_timeline_q(spark, sf_dir):
     return R.audit_export(R.case_timeline(pe, re_, R.feedback_events(fb)))
 
 
+#: Values of an embedding, the arity of a request.
+N_VALUES = 64
+
+
 def _requests(spark, sf_dir):
-    """JSON bodies from embeddings: the first 30 values; class 3 sends 29
-    values and class 7 sends a text token first (planted defects)."""
+    """JSON bodies from embeddings: all 64 values; class 3 sends 63 and class 7 sends a text token first (planted defects)."""
     e = table(spark, sf_dir, "embeddings")
-    nums = F.transform(F.slice("embedding", 1, 30), lambda x: x.cast("double").cast("string"))
-    nums = F.when(F.col("label") == 3, F.slice(nums, 1, 29)).otherwise(nums)
+    nums = F.transform("embedding", lambda x: x.cast("double").cast("string"))
+    nums = F.when(F.col("label") == 3, F.slice(nums, 1, N_VALUES - 1)).otherwise(nums)
     body = F.concat(F.lit('{"features": ['),
                     F.when(F.col("label") == 7, F.lit('"abc", ')).otherwise(F.lit("")),
                     F.array_join(nums, ", "), F.lit("]}"))
@@ -251,7 +255,7 @@ def _requests(spark, sf_dir):
 
 _REQ_SQL = """
 rq AS (SELECT vec_id, '{"features": [' || CASE WHEN label = 7 THEN '"abc", ' ELSE '' END
-   || array_to_string(CASE WHEN label = 3 THEN embedding[1:29] ELSE embedding[1:30] END, ', ') || ']}' AS body FROM embeddings),
+   || array_to_string(CASE WHEN label = 3 THEN embedding[1:63] ELSE embedding END, ', ') || ']}' AS body FROM embeddings),
 rp AS (SELECT vec_id, body, json_array_length(body, '$.features') AS n,
    list_bool_and(list_transform(json_extract(body, '$.features[*]'), lambda x: json_type(x) IN ('DOUBLE', 'BIGINT', 'UBIGINT'))) AS numeric FROM rq)"""
 
@@ -259,20 +263,20 @@ rp AS (SELECT vec_id, body, json_array_length(body, '$.features') AS n,
 @register("request_rejects", f"""
 WITH {_REQ_SQL}
 SELECT vec_id, CASE WHEN NOT numeric THEN 'Request body is not valid JSON with a features list.'
-                    ELSE 'Exactly 30 input features are required.' END AS reason
-FROM rp WHERE NOT numeric OR n <> 30""")
+                    ELSE 'Exactly 64 input features are required.' END AS reason
+FROM rp WHERE NOT numeric OR n <> 64""")
 def request_rejects_q(spark, sf_dir):
     """JSON requests rejected for arity or non-numeric values."""
-    _, rej = R.parse_feature_requests(_requests(spark, sf_dir), "body", 30, keep=["vec_id"])
+    _, rej = R.parse_feature_requests(_requests(spark, sf_dir), "body", N_VALUES, keep=["vec_id"])
     return rej.select("vec_id", "reason")
 
 
 @register("request_valid", f"""
 WITH {_REQ_SQL}
-SELECT vec_id, CAST(n AS BIGINT) AS n_features FROM rp WHERE numeric AND n = 30""")
+SELECT vec_id, CAST(n AS BIGINT) AS n_features FROM rp WHERE numeric AND n = 64""")
 def request_valid_q(spark, sf_dir):
-    """Accepted requests (array of 30 doubles)."""
-    ok, _ = R.parse_feature_requests(_requests(spark, sf_dir), "body", 30, keep=["vec_id"])
+    """Accepted requests (array of 64 doubles)."""
+    ok, _ = R.parse_feature_requests(_requests(spark, sf_dir), "body", N_VALUES, keep=["vec_id"])
     return ok.select("vec_id", F.size("features").cast("long").alias("n_features"))
 
 
@@ -303,18 +307,18 @@ def feature_labels_q(spark, sf_dir):
 
 
 @register("completeness", """
-WITH c AS (SELECT vec_id, list_transform(embedding[1:30], lambda x: CASE WHEN x < 0 THEN '' ELSE 'v' END) AS arr FROM embeddings),
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x < 0 THEN '' ELSE 'v' END) AS arr FROM embeddings),
 n AS (SELECT vec_id, len(list_filter(arr, lambda x: trim(x) <> '')) AS filled FROM c)
 SELECT vec_id, CAST(filled AS BIGINT) AS filled,
-  CASE WHEN filled = 30 THEN 'Tumor measurements ready for analysis'
+  CASE WHEN filled = 64 THEN 'Tumor measurements ready for analysis'
        WHEN filled > 0 THEN 'Tumor measurements partially loaded'
        ELSE 'Waiting for tumor measurements' END AS status FROM n""")
 def completeness_q(spark, sf_dir):
-    """Non-blank count of a 30-field form and its status text (negative
+    """Non-blank count of a 64-field form and its status text (negative
     embedding values stand for blank fields)."""
     e = table(spark, sf_dir, "embeddings")
-    arr = F.transform(F.slice("embedding", 1, 30),
+    arr = F.transform("embedding",
                       lambda x: F.when(x < 0, F.lit("")).otherwise(F.lit("v")))
     d = e.select("vec_id", arr.alias("arr"))
     return d.select("vec_id", S.completeness_count("arr").cast("long").alias("filled"),
-                    S.completeness_status("arr").alias("status"))
+                    S.completeness_status("arr", N_VALUES).alias("status"))

@@ -65,3 +65,19 @@ def test_latest_record(spark):
                               "k int, ts int, v string, tie int")
     got = {r["k"]: r["v"] for r in R.latest_record(d, ["k"], "ts", tie="tie").collect()}
     assert got == {1: "c", 2: "d"}
+
+
+def test_feedback_joins_on_the_full_key(spark):
+    """Two cases that show the same Case_ID stay apart."""
+    rec = spark.createDataFrame([("k1", "CASE-1", "Benign", 0.1, 0.5, "Low"), ("k2", "CASE-1", "Malignant", 0.9, 0.5, "High")],
+                                "case_key string, Case_ID string, Predicted_Diagnosis string, Malignant_Probability double, Threshold double, Risk_Level string")
+    raw = spark.createDataFrame([("k2", "2024-01-01", "CASE-1", "Dr", "malignant", "")],
+                                "case_key string, Timestamp string, Case_ID string, reviewer string, decision string, comment string")
+    got = R.join_feedback(rec, R.validate_feedback(raw)[0]).collect()
+    assert [(r.Model_Prediction, r.Model_Clinical_Agreement) for r in got] == [("Malignant", "Agree")]
+
+
+def test_csv_hex_and_quotes(spark):
+    valid, rejects = R.validate_feature_lines(_lines(spark, {"a.csv": '"3","4",0x1A\n"1,5",2,3'}), 3)
+    assert [r.features for r in valid.collect()] == [[3.0, 4.0, 26.0]]
+    assert [r.reason for r in rejects.collect()] == [R.MSG_NON_NUMERIC]
