@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_of, materialise, spread, text_batches
-from .tokens import WordIds
+from .tokens import word_ids
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -28,7 +28,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     """Pieces of every row of docs (doc_id, text): its token ids, then end_id, cut
     every ``capacity`` tokens. Null and empty texts are the end id alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        words, end = word_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for (ids,), texts in text_batches(batches, "doc_id"):
             out = [(i, k, s // 4, len(p) // 4, zlib.crc32(p))
                    for i, t in zip(ids, texts, strict=True)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, text_batches
-from .tokens import STRETCH, PreTokens, load, piece_counts
+from .tokens import STRETCH, PreTokens, load, piece_counts, pre_tokens
 
 BLOCK = "doc_ids array<long>, n_bytes array<long>, ends array<long>, pairs binary, pre_tokens array<string>"
 
@@ -59,7 +59,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     docs (doc_id, text). Null and empty texts have 0 bytes and tokens; repeated
     rows are counted each."""
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre = PreTokens(tokenizer_path)
+        pre = pre_tokens(tokenizer_path)
         packer = zstandard.ZstdCompressor(level=1)
         for (ids,), texts in text_batches(batches, "doc_id"):
             ends, number, freq, names = frequencies(texts, pre)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -17,8 +18,9 @@ from tokenizers import Tokenizer
 WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
 #: A run of white space with the run of other characters behind it, or the last white space.
 STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Stretches that a task remembers; the memory is emptied when full. Longer ones are not remembered.
-MEMORY, LONGEST = 400_000, 64
+#: Stretches that a worker remembers, from task to task; the memory is emptied when
+#: full. Longer ones are not remembered.
+MEMORY, LONGEST = 600_000, 64
 
 
 def load(path: str) -> Tokenizer:
@@ -89,3 +91,14 @@ class PreTokens:
 def piece_counts(tokenizer: Tokenizer, pre_tokens: list[str]) -> list[int]:
     """Number of pieces of each pre-token."""
     return [len(e.ids) for e in tokenizer.encode_batch_fast(pre_tokens, add_special_tokens=False)]
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The worker's own, kept between tasks."""
+    return WordIds(path)
+
+
+@lru_cache(maxsize=1)
+def pre_tokens(path: str) -> PreTokens:
+    return PreTokens(path)
