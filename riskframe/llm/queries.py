@@ -58,8 +58,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Says the equivalence by address alone: pages here declare no canonical or refresh
+#: links; components over declared links are held against planted cases in tests/llm.
 OP6_SQL = r"""
-WITH RECURSIVE cut AS (
+WITH cut AS (
   SELECT page_id, url, html, coalesce(regexp_extract(url, '^.*?://(.*)$', 1, 's'), '') AS rest FROM pages),
 parts AS (
   SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -85,7 +87,7 @@ SELECT page_id, host, path, rule, coalesce(own, v, 'allow') AS verdict FROM rule
 """
 
 
-@register("op6_url_filter")
+@register("op6_url_filter", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
