@@ -29,10 +29,10 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     every ``capacity`` tokens. Null and empty texts are the end id alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = word_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for (ids,), texts in text_batches(batches, "doc_id"):
+        for (ids,), texts in text_batches(batches, "doc_id", limit=2 << 20):
             out = [(i, k, s // 4, len(p) // 4, zlib.crc32(p))
-                   for i, t in zip(ids, texts, strict=True)
-                   for data in (words.ids(t) + end,)
+                   for i, own in zip(ids, words.of(texts), strict=True)
+                   for data in (own + end,)
                    for k, s in enumerate(range(0, len(data), 4 * capacity))
                    for p in (data[s:s + 4 * capacity],)]
             cols = list(zip(*out, strict=True))

@@ -9,15 +9,21 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 #: Unicode White_Space, which is what \\s means to the tokenizer library.
 WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
 #: A run of white space with the run of other characters behind it, or the last white space.
 STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Marks at the end of a word, behind a digit or a letter of a-z or Latin-1; the
+#: apostrophe is left, as it can go with the letter behind it.
+END_MARKS = re.compile(rb"([0-9a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([!-&(-/:-@\[-`{-~]+)(?=[ \t-\r]|\Z)")
+#: Words of small letters of a-z and Latin-1, which normalising leaves as they are.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Stretches that a worker remembers, from task to task; the memory is emptied when
 #: full. Longer ones are not remembered.
 MEMORY, LONGEST = 600_000, 64
@@ -32,31 +38,49 @@ def load(path: str) -> Tokenizer:
 
 
 class WordIds:
-    """Ids of a text under a vocabulary that drops white space and lower-cases:
-    words between ASCII white space do not affect each other."""
+    """Ids of a text under a vocabulary that drops white space, lower-cases, and cuts
+    runs of letters from runs of marks: words between ASCII white space do not affect
+    each other, nor do a word and the marks behind it. So A-Z are lower-cased and
+    marks at a word's end taken off first, and fewer distinct words are left. Plain
+    lower-case words go straight to the model, as nothing is left to normalise."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Texts with these stay as written: strings of added tokens keep their case,
+        #: and a dot above (U+0307) makes another small letter of a capital I.
+        self.as_written = sorted({t.content.encode()[:1] for t in added} | {b"\xcc\x87"})
         self.known: dict[bytes, bytes] = {}
 
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids; no special tokens are added."""
-        known, words = self.known, text.split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        distinct = list(dict.fromkeys(words))
-        own = {w: known[w] for w in distinct if w in known}
-        new = [w for w in distinct if w not in own]
-        for start in range(0, len(new), 4096):
-            part = new[start:start + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            own.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded, strict=True))
+    def words(self, text: bytes) -> list[bytes]:
+        if not any(c in text for c in self.as_written):
+            text = END_MARKS.sub(rb"\1 \2", text.lower())
+        return text.split()
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; no special tokens are added."""
+        known, words = self.known, [self.words(t) for t in texts]
+        own: dict[bytes, bytes] = {}
+        for w in set().union(*words):
+            ids = known.get(w)
+            own[w] = ids if ids is not None else b""
+        new = [w for w in own if w not in known]
+        easy = [w for w in new if PLAIN.fullmatch(w)]
+        hard = set(new).difference(easy)
+        for tokenizer, some in ((self.plain, easy), (self.tokenizer, list(hard))):
+            for start in range(0, len(some), 4096):
+                part = some[start:start + 4096]
+                coded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+                own.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, coded, strict=True))
         if len(known) + len(new) > MEMORY:
             known.clear()
         known.update((w, own[w]) for w in new[:MEMORY] if len(w) <= LONGEST)
-        return b"".join([own[w] for w in words])
+        return [b"".join(map(own.__getitem__, ws)) for ws in words]
+
+    def ids(self, text: bytes) -> bytes:
+        return self.of([text])[0]
 
 
 class PreTokens:

@@ -2,6 +2,7 @@
 empty and long texts, ties, repeated rows, clashing extra columns, empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -314,3 +315,14 @@ def test_pipeline(spark):
     for _, stage in C.STAGES[:-1]:
         assert stage(spark, docs, d).columns == docs.columns
         assert stage(spark, docs.where("false"), d).count() == 0
+
+
+def test_word_ids_are_the_librarys_on_odd_texts():
+    rng = random.Random(3)
+    parts = ["a", "B", "é", "É", "ß", "İ", "İ", "Á", "'s", "'T", "don't", ".", "!", "…", "÷", "×",
+             "«", "3", "٣", "ſ", "K", "Σ", "ς", " ", "\n", "\x0b", "\x1c", "\x85", "<|endoftext|>", "<|ENDOFTEXT|>",
+             "<", "=", "̸", "`", "_", "x.", "x'.", "y!?", "ÿ,", "À)", "ñ$", "\0", "中", "\U0001f600", "​", ">", "ǅ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    words = tokens.WordIds(P.path("word_bpe_49k.json"))
+    want = [np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert words.of([t.encode() for t in texts]) == want
