@@ -1,7 +1,8 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 The tokens of a document are its distinct word n-grams. Under one global order,
-rare tokens before frequent ones, two similar sets must meet in their prefixes:
+rare tokens before frequent ones and these by the power of two of their count,
+two similar sets must meet in their prefixes:
 in one rare token, or in two frequent tokens of one group. So prefixes are
 extended over frequent tokens and indexed by pairs of them, while rare tokens are
 indexed alone. Sets that meet are verified exactly.
@@ -28,7 +29,7 @@ from .common import connected_components, materialise, small, text_batches
 WORDS, SIMILARITY = 4, 85
 #: Frequent tokens: at most this many (8 bytes each), the most frequent ones, each
 #: seen at least FREQUENT_FROM times. Tokens beyond it are indexed alone, so the
-#: choice moves work and no result.
+#: choice moves work and no result, and so does the order of the frequent ones.
 FREQUENT, FREQUENT_FROM = 1_000_000, 4
 #: Prefix tokens per pair group; pivots of the first round with several.
 PER_GROUP, PIVOTS = 8, 8
@@ -80,8 +81,11 @@ def level_of(n: int, percent: int) -> int:
     return int(math.log(n) / -math.log(percent / 100 - 1e-4))
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a sorted token set. Similar sets that differ have one in common.
+def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int, powers: np.ndarray | None = None) -> tuple[np.ndarray, int | None]:
+    """(keys, rare): index keys of a sorted token set, rare tokens before
+    combinations, and the number of its rare tokens if all of them are keys. Similar
+    sets that differ have a key in common. powers orders the frequent tokens, the
+    least frequent first, ties by value.
 
     A set lacks at most ``missing`` of its tokens in a similar one, so of a
     prefix with more than that many rare tokens, one is shared. Else the prefix
@@ -100,6 +104,8 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
         common = frequent[np.minimum(at, len(frequent) - 1)] == part
         rare, often = part[~common], part[common]
         if len(rare) >= need or look >= n:
+            if powers is not None:
+                often = often[np.argsort(powers[at[common]], kind="stable")]
             break
         look = n
     keys = [rare[:need]]
@@ -118,7 +124,11 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
             for lo, hi in zip(*_runs(g), strict=True):
                 a, b = np.triu_indices(hi - lo, 1)
                 keys.append(_stir(t[lo + a] * _MIX[10] + t[lo + b] * _MIX[11] + np.uint64(level)))
-    return np.concatenate(keys)
+    return np.concatenate(keys), len(rare) if len(rare) < need else None
+
+
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    return index_keys(tokens, frequent, percent)[0]
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[list[int], list[int]]:
@@ -141,21 +151,27 @@ def _describe(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array([c], pa.list_(pa.int64())) for c in cols], ["doc_id", "n", "d1", "d2", "token", "times"])
 
 
-def _index(words: int, percent: int, frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index(words: int, frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, first half of the set's name, rare: number of rare tokens where all
+    are keys, else null; single: the key is one of these)."""
     shingle = Shingler(words)
     for _, texts in text_batches(batches):
-        sig, name, done = [], [], set()
+        sig, name, rare, done = [np.empty(0, np.uint64)], [], [], set()
         for t in texts:
             s = shingle(t)
             d = xxhash.xxh3_128_digest(s.tobytes())
             if d not in done and len(s):
                 done.add(d)
-                keys = signatures(s, frequent.value, percent)
+                keys, alone = index_keys(s, *frequent.value)
                 sig.append(keys)
-                name.append(np.full(len(keys), np.frombuffer(d[:8], "<i8")[0]))
-        empty = np.empty(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *sig]).view(np.int64)),
-                                          pa.array(np.concatenate([empty.view(np.int64), *name]))], ["sig", "d1"])
+                name.append(np.frombuffer(d[:8], "<i8")[0])
+                rare.append(-1 if alone is None else alone)
+        sizes = np.array([len(k) for k in sig[1:]], np.int64)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        alone = np.array(rare, np.int64)[of]
+        place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        cols = [np.concatenate(sig).view(np.int64), np.array(name, np.int64)[of], pa.array(alone, mask=alone < 0), place < alone]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["sig", "d1", "rare", "single"])
 
 
 def _named(words: int, batches: Iterator[pa.RecordBatch], make, kind: str) -> Iterator[pa.RecordBatch]:
@@ -206,9 +222,10 @@ def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
-def frequent_tokens(slices: DataFrame, most: int = FREQUENT, least: int = FREQUENT_FROM) -> np.ndarray:
-    """Sorted array of at most ``most`` tokens, those counted most often over all
-    documents. Whole powers of two of the count are taken or left."""
+def frequent_tokens(slices: DataFrame, most: int = FREQUENT, least: int = FREQUENT_FROM) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, powers): a sorted array of at most ``most`` tokens, those counted most
+    often over all documents, and the power of two of each one's count. Whole powers
+    are taken or left."""
     pairs = slices.select(F.explode(F.arrays_zip("token", "times")).alias("x")).select("x.token", "x.times")
     counts = materialise(pairs.groupBy("token").agg(F.sum("times").alias("n")).where(F.col("n") >= least)
                          .select("token", F.floor(F.log2("n")).cast("int").alias("p")), "token_counts")
@@ -218,9 +235,11 @@ def frequent_tokens(slices: DataFrame, most: int = FREQUENT, least: int = FREQUE
             break
         held, floor = held + row["count"], row["p"]
     if floor is None:
-        return np.empty(0, np.uint64)
-    rows = counts.where(F.col("p") >= floor).select("token").toArrow().column("token").to_numpy()
-    return np.sort(rows.astype(np.int64).view(np.uint64))
+        return np.empty(0, np.uint64), np.empty(0, np.int8)
+    rows = counts.where(F.col("p") >= floor).select("token", "p").toArrow()
+    tokens = rows.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], rows.column("p").to_numpy().astype(np.int8)[order]
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
@@ -243,13 +262,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = SIMIL
     src = src.where("doc_id IS NOT NULL")
     classes = materialise(info.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2")
                           .agg(F.min("row").alias("cid"), F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
-    frequent = spark.sparkContext.broadcast(frequent_tokens(slices))
-    index = src.select("text").mapInArrow(partial(_index, words, percent, frequent), "sig long, d1 long")
+    tokens, powers = frequent_tokens(slices)
+    frequent = spark.sparkContext.broadcast((tokens, percent, powers))
+    index = src.select("text").mapInArrow(partial(_index, words, frequent), "sig long, d1 long, rare long, single boolean")
     shared = (index.groupBy("sig").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("sig"))
     met = index.join(shared, "sig").distinct()
-    met = materialise(met.join(classes.select("d1", "cid", "n"), "d1").select("sig", "cid", "n"), "met")
-    edges = _links(src, classes, met, words, percent)
-    parts = connected_components(edges).withColumnRenamed("node", "cid")
+    # where all rare tokens of a set are keys, those that no other set has as a key are its own
+    own = met.groupBy("d1").agg((F.max("rare") - F.count_if("single")).alias("own"))
+    known = classes.join(own, "d1").select("d1", "cid", "n", (F.col("n") - F.col("own")).alias("most"))
+    met = materialise(met.join(known, "d1").select("sig", "cid", "n", "most"), "met")
+    parts = _linked(src, classes, met, words, percent)
     named = classes.join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     owner = named.select("d1", "d2", "component").join(least, "component").select("d1", "d2", "component_id")
@@ -265,15 +287,19 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     return docs.join(small(out), docs["doc_id"].cast("long") == out["_gone"], "left_anti")
 
 
-def _links(src: DataFrame, classes: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verified edges (u, v) that connect what the index rows met (sig, cid, n) can
-    connect. A pair of classes under a common key is left out only when the two
-    are in one component already, or compared and found unlike.
+def _linked(src: DataFrame, classes: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:
+    """(cid, component) of the classes that verified links connect, from the index
+    rows met (sig, cid, n, most). A pair of classes under a common key is left out
+    only when the two are in one component already, compared and found unlike, or
+    too unlike by their numbers: by their sizes, or because two sets with all rare
+    tokens indexed share at most ``most`` tokens, all but those that no other set has.
 
     Pairs are compared by sketches of some 1.5 bytes a token, made once; what
     those leave possible, by whole token sets made anew from the texts.
     """
-    like = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    both = F.least("n", "m", "most", "most_m")  # nulls are skipped, and so is a bound of one set alone
+    both = F.when(F.col("most").isNotNull() & F.col("most_m").isNotNull(), both).otherwise(F.least("n", "m"))
+    like = both * 100 >= (F.col("n") + F.col("m") - both) * percent
     texts_of = lambda some: (src.join(small(some), src["doc_id"] == some["least"])
                              .select(*[c for c in some.columns if c != "least"], "text"))
     wanted = materialise(met.select("cid").distinct().join(classes, "cid").select("cid", "least", "d1", "d2"), "wanted")
@@ -289,29 +315,31 @@ def _links(src: DataFrame, classes: DataFrame, met: DataFrame, words: int, perce
         both = sets.join(ends, "cid").groupBy("u", "v").agg(F.collect_set("tokens").alias("sets"))
         return materialise(both.mapInArrow(partial(_verify, percent), "u long, v long"), "links")
 
+    def components(edges: DataFrame) -> DataFrame:
+        return materialise(connected_components(edges).select(F.col("node").alias("cid"), "component"), "parts")
+
     # first every class with the smallest class it meets: as many pairs as classes
-    sizes = classes.select("cid", "n")
-    first = met.groupBy("sig").agg(F.min("cid").alias("v"))
-    pairs = met.join(first, "sig").where("cid <> v").groupBy("cid", "n").agg(F.min("v").alias("v"))
-    pairs = materialise(pairs.join(sizes.select(F.col("cid").alias("v"), F.col("n").alias("m")), "v")
-                        .select(F.col("cid").alias("u"), "v", "n", "m").where(like), "pairs")
-    edges, tried, pivots = verified(pairs), pairs.select("u", "v"), PIVOTS
-    rest = met
+    first = met.groupBy("sig").agg(F.min_by(F.struct(F.col("cid").alias("v"), F.col("n").alias("m"), F.col("most").alias("most_m")), "cid").alias("f"))
+    pairs = met.join(first, "sig").select("cid", "n", "most", "f.*").where("cid <> v").where(like)
+    pairs = materialise(pairs.groupBy("cid").agg(F.min("v").alias("v")).select(F.col("cid").alias("u"), "v"), "pairs")
+    edges, tried, pivots = verified(pairs), pairs, PIVOTS
+    parts, rest = components(edges), met
     while True:
-        parts = connected_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("c"))
-        now = rest.join(parts, "cid", "left").withColumn("c", F.coalesce("c", "cid"))
+        now = rest.join(parts, "cid", "left").select("sig", "cid", "n", "most", F.coalesce("component", "cid").alias("c"))
         open_ = now.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig", "size")
         # one in a power of two of the classes, the same ones under every key: near
         # copies meet under many keys, and few of them should be pivots in all
         share = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("size") / pivots)))).cast("long")
         rest = materialise(now.join(open_, "sig").withColumn("pivot", F.pmod(F.xxhash64("cid"), share) == 0), "open")
         if rest.isEmpty():
-            return edges
-        p = rest.where("pivot").select("sig", F.col("cid").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
+            return parts
+        p = rest.where("pivot").select("sig", F.col("cid").alias("v"), F.col("n").alias("m"), F.col("most").alias("most_m"), F.col("c").alias("d"))
         pairs = (rest.join(p, "sig").where("c <> d AND (NOT pivot OR cid > v)").where(like)
                  .select(F.greatest("cid", "v").alias("u"), F.least("cid", "v").alias("v")).distinct())
         pairs = materialise(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        edges = materialise(edges.union(verified(pairs)), "links")
+        links = verified(pairs)
+        if not links.isEmpty():  # earlier components stand for the links they came from
+            parts = components(links.union(parts.select(F.col("cid").alias("u"), F.col("component").alias("v"))))
         tried = tried.union(pairs)
-        rest = rest.where("NOT pivot").select("sig", "cid", "n")  # a pivot has met the whole group
-        pivots *= 4
+        rest = rest.where("NOT pivot").select("sig", "cid", "n", "most")  # a pivot has met the whole group
+        pivots *= 8
