@@ -32,7 +32,7 @@ WORDS, SIMILARITY = 4, 85
 #: choice moves work and no result, and so does the order of the frequent ones.
 FREQUENT, FREQUENT_FROM = 1_000_000, 4
 #: Prefix tokens per pair group; pivots of the first round with several.
-PER_GROUP, PIVOTS = 8, 8
+PER_GROUP, PIVOTS = 2, 8
 _MIX = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -81,11 +81,12 @@ def level_of(n: int, percent: int) -> int:
     return int(math.log(n) / -math.log(percent / 100 - 1e-4))
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int, powers: np.ndarray | None = None) -> tuple[np.ndarray, int | None]:
-    """(keys, rare): index keys of a sorted token set, rare tokens before
-    combinations, and the number of its rare tokens if all of them are keys. Similar
-    sets that differ have a key in common. powers orders the frequent tokens, the
-    least frequent first, ties by value.
+def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int, powers: np.ndarray | None = None) -> tuple[np.ndarray, int | None, int]:
+    """(keys, rare, first): index keys of a sorted token set, rare tokens before
+    combinations; the number of its rare tokens if all of them are keys; and the
+    number of keys before those of the next level. Similar sets that differ have a
+    key in common, sets of one level even without the next one's keys. powers orders
+    the frequent tokens, the least frequent first, ties by value.
 
     A set lacks at most ``missing`` of its tokens in a similar one, so of a
     prefix with more than that many rare tokens, one is shared. Else the prefix
@@ -124,7 +125,11 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int, powers: n
             for lo, hi in zip(*_runs(g), strict=True):
                 a, b = np.triu_indices(hi - lo, 1)
                 keys.append(_stir(t[lo + a] * _MIX[10] + t[lo + b] * _MIX[11] + np.uint64(level)))
-    return np.concatenate(keys), len(rare) if len(rare) < need else None
+            if level == own:
+                first = sum(map(len, keys))
+    else:
+        first = len(keys[0])
+    return np.concatenate(keys), len(rare) if len(rare) < need else None, first
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -153,25 +158,27 @@ def _describe(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def _index(words: int, frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, first half of the set's name, rare: number of rare tokens where all
-    are keys, else null; single: the key is one of these)."""
+    are keys, else null; single: the key is one of these; later: of the next level)."""
     shingle = Shingler(words)
     for _, texts in text_batches(batches):
-        sig, name, rare, done = [np.empty(0, np.uint64)], [], [], set()
+        sig, name, rare, firsts, done = [np.empty(0, np.uint64)], [], [], [], set()
         for t in texts:
             s = shingle(t)
             d = xxhash.xxh3_128_digest(s.tobytes())
             if d not in done and len(s):
                 done.add(d)
-                keys, alone = index_keys(s, *frequent.value)
+                keys, alone, first = index_keys(s, *frequent.value)
                 sig.append(keys)
                 name.append(np.frombuffer(d[:8], "<i8")[0])
                 rare.append(-1 if alone is None else alone)
+                firsts.append(first)
         sizes = np.array([len(k) for k in sig[1:]], np.int64)
         of = np.repeat(np.arange(len(sizes)), sizes)
         alone = np.array(rare, np.int64)[of]
         place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        cols = [np.concatenate(sig).view(np.int64), np.array(name, np.int64)[of], pa.array(alone, mask=alone < 0), place < alone]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["sig", "d1", "rare", "single"])
+        cols = [np.concatenate(sig).view(np.int64), np.array(name, np.int64)[of], pa.array(alone, mask=alone < 0), place < alone,
+                place >= np.array(firsts, np.int64)[of]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["sig", "d1", "rare", "single", "later"])
 
 
 def _named(words: int, batches: Iterator[pa.RecordBatch], make, kind: str) -> Iterator[pa.RecordBatch]:
@@ -264,13 +271,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = SIMIL
                           .agg(F.min("row").alias("cid"), F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
     tokens, powers = frequent_tokens(slices)
     frequent = spark.sparkContext.broadcast((tokens, percent, powers))
-    index = src.select("text").mapInArrow(partial(_index, words, frequent), "sig long, d1 long, rare long, single boolean")
+    index = src.select("text").mapInArrow(partial(_index, words, frequent), "sig long, d1 long, rare long, single boolean, later boolean")
     shared = (index.groupBy("sig").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("sig"))
     met = index.join(shared, "sig").distinct()
     # where all rare tokens of a set are keys, those that no other set has as a key are its own
     own = met.groupBy("d1").agg((F.max("rare") - F.count_if("single")).alias("own"))
     known = classes.join(own, "d1").select("d1", "cid", "n", (F.col("n") - F.col("own")).alias("most"))
-    met = materialise(met.join(known, "d1").select("sig", "cid", "n", "most"), "met")
+    met = materialise(met.join(known, "d1").select("sig", "later", "cid", "n", "most"), "met")
     parts = _linked(src, classes, met, words, percent)
     named = classes.join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -289,10 +296,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 def _linked(src: DataFrame, classes: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:
     """(cid, component) of the classes that verified links connect, from the index
-    rows met (sig, cid, n, most). A pair of classes under a common key is left out
-    only when the two are in one component already, compared and found unlike, or
-    too unlike by their numbers: by their sizes, or because two sets with all rare
-    tokens indexed share at most ``most`` tokens, all but those that no other set has.
+    rows met (sig, later, cid, n, most). A pair of classes under a common key is left
+    out only when the two are in one component already, compared and found unlike,
+    both under a key of the next level (similar ones meet under their own), or too
+    unlike by their numbers: by their sizes, or because two sets with all rare tokens
+    indexed share at most ``most`` tokens, all but those that no other set has.
 
     Pairs are compared by sketches of some 1.5 bytes a token, made once; what
     those leave possible, by whole token sets made anew from the texts.
@@ -325,7 +333,7 @@ def _linked(src: DataFrame, classes: DataFrame, met: DataFrame, words: int, perc
     edges, tried, pivots = verified(pairs), pairs, PIVOTS
     parts, rest = components(edges), met
     while True:
-        now = rest.join(parts, "cid", "left").select("sig", "cid", "n", "most", F.coalesce("component", "cid").alias("c"))
+        now = rest.join(parts, "cid", "left").select("sig", "later", "cid", "n", "most", F.coalesce("component", "cid").alias("c"))
         open_ = now.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig", "size")
         # one in a power of two of the classes, the same ones under every key: near
         # copies meet under many keys, and few of them should be pivots in all
@@ -333,13 +341,13 @@ def _linked(src: DataFrame, classes: DataFrame, met: DataFrame, words: int, perc
         rest = materialise(now.join(open_, "sig").withColumn("pivot", F.pmod(F.xxhash64("cid"), share) == 0), "open")
         if rest.isEmpty():
             return parts
-        p = rest.where("pivot").select("sig", F.col("cid").alias("v"), F.col("n").alias("m"), F.col("most").alias("most_m"), F.col("c").alias("d"))
-        pairs = (rest.join(p, "sig").where("c <> d AND (NOT pivot OR cid > v)").where(like)
+        p = rest.where("pivot").select("sig", F.col("later").alias("later_v"), F.col("cid").alias("v"), F.col("n").alias("m"), F.col("most").alias("most_m"), F.col("c").alias("d"))
+        pairs = (rest.join(p, "sig").where("c <> d AND NOT (later AND later_v) AND (NOT pivot OR cid > v)").where(like)
                  .select(F.greatest("cid", "v").alias("u"), F.least("cid", "v").alias("v")).distinct())
         pairs = materialise(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         links = verified(pairs)
         if not links.isEmpty():  # earlier components stand for the links they came from
             parts = components(links.union(parts.select(F.col("cid").alias("u"), F.col("component").alias("v"))))
         tried = tried.union(pairs)
-        rest = rest.where("NOT pivot").select("sig", "cid", "n", "most")  # a pivot has met the whole group
+        rest = rest.where("NOT pivot").select("sig", "later", "cid", "n", "most")  # a pivot has met the whole group
         pivots *= 8
