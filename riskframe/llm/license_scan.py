@@ -37,10 +37,12 @@ TEMPLATES = {
     "LGPL-3.0": ["SPDX-License-Identifier: LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."],
     "MIT": ["SPDX-License-Identifier: MIT", "Released under the MIT License.", "Licensed under the MIT License."],
     "MPL-2.0": ["SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "Proprietary": ["Copyright. All rights reserved."],
+    "Proprietary": ["Copyright. All rights reserved.", "All rights reserved."],
     "Unlicense": ["SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain."],
 }
 SIMILAR = 0.7
+#: Words of any prose; they weigh least, whatever templates hold them.
+COMMON = frozenset("a all an and any are as at be by for from has have in into is it may not of on or other that the this to under use with you your 1 2 3".split())
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]es?|copying|notice|unlicense)(?:\.(?:md|txt|rst|html))?$"
 _WORD = re.compile(r"[^\W_]+(?:[.][0-9]+)*")
 
@@ -49,19 +51,20 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def vocabulary(templates: dict[str, list[str]]) -> list[str]:
-    return sorted({w for forms in templates.values() for t in forms for w in words_of(t)})
-
-
 class Matcher:
-    """Best template of a passage by TF-IDF cosine; words outside the templates
-    weigh as words that no document has."""
-
-    def __init__(self, templates: dict[str, list[str]], df: dict[str, int], n: int, similar: float):
-        self.similar, self.rarest = similar, math.log(n + 1) + 1
-        self.idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary(templates)}
+    """Best template of a passage by TF-IDF cosine. IDF counts words over the
+    templates, so a score belongs to the passage alone and not to the corpus around
+    it; COMMON words weigh 1, and words outside the templates weigh as words that no
+    template has. One word is no notice: a match shares two, or all of a template."""
+
+    def __init__(self, templates: dict[str, list[str]], similar: float):
+        every = [t for forms in templates.values() for t in forms]
+        df = Counter(w for t in every for w in set(words_of(t)))
+        self.similar, self.rarest = similar, math.log(len(every) + 1) + 1
+        self.idf = {w: 1.0 if w in COMMON else math.log((len(every) + 1) / (n + 1)) + 1 for w, n in df.items()} | {w: 1.0 for w in COMMON}
         self.postings: dict[str, list[tuple[int, float]]] = {}
         self.names: list[str] = []
+        self.sizes: list[int] = []
         #: A passage without any of these words is below ``similar`` for all
         #: templates: the words that are left carry less than that part of each.
         self.cues: set[str] = set()
@@ -78,6 +81,7 @@ class Matcher:
                 for w, x in own.items():
                     self.postings.setdefault(w, []).append((len(self.names), x / length))
                 self.names.append(name)
+                self.sizes.append(len(own))
 
     def _weights(self, counts: Counter) -> dict[str, float]:
         return {w: (1 + math.log(c)) * self.idf.get(w, self.rarest) for w, c in counts.items()}
@@ -92,8 +96,10 @@ class Matcher:
             for k, y in self.postings.get(w, ()):
                 scores[k] = scores.get(k, 0.0) + x * y
         length = math.sqrt(sum(x * x for x in own.values()))
-        top, k = max(((s / length, -k) for k, s in scores.items()), default=(0.0, 0))
-        return (top, self.names[-k]) if top >= self.similar else None
+        for top, k in sorted(((s / length, -k) for k, s in scores.items() if s >= self.similar * length), reverse=True):
+            if sum(-k in {j for j, _ in self.postings.get(w, ())} for w in own) >= min(2, self.sizes[-k]):
+                return top, self.names[-k]
+        return None
 
     def scan(self, text: str, whole: bool) -> tuple[float, str] | None:
         """Best match over all lines and paragraphs of a text, and the whole text for
@@ -130,28 +136,16 @@ def scan_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     """id, path, own_license, own_score, license, inherited_from for every row of
     files (id, path, text).
 
-    IDF counts the template words over all rows. own_license is the best template
-    with a cosine of at least ``similar`` (null without one). license is the own
+    own_license is the best template with a cosine of at least ``similar`` (null
+    without one), whatever other rows there are. license is the own
     one, else that of the nearest directory upwards with a licence file that
     matched; of several in one directory the highest score, then the first name.
     Null and empty texts match nothing but inherit; a null path counts as a file
     at the top. Repeated rows are judged alike.
     """
-    known = vocabulary(templates)
     src = files.select(F.col("id").cast("long").alias("id"), F.col("path").cast("string").alias("path"), "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = Counter(), 0
-        for _, texts in slices(batches):
-            for t in texts:
-                own.update(set(words_of(t.decode("utf-8", "replace"))).intersection(known))
-                n += 1
-        # the empty word counts the rows
-        yield pa.RecordBatch.from_arrays([pa.array([*own, ""], pa.string()), pa.array([*own.values(), n], pa.int64())], ["word", "n"])
-
-    df = {r["word"]: r["n"] for r in src.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    n = df.pop("", 0)
-    held = files.sparkSession.sparkContext.broadcast(Matcher(templates, df, n, similar))
+    held = files.sparkSession.sparkContext.broadcast(Matcher(templates, similar))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):

@@ -284,6 +284,15 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(df.where("false")).count() == 0
 
 
+def test_license_scores_do_not_follow_the_corpus(spark):
+    # 'licensed', 'all', 'rights' and 'reserved' are in every other row, 'copyright' in none
+    notices = [(k, f"d{k}/x.txt", t) for k, t in enumerate(["All rights reserved.", "Released under the MIT License.", "all the license words", "Mit."])]
+    fill = spark.range(100, 20_100).selectExpr("id", "concat('f', id, '.txt') AS path", "IF(id % 2 = 0, 'reserved licensed all rights here', 'plain words') AS text")
+    few = spark.createDataFrame(notices, "id long, path string, text string")
+    got = [{r.id: (r.own_license, r.own_score) for r in license_scan.scan_licenses(d).where("id < 100").collect()} for d in (few, few.union(fill))]
+    assert got[0] == got[1] and [got[1][k][0] for k in range(4)] == ["Proprietary", "MIT", None, None]
+
+
 def test_toxicity(spark, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
