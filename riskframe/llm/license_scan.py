@@ -1,8 +1,8 @@
 """License scans: sparse TF-IDF cosine of notices and licence files to templates,
 then inheritance from the nearest ancestor directory.
 
-Every line and paragraph of every whole text is compared, and licence files as a
-whole too. Files without a match of their own take the licence of the nearest
+Every line, sentence and paragraph of every whole text is compared with notices,
+titles and opening paragraphs, and licence files as a whole with licence texts too. Files without a match of their own take the licence of the nearest
 directory above them that has a licence file, found by joins on directory paths.
 """
 
@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,17 +41,62 @@ TEMPLATES = {
     "Proprietary": ["Copyright. All rights reserved.", "All rights reserved."],
     "Unlicense": ["SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain."],
 }
+#: Titles, headers and opening paragraphs of the licence texts, matched like notices.
+_FSF = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the "
+        "Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_2 = (_BSD + " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+          "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+          "in the documentation and/or other materials provided with the distribution.")
+_BSD_3 = ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+          "derived from this software without specific prior written permission.")
+TITLES = {
+    "AGPL-3.0": ["GNU Affero General Public License", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", _FSF.format("Affero General Public License", 3)],
+    "Apache-2.0": ["Apache License 2.0", "Apache License Version 2.0, January 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+                   'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+                   "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License", _BSD, _BSD_2],
+    "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License", _BSD_3, f"{_BSD_2} 3. {_BSD_3}"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International Public License"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International Public License"],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International Public License"],
+    "CC0-1.0": ["Creative Commons Legal Code CC0 1.0 Universal", "CC0 1.0 Universal"],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991", _FSF.format("General Public License", 2)],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", _FSF.format("General Public License", 3)],
+    "ISC": ["ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", _FSF.format("Lesser General Public License", 3)],
+    "MIT": ["MIT License", "The MIT License (MIT)",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+            'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+            "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+            "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0"],
+    "Unlicense": ["The Unlicense"],
+}
+TEMPLATES = {name: forms + TITLES.get(name, []) for name, forms in TEMPLATES.items()}
+#: Licences whose text has all of another's: that one is not meant beside them. A
+#: reservation of rights counts only where nothing is granted.
+RESERVED = "Proprietary"
+COVERS = {"BSD-3-Clause": "BSD-2-Clause"}
+TEXTS = Path(__file__).parent / "licences"
 SIMILAR = 0.7
 #: Words of any prose; they weigh least, whatever templates hold them.
 COMMON = frozenset("a all an and any are as at be by for from has have in into is it may not of on or other that the this to under use with you your 1 2 3".split())
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]es?|copying|notice|unlicense)(?:\.(?:md|txt|rst|html))?$"
 _WORD = re.compile(r"[^\W_]+(?:[.][0-9]+)*")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def licence_texts() -> dict[str, list[str]]:
+    """The licence texts that lie beside this module, one a name."""
+    return {p.stem: [p.read_text("utf-8")] for p in sorted(TEXTS.glob("*.txt"))}
+
+
 class Matcher:
     """Best template of a passage by TF-IDF cosine. IDF counts words over the
     templates, so a score belongs to the passage alone and not to the corpus around
@@ -101,24 +147,36 @@ class Matcher:
                 return top, self.names[-k]
         return None
 
-    def scan(self, text: str, whole: bool) -> tuple[float, str] | None:
-        """Best match over all lines and paragraphs of a text, and the whole text for
-        a licence file."""
-        if self.cues.isdisjoint(words_of(text)):
-            return None
+    def scan(self, text: str, texts: Matcher | None = None) -> tuple[float, str] | None:
+        """Best match over all lines, their sentences and all paragraphs of a text;
+        for a licence file over the whole text too, against the templates and
+        against ``texts``, the matcher of whole licence texts."""
         found, paragraph = [], []
+        if texts is not None:
+            whole = words_of(text)
+            found += [texts.best(whole), self.best(whole)]
+        if self.cues.isdisjoint(words_of(text)):
+            return self._first(found)
         for line in [*text.splitlines(), ""]:
             words = words_of(line)
             if words:
                 found.append(self.best(words))
+                parts = () if found[-1] or self.cues.isdisjoint(words) else _SENTENCE.split(line.strip())
+                if len(parts) > 1:
+                    found += [self.best(words_of(p)) for p in parts]
                 paragraph.append(words)
                 continue
             if len(paragraph) > 1:
                 found.append(self.best([w for p in paragraph for w in p]))
             paragraph = []
-        if whole:
-            found.append(self.best(words_of(text)))
-        return min((f for f in found if f), key=lambda f: (-f[0], f[1]), default=None)
+        return self._first(found)
+
+    @staticmethod
+    def _first(found: list) -> tuple[float, str] | None:
+        found = [f for f in found if f]
+        names = {name for _, name in found}
+        gone = {COVERS.get(name) for name in names} | ({RESERVED} if names - {RESERVED} else set())
+        return min((f for f in found if f[1] not in gone), key=lambda f: (-f[0], f[1]), default=None)
 
 
 def directory(path: Column) -> Column:
@@ -132,12 +190,14 @@ def ancestors(folder: Column) -> Column:
     return F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
-def scan_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, similar: float = SIMILAR) -> DataFrame:
+def scan_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, similar: float = SIMILAR,
+                  whole: dict[str, list[str]] | None = None) -> DataFrame:
     """id, path, own_license, own_score, license, inherited_from for every row of
     files (id, path, text).
 
     own_license is the best template with a cosine of at least ``similar`` (null
-    without one), whatever other rows there are. license is the own
+    without one), whatever other rows there are; licence files are also compared as a
+    whole with the texts ``whole`` (licence_texts() by default). license is the own
     one, else that of the nearest directory upwards with a licence file that
     matched; of several in one directory the highest score, then the first name.
     Null and empty texts match nothing but inherit; a null path counts as a file
@@ -145,11 +205,12 @@ def scan_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     """
     src = files.select(F.col("id").cast("long").alias("id"), F.col("path").cast("string").alias("path"), "text")
 
-    held = files.sparkSession.sparkContext.broadcast(Matcher(templates, similar))
+    held = files.sparkSession.sparkContext.broadcast((Matcher(templates, similar), Matcher(licence_texts() if whole is None else whole, similar)))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            found = [held.value.scan(t.decode("utf-8", "replace"), w) for t, w in zip(texts, part.column("is_licence").to_pylist(), strict=True)]
+            notices, whole_texts = held.value
+            found = [notices.scan(t.decode("utf-8", "replace"), whole_texts if w else None) for t, w in zip(texts, part.column("is_licence").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), part.column("path"), part.column("is_licence"), pa.array([f and f[1] for f in found], pa.string()),
                  pa.array([f and f[0] for f in found], pa.float64())], ["id", "path", "is_licence", "own_license", "own_score"])

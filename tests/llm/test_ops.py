@@ -284,6 +284,23 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(df.where("false")).count() == 0
 
 
+def test_license_files_with_whole_texts_and_titles(spark):
+    held = license_scan.licence_texts()
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"} <= set(held)
+    cases = []
+    for name, (text,) in held.items():
+        text = text.replace("<year> <holder>", "2021 Acme Inc.")
+        cases += [(name, "LICENSE", text), (name, "COPYING.txt", " ".join(text.split()[12:])),  # one line, without the title
+                  (name, "main.c", "\n".join(f"// {x}" for x in text.splitlines()) + "\nint main() {}\n")]
+    titles = {"MIT License": "MIT", "Apache License\nVersion 2.0, January 2004": "Apache-2.0", "Mozilla Public License Version 2.0": "MPL-2.0",
+              "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "GPL-3.0", "Copyright (c) 2021 Acme Inc. All rights reserved.": "Proprietary",
+              "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007": "AGPL-3.0", "the licence and the public": None, "License": None}
+    cases += [(name, "LICENSE", title) for title, name in titles.items()]
+    rows = [(k, f"d{k}/{file}", text) for k, (_, file, text) in enumerate(cases)]
+    got = {r.id: r.own_license for r in license_scan.scan_licenses(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert got == {k: name for k, (name, _, _) in enumerate(cases)}
+
+
 def test_license_scores_do_not_follow_the_corpus(spark):
     # 'licensed', 'all', 'rights' and 'reserved' are in every other row, 'copyright' in none
     notices = [(k, f"d{k}/x.txt", t) for k, t in enumerate(["All rights reserved.", "Released under the MIT License.", "all the license words", "Mit."])]
