@@ -199,6 +199,15 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_mixed_documents_keep_every_text(spark):
+    # rows that agree in doc_id, source and number of words: null ids, and versions under one id
+    rows = [(None, "a", f"none{k} x y") for k in range(6)] + [(1, "a", f"one{k} x y") for k in range(5)] + [(None, None, f"no source{k}") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    one = {"weights": (1.0,), "max_repeat": 1}  # every source exactly once
+    runs = [[(r.doc_id, r.source, r.text) for r in mixing.mixed_documents(d, **one).collect()] for d in (df, df.repartition(3))]
+    assert sorted(runs[0], key=str) == sorted(runs[1], key=str) == sorted(rows, key=str)
+
+
 def test_fill_levels(spark):
     rng = np.random.default_rng(8)
     for _ in range(5):
