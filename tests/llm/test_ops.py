@@ -108,6 +108,23 @@ def test_ngram_join(spark, docs, none, monkeypatch, least):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def test_keep_one_judges_rows(spark):
+    near = lambda k: " ".join(w if j != k else "other" for j, w in enumerate(BASE))
+    clean = " ".join(f"c{j}" for j in range(300))
+    third = " ".join(f"t{j}" for j in range(300))
+    rows = [(1, near(5)), (7, near(90)), (7, clean),  # one id: a near copy goes, a clean text stays
+            (None, near(200)), (None, third), (None, third + " end"), (9, None), (None, ""), (None, "  "),
+            (4, "a b c d e f g h"), (4, "a b c d e f g h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_gone", F.lit("clash"))
+    for d in (df, df.repartition(3)):
+        got = ngram_join.keep_one(d, words=5, percent=80)
+        assert got.columns == df.columns
+        left = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+        thirds = {(None, third), (None, third + " end")} & set(left)
+        want = [(1, near(5)), (7, clean), (9, None), (None, ""), (None, "  "), (4, "a b c d e f g h"), *thirds]
+        assert len(thirds) == 1 and left == sorted(want, key=str)
+
+
 def test_signatures_meet():
     rng = np.random.default_rng(4)
     for _ in range(200):
