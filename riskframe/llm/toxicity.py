@@ -85,7 +85,7 @@ def features_of(text: str, lexicon: dict[str, tuple[int, int]], n_pos: int, n_ne
     spaced = _SPACED.findall(low)
     hidden += sum(1 for m in spaced if re.sub(r"\W|_", "", m) in _INSULTS)
     weight = sum(weights[words[i]] for i in places)
-    letters = sum(map(str.isalpha, text)) if size < 200_000 else size
+    letters = sum(map(str.isalpha, text))
     capitals = sum(map(str.isupper, text))
     return [math.log1p(n), math.log1p(len(places)), len(places) / n, math.log1p(weight), weight / n,
             max(weights.values(), default=0.0), float(len(strong)), math.log1p(sum(w in _INSULTS for w in words)), near / n, len(you) / n,

@@ -353,6 +353,12 @@ def test_toxicity(spark, none):
     assert {r.score for r in toxicity.score_toxicity(odd, labels.where("false")).collect()} == {0.0}
 
 
+def test_capitals_are_a_share_of_letters_at_every_length():
+    at = toxicity.FEATURES.index("capitals")
+    rate = [toxicity.features_of("AB cd 12.. " * n, {}, 1, 1)[at] for n in (10, 18_000, 19_000, 40_000)]
+    assert rate == [0.5] * 4
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
     d = "/root/testdata/sf0.001"
