@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components
+from .common import connected_components, materialise
 
 #: (verdict, host, path): the rule list, in its text form ``host`` + ``path``.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -61,20 +61,24 @@ def canonical_key(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host, tail))
 
 
-def declared_target(url: Column, html: Column) -> Column:
-    """Where the page says it lives: its canonical link, else its refresh
-    redirect, resolved against url; null without one."""
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_TAG), F.lit(0))
-    canonical = F.get(F.filter(tags, lambda t: t.rlike(_CANONICAL)), F.lit(0))
-    refresh = F.get(F.filter(tags, lambda t: t.rlike(_REFRESH)), F.lit(0))
-    link = F.coalesce(F.nullif(F.regexp_extract(canonical, _HREF, 1), F.lit("")),
-                      F.nullif(F.regexp_extract(refresh, _CONTENT_URL, 1), F.lit("")))
+def declared_targets(url: Column, html: Column) -> Column:
+    """Where the page says it lives: the addresses of all its canonical links and
+    refresh redirects, resolved against url."""
     origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
     scheme = F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
     folder = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    return (F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, link))
-            .when(link.startswith("/"), F.concat(origin, link))
-            .when(link.isNotNull(), F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), link)))
+
+    def resolved(link: Column) -> Column:
+        return (F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, link))
+                .when(link.startswith("/"), F.concat(origin, link))
+                .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), link)))
+
+    def links(tags: Column, kind: str, place: str) -> Column:
+        own = F.transform(F.filter(tags, lambda t: t.rlike(kind)), lambda t: F.regexp_extract(t, place, 1))
+        return F.transform(F.filter(own, lambda x: x != ""), resolved)
+
+    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_TAG), F.lit(0))
+    return F.array_distinct(F.concat(links(tags, _CANONICAL, _HREF), links(tags, _REFRESH, _CONTENT_URL)))
 
 
 def _node(key: Column) -> Column:
@@ -86,23 +90,32 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     """page_id, host, path, rule, verdict, rule_verdict, component for every row of
     pages (page_id, url, html); redirects (from_url, to_url) adds logged edges.
 
+    Edges go to every canonical link and refresh redirect of a page; the rules of
+    both ends of an edge count, whether they are rows of pages or not.
+
     A null url or one without ``://`` has an empty host and path, fits no rule,
     belongs to no component and is allowed. Repeated rows are judged alike.
     """
     url = F.col("url").cast("string")
-    cut = pages.select("page_id", url.alias("url"), host_of(F.coalesce(url, F.lit(""))).alias("host"),
-                       path_of(F.coalesce(url, F.lit(""))).alias("path"), canonical_key(url).alias("key"),
-                       canonical_key(declared_target(url, F.col("html").cast("string"))).alias("target"))
+    named = lambda u: _node(canonical_key(u))
+    fit = lambda u: fitting_rule(host_of(F.coalesce(u, F.lit(""))), path_of(F.coalesce(u, F.lit(""))), rules)
+    cut = pages.select("page_id", host_of(F.coalesce(url, F.lit(""))).alias("host"),
+                       path_of(F.coalesce(url, F.lit(""))).alias("path"), canonical_key(url).alias("key"))
     judged = (cut.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
-              .select("page_id", "host", "path", "fit.rule", F.col("fit.verdict").alias("rule_verdict"),
-                      _node(F.col("key")).alias("node"), _node(F.col("target")).alias("target")))
-    edges = judged.where("target IS NOT NULL AND node <> target").select(F.col("node").alias("u"), F.col("target").alias("v"))
+              .select("page_id", "host", "path", "fit.rule", F.col("fit.verdict").alias("rule_verdict"), _node(F.col("key")).alias("node")))
+    # both ends of every edge with their own rules: a target need not be a row of pages
+    pairs = pages.select(url.alias("a"), F.explode(declared_targets(url, F.col("html").cast("string"))).alias("b"))
     if redirects is not None:
-        edges = edges.union(redirects.select(_node(canonical_key(F.col("from_url"))), _node(canonical_key(F.col("to_url")))))
+        pairs = pairs.union(redirects.select(F.col("from_url").cast("string"), F.col("to_url").cast("string")))
+    links = materialise(pairs.select(named(F.col("a")).alias("u"), named(F.col("b")).alias("v"), fit(F.col("a"))["verdict"].alias("u_verdict"),
+                                     fit(F.col("b"))["verdict"].alias("v_verdict")).distinct(), "links")
+    edges = links.where("u <> v").select("u", "v")
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("u_verdict").alias("rule_verdict")),
+                                          F.struct(F.col("v").alias("node"), F.col("v_verdict").alias("rule_verdict")))).alias("e")).select("e.*")
     components = connected_components(edges.distinct())
     # pages of one key are one node: decide per node first, then per component
     has = lambda what: F.max(F.coalesce(F.col("rule_verdict") == what, F.lit(False)))
-    nodes = (judged.where("node IS NOT NULL").groupBy("node").agg(has("allow").alias("allow"), has("block").alias("block"))
+    nodes = (judged.select("node", "rule_verdict").union(ends).where("node IS NOT NULL").groupBy("node").agg(has("allow").alias("allow"), has("block").alias("block"))
              .join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
     whole = nodes.groupBy("component").agg(F.max("allow").alias("allow"), F.max("block").alias("block"))
     spread = nodes.select("node", "component").join(whole, "component")

@@ -298,6 +298,21 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.where("false")).count() == 0
 
 
+def test_urls_that_are_no_rows_decide_too(spark):
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    blocked, allowed = "http://x.com/de/{}", "http://x.com/fr/{}"
+    rows = [(1, "http://a.net/1", link.format(blocked.format(1))), (2, "http://a.net/2", refresh.format(blocked.format(2))),
+            (3, "http://a.net/3", link.format("http://b.net/3") + refresh.format(blocked.format(3))),  # the refresh counts beside a canonical link
+            (4, "http://a.net/4", link.format("http://b.net/4") + link.format(blocked.format(4))),  # and so does a second tag
+            (5, "http://a.net/5", link.format(blocked.format(5)) + refresh.format(allowed.format(5))),
+            (6, "http://a.net/6", None), (7, "http://a.net/7", link.format("http://b.net/7")), (8, "http://a.net/8", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    hops = spark.createDataFrame([("http://a.net/6", blocked.format(6)), (blocked.format(6), "http://c.net/6"),  # a hop in the middle
+                                  (blocked.format(8), "http://a.net/8"), (None, "http://a.net/7")], "from_url string, to_url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(df, redirects=hops).collect()}
+    assert got == {k: (None, v) for k, v in zip(range(1, 9), ["block"] * 4 + ["allow", "block", "allow", "block"], strict=True)}
+
+
 def test_licenses(spark):
     rows = [(1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (2, "a/b/x.txt", "nothing here"), (3, "a/b/c/d/y.txt", None),
             (4, "a/b/LICENSE.md", "Some text\n\nReleased under the MIT\nLicense.\n"), (5, "z/q.txt", "words of the license plate"),
