@@ -48,6 +48,19 @@ def text_batches(batches: Iterator[pa.RecordBatch], *ids: str, limit: int = 8 <<
         yield [part.column(c).to_pylist() for c in ids], texts
 
 
+def numbered(df: DataFrame, *order: str | Column, name: str) -> DataFrame:
+    """df range-sorted by order and written, with ``part`` (sorted run, ascending in
+    that order) and ``at`` (place in the run). End the order with a number of each row,
+    so that a key that holds many rows is spread over runs; totals by part then turn
+    places in a run into ranks, without a window over a whole group.
+
+    df should read a written table: the range split samples it first.
+    """
+    s = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialise(s.withColumn("part", F.spark_partition_id())
+                       .withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), name)
+
+
 def bucket_of(*cols: str | Column, buckets: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(buckets)).cast("int")
 
