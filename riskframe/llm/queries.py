@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, license_scan, mixing, ngram_join, packing, suffix_dedup, token_counts, toxicity, url_filter
-from .common import table
+from . import (chat, embedding_dedup, exact_dedup, importance, license_scan, merkle, mixing, ngram_join, packing, suffix_dedup,
+               token_counts, toxicity, url_filter)
+from .common import materialise, table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -145,3 +147,131 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return (mixing.mix(table(spark, sf_dir, "documents"))
             .select("doc_id", "size", "source_size", "target", "taken", "laps"))
+
+
+#: crc: table of the CRC-32 of one byte; a string's CRC folds it over the bytes.
+CRC_TABLE = """crc AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) t(i)))"""
+
+
+def _crc32(text: str) -> str:
+    """DuckDB expression of the unsigned CRC-32 of text's UTF-8 bytes; crc.tab is in scope."""
+    code = f"list_transform(range(len(hex(encode({text}))) // 2), lambda k: CAST('0x' || substring(hex(encode({text})), 2 * k + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {code}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH {CRC_TABLE},
+both_ AS (SELECT doc_id, text, true AS own FROM documents UNION ALL SELECT item_id, text, false FROM benchmark),
+w AS (SELECT own, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM both_),
+f AS (SELECT own, doc_id, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM w),
+b AS (SELECT feature, {_crc32("feature")} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM f), crc),
+fb AS (SELECT own, doc_id, bucket FROM f JOIN b USING (feature)),
+n AS (SELECT r.range AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t, CAST(sum(s) OVER () AS DOUBLE) AS big_s, CAST(coalesce(sum(t) OVER (), 0) AS DOUBLE) AS big_t
+  FROM range(10000) r LEFT JOIN (SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM fb GROUP BY bucket) c ON c.bucket = r.range),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (big_s + 10000) / ((CAST(s AS DOUBLE) + 1) * (big_t + 10000)))) AS BIGINT) AS g FROM n),
+weighed AS (SELECT doc_id, count(*) AS n_features, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM fb JOIN gain USING (bucket) WHERE own GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0)
+    + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substring(sha256('7:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score,
+    coalesce(weight, 0) AS weight
+  FROM w LEFT JOIN weighed USING (doc_id) WHERE own),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+@register("op11_importance_resampling", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark's word n-grams."""
+    return (importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+            .select("doc_id", "n_features", "weight", "score", "rank"))
+
+
+def _leaf(text: str) -> str:
+    said = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars")]
+    return "sha256(" + " || ".join([*said, f"coalesce(strlen({text}) || ':' || {text}, '-')"]) + ")"
+
+
+#: tree '' holds the subroots; sources are '=' and their name, '' for null in order.
+OP12_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf("text")} AS leaf,
+         CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS found
+  FROM documents, crc),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS place FROM d),
+up AS (
+  SELECT tree, 0 AS level, place AS i, leaf AS h, count(*) OVER (PARTITION BY tree) AS m FROM leaves
+  UNION ALL
+  SELECT tree, any_value(level) + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(m) + 2) // 3 FROM up WHERE m > 1 GROUP BY tree, i // 3),
+subroots AS (SELECT tree AS of, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS nth FROM up WHERE m = 1),
+crown AS (
+  SELECT 0 AS level, nth AS i, subroot AS h, count(*) OVER () AS m FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(m) + 2) // 3 FROM crown WHERE m > 1 GROUP BY i // 3),
+sides AS (
+  SELECT a.tree, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM up a JOIN up b ON a.tree = b.tree AND a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.m > 1 GROUP BY ALL),
+crown_sides AS (
+  SELECT a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM crown a JOIN crown b ON a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.m > 1 GROUP BY ALL),
+steps AS (
+  SELECT v.tree, v.place, s.level, s.l, s.r FROM leaves v JOIN sides s ON s.tree = v.tree AND s.i = v.place // CAST(3 ** s.level AS BIGINT)
+  UNION ALL
+  SELECT v.tree, v.place, 1000 + s.level, s.l, s.r FROM leaves v JOIN subroots t ON t.of = v.tree JOIN crown_sides s ON s.i = t.nth // CAST(3 ** s.level AS BIGINT)),
+paths AS (SELECT tree, place, list(l || '|' || r ORDER BY level) AS p FROM steps GROUP BY tree, place),
+out AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM crown WHERE m = 1) AS root, sha256(replace(array_to_string(coalesce(p, []), ''), '|', '')) AS proof_sha256,
+         list_reduce(list_prepend(found, coalesce(p, [])), lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) AS folded_root
+  FROM leaves JOIN subroots ON of = tree LEFT JOIN paths USING (tree, place))
+SELECT *, folded_root = root AS verified FROM out
+"""
+
+
+@register("op12_merkle_manifest", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, verified against tampered texts."""
+    m = merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": merkle.without_line_breaks(F.col("doc_id"), F.col("text"))})
+    again = merkle.folded(F.col("found"), F.col("left"), F.col("right"))
+    return (m.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("left"), F.col("right")).alias("proof_sha256"), again.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+#: Windows by the same spans; the digests from the conversations themselves.
+OP13_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, row_number() OVER o AS nth, first_value(role) OVER o = 'system' AS has, CAST(ceil((strlen(role) + strlen(text)) / 4) + 4 AS BIGINT) AS tokens,
+    17 + length(regexp_replace(replace(role, '\', '\\'), '([<\[])(/?(?:s>|INST\]))', '\1\\\2', 'g'))
+      + length(regexp_replace(replace(text, '\', '\\'), '([<\[])(/?(?:s>|INST\]))', '\1\\\2', 'g')) AS chars
+  FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, md5(text))),
+p AS (
+  SELECT *, has AND nth = 1 AS head, CASE WHEN has THEN first_value(tokens) OVER o ELSE 0 END AS head_tokens,
+    sum(tokens) OVER (PARTITION BY conv_id ORDER BY nth) - CASE WHEN has THEN first_value(tokens) OVER o ELSE 0 END AS ends
+  FROM e WINDOW o AS (PARTITION BY conv_id ORDER BY nth)),
+r AS (SELECT *, ends - tokens AS starts, greatest(768 - head_tokens, 2) AS room FROM p),
+k AS (SELECT *, room // 2 AS stride, CASE WHEN head THEN 0 ELSE starts // (room // 2) END AS k FROM r),
+s AS (SELECT *, 2 * k + CASE WHEN NOT head AND ends - k * stride > room THEN 1 ELSE 0 END AS span FROM k),
+b AS (SELECT conv_id, span, min(starts) AS begins, max(ends) - min(starts) <= max(room) AS fits FROM s WHERE NOT head GROUP BY conv_id, span),
+placed AS (
+  SELECT conv_id, span, chars FROM s
+  UNION ALL SELECT s.conv_id, b.span, chars FROM s JOIN b USING (conv_id) WHERE NOT head AND fits AND begins >= ends AND begins - starts <= 256
+  UNION ALL SELECT s.conv_id, b.span, chars FROM s JOIN b USING (conv_id) WHERE head AND b.span > 0),
+f AS (SELECT conv_id, CAST(sum(chars) + 3 * count(DISTINCT span) AS BIGINT) AS formatted_chars FROM placed GROUP BY conv_id),
+t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256 FROM e GROUP BY conv_id)
+SELECT * FROM t JOIN f USING (conv_id)
+"""
+
+
+@register("op13_chat_formatting", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation in budgeted windows, read back from them."""
+    return chat.read_back(materialise(chat.windows(chat.with_control_case(table(spark, sf_dir, "conversations"))), "windows"))
