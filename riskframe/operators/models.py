@@ -10,6 +10,7 @@ feature) ever reach the driver.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -121,6 +122,20 @@ def rff_transformer(cols: Sequence[str], n_components: int, gamma: float,
     return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
 
+def fourier_components(model: PipelineModel):
+    """(standardised input columns, rows of weights with the phase last, scale) of a
+    pipeline with random Fourier features, read from its projection; else None."""
+    if len(model.stages) < 4 or not isinstance(model.stages[1], SQLTransformer):
+        return None
+    rows, names, scale = [], [], None
+    for factor, inner in re.findall(r"(\S+) \* cos\((.*?)\) AS `__rff_", model.stages[1].getStatement()):
+        *terms, phase = inner.split(" + ")
+        pairs = [t.split(" * ", 1) for t in terms]
+        names, scale = [n for _, n in pairs], float(factor)
+        rows.append([*(float(w) for w, _ in pairs), float(phase)])
+    return (names, rows, scale) if rows else None
+
+
 def fit_svm(df: DataFrame, cols: Sequence[str], label: str = "label", C: float = 1.0,
             kernel: str = "rbf", gamma: float | str = "scale", n_components: int = 200,
             balanced: bool = True, max_iter: int = 200, seed: int = 42) -> PipelineModel:
@@ -190,61 +205,82 @@ def feature_importance(spark, model: PipelineModel, cols: Sequence[str]) -> Data
 
 
 # J10 -----------------------------------------------------------------------
-def platt(scores: DataFrame, label: str = "label", score: str = "raw") -> tuple[float, float]:
-    """Platt scaling with the smoothed targets (n+ + 1)/(n+ + 2) and
-    1/(n- + 2): each row becomes two weighted rows (target 1 with weight t,
-    target 0 with weight 1 - t); an unregularised 1-D logistic fit gives
-    p = 1 / (1 + exp(-(a * s + b)))."""
-    cnt = scores.agg(F.count_if(F.col(label) == 1).alias("p"),
-                     F.count_if(F.col(label) != 1).alias("n")).first()
-    tp = (cnt["p"] + 1.0) / (cnt["p"] + 2.0)
-    tn = 1.0 / (cnt["n"] + 2.0)
-    t = F.when(F.col(label) == 1, F.lit(tp)).otherwise(F.lit(tn))
-    two = scores.select(F.col(score).alias("s"), t.alias("t")).select(
-        "s", F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col("t").alias("w")),
-                               F.struct(F.lit(0.0).alias("y"), (1 - F.col("t")).alias("w"))))
-        .alias("r")).select("s", "r.y", "r.w")
-    va = VectorAssembler(inputCols=["s"], outputCol="f").transform(two)
-    lr = LogisticRegression(featuresCol="f", labelCol="y", weightCol="w", regParam=0.0,
-                            standardization=False, maxIter=200, tol=1e-10).fit(va)
-    return float(lr.coefficients[0]), float(lr.intercept)
+def platt(scores: DataFrame, label: str = "label", score: str = "raw", max_iter: int = 50,
+          tol: float = 1e-10) -> tuple[float, float]:
+    """Platt scaling with the smoothed targets (n+ + 1)/(n+ + 2) and 1/(n- + 2):
+    (a, b) of p = 1 / (1 + exp(-(a * s + b))) by Newton's method with step halving.
+
+    A step is one aggregate over the scores (loss, gradient and curvature: six
+    numbers reach the driver), and about eight steps suffice at any size. Rows
+    without a score are left out; without any row (a, b) is (0, 0)."""
+    from pyspark import StorageLevel
+    d = scores.where(F.col(score).isNotNull() & ~F.isnan(score))
+    d = d.select(F.col(score).cast("double").alias("s"), (F.col(label) == 1).alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = d.agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("n")).first()
+        if not n["p"] + n["n"]:
+            return 0.0, 0.0
+        t = F.when(F.col("y"), F.lit((n["p"] + 1.0) / (n["p"] + 2.0))).otherwise(F.lit(1.0 / (n["n"] + 2.0)))
+
+        def at(a: float, b: float):
+            z = F.col("s") * a + b
+            p = 1.0 / (1.0 + F.exp(-z))
+            w, r = p * (1.0 - p), p - t
+            loss = F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - t * z
+            return d.agg(F.sum(loss), F.sum(r * F.col("s")), F.sum(r), F.sum(w * F.col("s") * F.col("s")), F.sum(w * F.col("s")), F.sum(w)).first()
+
+        a, b = 0.0, math.log((n["p"] + 1.0) / (n["n"] + 1.0))
+        now = at(a, b)
+        for _ in range(max_iter):
+            loss, ga, gb, haa, hab, hbb = now
+            haa, hbb = haa + 1e-12, hbb + 1e-12
+            det = haa * hbb - hab * hab
+            if max(abs(ga), abs(gb)) <= tol * max(1.0, loss) or det <= 0:
+                break
+            da, db = (hab * gb - hbb * ga) / det, (hab * ga - haa * gb) / det
+            step = 1.0
+            while step > 1e-10:
+                then = at(a + step * da, b + step * db)
+                if then[0] <= loss + 1e-4 * step * (ga * da + gb * db) or (step == 1.0 and abs(then[0] - loss) <= 1e-12 * abs(loss)):
+                    break
+                step /= 2
+            a, b, gained, now = a + step * da, b + step * db, loss - then[0], then
+            if gained <= 1e-13 * max(1.0, loss):
+                break
+        return a, b
+    finally:
+        d.unpersist()
 
 
 def calibrate_sigmoid(df: DataFrame, fit_fn, label: str = "label", folds: int = 5,
-                      fold_col: str = "fold", parallelism: int = 4):
+                      fold_col: str = "fold", parallelism: int = 4,
+                      features: Sequence[str] | None = None, threshold: float = 0.5):
     """Per fold k: fit on the other folds, Platt-scale the fold's decision
     values; the calibrated probability is the mean over the k (model, a, b).
-    Returns a scorer ``DataFrame -> DataFrame`` adding ``probability``.
+    Returns a ``CalibratedModel``, which is a scorer and can be written.
 
-    The training rows are checkpointed once (shared folder) so the 2k
-    iterative fits do not re-run the split/fold lineage."""
+    ``features`` are the columns that fit_fn's pipelines read; by default those
+    that their standardiser names. The training rows are checkpointed once (shared
+    folder) so the 2k iterative fits do not re-run the split/fold lineage."""
     from ..session import cut_lineage
+    from .published import CalibratedModel, with_decision
     df = cut_lineage(df)
 
     def one(k):
         model = fit_fn(df.where(F.col(fold_col) != k))
-        held = positive_score(model, df.where(F.col(fold_col) == k), "raw")
-        a, b = platt(held, label, "raw")
-        return model, a, b
+        held = with_decision(model, df.where(F.col(fold_col) == k), "raw").select(label, "raw")
+        return model, *platt(held, label, "raw")
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         parts = list(pool.map(one, range(folds)))
+    names = list(features) if features else standardised_columns(parts[0][0])
+    return CalibratedModel([p[0] for p in parts], [p[1:] for p in parts], names, threshold)
+
 
-    def scorer(d: DataFrame) -> DataFrame:
-        # Each fold model scores the same rows separately (narrow projections,
-        # no giant fused expression); the k probabilities are joined back on a
-        # row id and averaged.
-        base = d.withColumn("_rid", F.monotonically_increasing_id())
-        base = cut_lineage(base)
-        acc = None
-        for i, (model, a, b) in enumerate(parts):
-            s = positive_score(model, base, "_raw").select(
-                "_rid", (1.0 / (1.0 + F.exp(-(F.col("_raw") * a + b)))).alias(f"_p{i}"))
-            acc = s if acc is None else acc.join(s, "_rid")
-        prob = sum((F.col(f"_p{i}") for i in range(len(parts))), F.lit(0.0)) / len(parts)
-        return base.join(acc.select("_rid", prob.alias("probability")), "_rid").drop("_rid")
-    scorer.parts = parts  # (fold model, a, b) per fold, for persistence
-    return scorer
+def standardised_columns(model: PipelineModel) -> list[str]:
+    """The input columns that a pipeline's standardiser reads, in order."""
+    found = re.findall(r"AS `" + re.escape(Z) + r"((?:[^`]|``)+)`", model.stages[0].getStatement())
+    return [c.replace("``", "`") for c in found]
 
 
 # J8 ------------------------------------------------------------------------

@@ -27,7 +27,8 @@ def expression_scorer(expr: Column, out: str = "probability") -> Scorer:
 def model_scorer(model, features: Sequence[str], out: str = "probability",
                  vector_col: str = "features") -> Scorer:
     """Spark ML model (a PipelineModel that takes the feature columns, or a
-    bare model that takes an assembled vector) → positive-class probability."""
+    bare model that takes an assembled vector) → positive-class probability.
+    A model without probabilities is refused: calibrate it first."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
@@ -37,8 +38,9 @@ def model_scorer(model, features: Sequence[str], out: str = "probability",
             d = VectorAssembler(inputCols=list(features), outputCol=vector_col,
                                 handleInvalid="keep").transform(df)
         res = model.transform(d)
-        prob = vector_to_array(F.col("probability"))[1] if "probability" in res.columns \
-            else F.col("prediction").cast("double")
+        if "probability" not in res.columns:
+            raise ValueError("the model gives margins, not probabilities; calibrate it first")
+        prob = vector_to_array(F.col("probability"))[1]
         keep = [c for c in df.columns if c != out]
         return res.select(*keep, prob.alias(out))
     return run

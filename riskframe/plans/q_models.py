@@ -156,6 +156,38 @@ def _svm_small(d):
     return ML.fit_svm(d, FEATURES, n_components=50, max_iter=30)
 
 
+_PUBLISHED_SQL = f"""
+WITH {LABELLED_SQL}, {_holdout_sql('lab', 0.2, '42', 'j')}
+SELECT case_key, TRUE AS same_probability, TRUE AS same_prediction, TRUE AS in_range, 0.4 AS threshold,
+       CASE WHEN hundredths >= 12 THEN 'Malignant' WHEN hundredths <= 6 THEN 'Benign' END AS clear_prediction,
+       CASE WHEN hundredths >= 12 THEN 'High' WHEN hundredths <= 6 THEN 'Low' END AS clear_risk
+FROM (SELECT *, round(l_discount * 100) + round(l_tax * 100) AS hundredths FROM j)"""
+
+
+@register("score_published_model", _PUBLISHED_SQL)
+def score_published_model_q(spark, sf_dir):
+    """A11+J10+J15+J17: fit a calibrated model on the training split, publish it, load
+    it in a fresh object and score every row of both splits; each row says whether the
+    loaded model agrees with the fitted one to the last bit, and the label and level
+    of cases clear of the planted boundary."""
+    from ..functions import scalars as S
+    from ..operators import published as PUB
+    from ..session import scratch_path
+    s = _split(spark, sf_dir)
+    train = SM.kfold_ordered(s.where(F.col("split") == "train").withColumn("key", F.xxhash64("case_key")), "label", 5, "key")
+    fitted = ML.calibrate_sigmoid(train, lambda d: ML.fit_logistic(d, FEATURES, max_iter=1000)).with_threshold(0.4)
+    root = scratch_path(spark, "published")
+    loaded = PUB.load_published(spark, root, PUB.publish(spark, fitted, root))
+    # both models over one scan: the second scores the first one's rows
+    both = PUB.score_published(fitted(s).withColumnRenamed("probability", "own"), loaded, "case_key", keep=["own", "l_discount", "l_tax"])
+    steps = F.round(F.col("l_discount") * 100) + F.round(F.col("l_tax") * 100)
+    clear = lambda c: F.when((steps >= 12) | (steps <= 6), F.col(c))
+    return both.select("case_key", F.col("own").eqNullSafe(F.col("probability")).alias("same_probability"),
+                       S.predicted_label("own", fitted.threshold).eqNullSafe(F.col("prediction")).alias("same_prediction"),
+                       F.col("probability").between(0.0, 1.0).alias("in_range"), "threshold",
+                       clear("prediction").alias("clear_prediction"), clear("risk_level").alias("clear_risk"))
+
+
 @register("synthesise")
 def synthesise_q(spark, sf_dir):
     """1000 Gaussian-copula rows fitted on the training split only."""
