@@ -16,6 +16,7 @@ map-side partial sums.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,10 +55,18 @@ def background_literal(background: DataFrame, features: Sequence[str],
 
 
 def permutation_shap(df: DataFrame, background: DataFrame, scorer, features: Sequence[str],
-                     key: str, n_perm: int | None = None, seed: int = 42) -> DataFrame:
-    """Long table (key, feature, value, shap_value, base_value)."""
+                     key: str, n_perm: int | None = None, seed: int = 42, all_orders: bool = False) -> DataFrame:
+    """Long table (key, feature, value, shap_value, base_value).
+
+    ``all_orders`` takes every order of the features once (at most six features):
+    the exact Shapley value of any scorer."""
     m = len(features)
     P = n_perm or n_permutations(m)
+    if all_orders:
+        if m > 6:
+            raise ValueError("all orders are for at most six features")
+        orders = list(permutations(range(m)))
+        P = len(orders)
     bg = background_literal(background, features)
     x = df.select(F.col(key).alias("_key"),
                   *[col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)])
@@ -67,7 +76,11 @@ def permutation_shap(df: DataFrame, background: DataFrame, scorer, features: Seq
         F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_key").cast("string"),
                           F.col("_p").cast("string"), j.cast("string"))).alias("h"),
         j.alias("j")))
-    x = x.withColumn("_perm", F.transform(F.array_sort(hashed), lambda s: s["j"]))
+    if all_orders:
+        table = F.array(*[F.array(*[F.lit(j) for j in o]) for o in orders])
+        x = x.withColumn("_perm", F.element_at(table, F.col("_p") + 1))
+    else:
+        x = x.withColumn("_perm", F.transform(F.array_sort(hashed), lambda s: s["j"]))
     x = x.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(2 * m))))
     # position of feature i in the permutation → is it "on" at step s?
     s = F.col("_s")

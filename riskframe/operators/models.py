@@ -185,9 +185,9 @@ def positive_score(model: PipelineModel, df: DataFrame, out: str = "score") -> D
         s = vector_to_array("probability")[1]
     else:
         s = vector_to_array("rawPrediction")[1]
-    drop = [c for c in res.columns if c.startswith(Z) or c.startswith("__rff_")]
-    return res.withColumn(out, s).drop("features", "rawPrediction", "probability",
-                                       "prediction", *drop)
+    drop = {"features", "rawPrediction", "probability", "prediction", out}
+    own = [c for c in res.columns if c not in drop and not c.startswith((Z, "__rff_"))]
+    return res.select(*[F.col(q(c)) for c in own], s.alias(out))
 
 
 def coefficients(model: PipelineModel, cols: Sequence[str]) -> list[tuple[str, float]]:
@@ -283,6 +283,12 @@ def standardised_columns(model: PipelineModel) -> list[str]:
     return [c.replace("``", "`") for c in found]
 
 
+def standardised_moments(model: PipelineModel) -> dict[str, tuple[float, float]]:
+    """(mean, deviation) of each column that a pipeline's standardiser reads."""
+    found = re.findall(r"\(`((?:[^`]|``)+)` - (\S+)\) / (\S+) AS ", model.stages[0].getStatement())
+    return {c.replace("``", "`"): (float(m), float(s)) for c, m, s in found}
+
+
 # J8 ------------------------------------------------------------------------
 def cross_validate(df: DataFrame, fitters: dict, label: str = "label",
                    fold_col: str = "fold", key: str = "case_key",
