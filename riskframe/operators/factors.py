@@ -70,16 +70,15 @@ def leaf_boxes(pipeline) -> tuple[list[list[tuple[dict[int, tuple[float, float]]
         leaves, todo = [], [(tree._call_java("rootNode"), {})]
         while todo:
             node, box = todo.pop()
-            if node.getClass().getSimpleName() == "LeafNode":
+            if not node.subtreeDepth():
                 stats = list(node.impurityStats().stats())
                 leaves.append((box, stats[1] / sum(stats) if sum(stats) else 0.0))
                 continue
-            split, f = node.split(), node.split().featureIndex()
-            if split.getClass().getSimpleName() != "ContinuousSplit":
-                raise ValueError("categorical splits have no intervals")
+            split = node.split()  # standardised features are continuous: every split has a threshold
+            f, cut = split.featureIndex(), split.threshold()
             low, high = box.get(f, (-np.inf, np.inf))
-            todo.append((node.leftChild(), {**box, f: (low, min(high, split.threshold()))}))
-            todo.append((node.rightChild(), {**box, f: (max(low, split.threshold()), high)}))
+            todo.append((node.leftChild(), {**box, f: (low, min(high, cut))}))
+            todo.append((node.rightChild(), {**box, f: (max(low, cut), high)}))
         out.append(leaves)
     moments = standardised_moments(pipeline)
     names = standardised_columns(pipeline)

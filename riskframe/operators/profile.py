@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, unpivot_features
+from .quantiles import exact_distribution
 from .ranking import null_safe_join, sized_broadcast
 
 # Metric names of the quality report, in report order.
@@ -85,11 +86,13 @@ def describe_features(df: DataFrame, cols: Sequence[str], exact: bool = True,
     """count, mean, sample std, min, 25/50/75 % (linear interpolation), max
     per feature, in long form (one row per feature).
 
-    Moments come from ONE aggregate. Quartiles: ``exact=True`` selects them
-    exactly with the two-level selection of ``exact_quantiles`` over the
-    melted (feature, value) rows — bounded memory at any cardinality;
-    ``exact=False`` uses ``percentile_approx`` inside the same aggregate
-    (relative rank error 1/accuracy)."""
+    Moments come from ONE aggregate. Quartiles: ``exact=True`` brackets them by
+    a sketch in that aggregate and selects them exactly in a second scan
+    (``quantiles.exact_distribution``); ``exact=False`` uses
+    ``percentile_approx`` inside the same aggregate (relative rank error
+    1/accuracy)."""
+    if exact:
+        return _exact_describe(df, cols, accuracy)
     aggs = []
     for i, c in enumerate(cols):
         x = _clean(c)
@@ -101,18 +104,16 @@ def describe_features(df: DataFrame, cols: Sequence[str], exact: bool = True,
         aggs.append(F.struct(*parts).alias(f"_s{i}"))
     wide = df.agg(*aggs)
     long = wide.select(F.explode(F.array(*[F.col(f"_s{i}") for i in range(len(cols))])).alias("s"))
-    if not exact:
-        return long.select(
+    return long.select(
             "s.feature", "s.count", "s.mean", "s.std", "s.min",
             F.col("s._p")[0].cast("double").alias("p25"), F.col("s._p")[1].cast("double").alias("p50"),
             F.col("s._p")[2].cast("double").alias("p75"), "s.max")
-    from .ranking import exact_quantiles
-    melted = unpivot_features(df, [], cols)
-    qs = exact_quantiles(melted, ["feature"], "value", [0.25, 0.5, 0.75])
-    mom = long.select("s.feature", "s.count", "s.mean", "s.std", "s.min", "s.max")
-    return mom.join(qs, "feature", "left").select(
-        "feature", "count", "mean", "std", "min", F.col("q0").alias("p25"),
-        F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max")
+
+
+def _exact_describe(df: DataFrame, cols: Sequence[str], accuracy: int) -> DataFrame:
+    stats, _ = exact_distribution(df, cols, [], [0.25, 0.5, 0.75], accuracy)
+    return stats.select("feature", F.col("n").alias("count"), "mean", "std", "min", F.col("q")[0].alias("p25"),
+                        F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 # E5 ------------------------------------------------------------------------

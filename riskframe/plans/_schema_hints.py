@@ -125,6 +125,8 @@ HINTS = {'audit_events': ([], []),
                                'false_negative_rate',
                                'roc_auc'],
                               ['tn', 'fp', 'fn', 'tp']),
+ 'score_published_model': (['threshold'], []),
+ 'forest_factors': ([], ['n_factors']),
  'top_factors': (['value', 'shap_value'], ['rank']),
  'top_k': (['p_retailprice'], ['p_partkey']),
  'train_validation_test': ([], ['label']),
