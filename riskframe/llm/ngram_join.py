@@ -33,6 +33,9 @@ WORDS, SIMILARITY = 4, 85
 FREQUENT, FREQUENT_FROM = 1_000_000, 4
 #: Prefix tokens per pair group; pivots of the first round with several.
 PER_GROUP, PIVOTS = 2, 8
+#: Bits of a set's parity, in whole 64-bit numbers.
+PARITY = 512
+BITS = [f"b{k}" for k in range(PARITY // 64)]
 _MIX = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -141,8 +144,16 @@ def _runs(sorted_values: np.ndarray) -> tuple[list[int], list[int]]:
     return [0, *cut.tolist()], [*cut.tolist(), len(sorted_values)]
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """For each value of a token's last bits whether an odd number of tokens has it.
+    Parities of two sets differ in no more places than there are tokens in one set
+    alone, as each of these turns one place over."""
+    odd = np.bincount((tokens & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def _describe(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per slice: doc_id, size and 128-bit name of each set, and the tokens
+    """A row per slice: doc_id, size, 128-bit name and parity of each set, and the tokens
     that several documents of the slice hold, with their number. A token in more
     documents than there are slices cannot stay below two in all of them."""
     shingle = Shingler(words)
@@ -152,8 +163,10 @@ def _describe(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         pairs = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
         token, count = np.unique(np.concatenate(list(dict(zip(names, sets, strict=True)).values())), return_counts=True)
         own = count > 1
-        cols = [ids, [len(s) for s in sets], pairs[:, 0], pairs[:, 1], token[own].view(np.int64), count[own].astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.list_(pa.int64())) for c in cols], ["doc_id", "n", "d1", "d2", "token", "times"])
+        odd = np.array([parity(s) for s in sets]).reshape(-1, len(BITS))
+        cols = [ids, [len(s) for s in sets], pairs[:, 0], pairs[:, 1], token[own].view(np.int64), count[own].astype(np.int64), *odd.T]
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.list_(pa.int64())) for c in cols],
+                                         ["doc_id", "n", "d1", "d2", "token", "times", *BITS])
 
 
 def _index(words: int, frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,13 +275,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = SIMIL
     """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = ", ".join(f"{c} array<long>" for c in ("doc_id", "n", "d1", "d2", "token", "times"))
+    parts = ", ".join(f"{c} array<long>" for c in ("doc_id", "n", "d1", "d2", "token", "times", *BITS))
     slices = materialise(src.mapInArrow(partial(_describe, words), parts), "slices")
-    info = materialise(slices.select(F.explode(F.arrays_zip("doc_id", "n", "d1", "d2")).alias("x")).select("x.*")
+    info = materialise(slices.select(F.explode(F.arrays_zip("doc_id", "n", "d1", "d2", *BITS)).alias("x")).select("x.*")
                        .withColumn("row", F.monotonically_increasing_id()), "sets")
     src = src.where("doc_id IS NOT NULL")
     classes = materialise(info.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2")
-                          .agg(F.min("row").alias("cid"), F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
+                          .agg(F.min("row").alias("cid"), F.min("doc_id").alias("least"), F.max("n").alias("n"),
+                               *[F.max(b).alias(b) for b in BITS]), "classes")
     tokens, powers = frequent_tokens(slices)
     frequent = spark.sparkContext.broadcast((tokens, percent, powers))
     index = src.select("text").mapInArrow(partial(_index, words, frequent), "sig long, d1 long, rare long, single boolean, later boolean")
@@ -276,8 +290,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = SIMIL
     met = index.join(shared, "sig").distinct()
     # where all rare tokens of a set are keys, those that no other set has as a key are its own
     own = met.groupBy("d1").agg((F.max("rare") - F.count_if("single")).alias("own"))
-    known = classes.join(own, "d1").select("d1", "cid", "n", (F.col("n") - F.col("own")).alias("most"))
-    met = materialise(met.join(known, "d1").select("sig", "later", "cid", "n", "most"), "met")
+    known = classes.join(own, "d1").select("d1", "cid", "n", (F.col("n") - F.col("own")).alias("most"), *BITS)
+    met = materialise(met.join(known, "d1").select("sig", "later", "cid", "n", "most", *BITS), "met")
     parts = _linked(src, classes, met, words, percent)
     named = classes.join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -306,11 +320,13 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 def _linked(src: DataFrame, classes: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:
     """(cid, component) of the classes that verified links connect, from the index
-    rows met (sig, later, cid, n, most). A pair of classes under a common key is left
+    rows met (sig, later, cid, n, most, BITS). A pair of classes under a common key is left
     out only when the two are in one component already, compared and found unlike,
     both under a key of the next level (similar ones meet under their own), or too
-    unlike by their numbers: by their sizes, or because two sets with all rare tokens
-    indexed share at most ``most`` tokens, all but those that no other set has.
+    unlike by their numbers: by their sizes, because their parities differ in more
+    places than similar sets have tokens apart, or because two sets with all rare tokens
+    indexed share at most ``most`` tokens, all but those that no other set has. These
+    are conditions of the join itself, so unlike pairs under a key make no rows.
 
     Pairs are compared by sketches of some 1.5 bytes a token, made once; what
     those leave possible, by whole token sets made anew from the texts.
@@ -318,6 +334,9 @@ def _linked(src: DataFrame, classes: DataFrame, met: DataFrame, words: int, perc
     both = F.least("n", "m", "most", "most_m")  # nulls are skipped, and so is a bound of one set alone
     both = F.when(F.col("most").isNotNull() & F.col("most_m").isNotNull(), both).otherwise(F.least("n", "m"))
     like = both * 100 >= (F.col("n") + F.col("m") - both) * percent
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_v"))) for b in BITS), F.lit(0))
+    # at most (n + m - apart) / 2 tokens are shared
+    near = (F.col("n") + F.col("m") - apart) * (100 + percent) >= (F.col("n") + F.col("m")) * (2 * percent)
     texts_of = lambda some: (src.join(small(some), src["doc_id"] == some["least"])
                              .select(*[c for c in some.columns if c != "least"], "text"))
     wanted = materialise(met.select("cid").distinct().join(classes, "cid").select("cid", "least", "d1", "d2"), "wanted")
@@ -343,7 +362,7 @@ def _linked(src: DataFrame, classes: DataFrame, met: DataFrame, words: int, perc
     edges, tried, pivots = verified(pairs), pairs, PIVOTS
     parts, rest = components(edges), met
     while True:
-        now = rest.join(parts, "cid", "left").select("sig", "later", "cid", "n", "most", F.coalesce("component", "cid").alias("c"))
+        now = rest.join(parts, "cid", "left").select("sig", "later", "cid", "n", "most", *BITS, F.coalesce("component", "cid").alias("c"))
         open_ = now.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig", "size")
         # one in a power of two of the classes, the same ones under every key: near
         # copies meet under many keys, and few of them should be pivots in all
@@ -351,13 +370,14 @@ def _linked(src: DataFrame, classes: DataFrame, met: DataFrame, words: int, perc
         rest = materialise(now.join(open_, "sig").withColumn("pivot", F.pmod(F.xxhash64("cid"), share) == 0), "open")
         if rest.isEmpty():
             return parts
-        p = rest.where("pivot").select("sig", F.col("later").alias("later_v"), F.col("cid").alias("v"), F.col("n").alias("m"), F.col("most").alias("most_m"), F.col("c").alias("d"))
-        pairs = (rest.join(p, "sig").where("c <> d AND NOT (later AND later_v) AND (NOT pivot OR cid > v)").where(like)
+        p = rest.where("pivot").select("sig", F.col("later").alias("later_v"), F.col("cid").alias("v"), F.col("n").alias("m"), F.col("most").alias("most_m"), F.col("c").alias("d"),
+                                       *[F.col(b).alias(f"{b}_v") for b in BITS])
+        pairs = (rest.join(p, "sig").where("c <> d AND NOT (later AND later_v) AND (NOT pivot OR cid > v)").where(like & near)
                  .select(F.greatest("cid", "v").alias("u"), F.least("cid", "v").alias("v")).distinct())
         pairs = materialise(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         links = verified(pairs)
         if not links.isEmpty():  # earlier components stand for the links they came from
             parts = components(links.union(parts.select(F.col("cid").alias("u"), F.col("component").alias("v"))))
         tried = tried.union(pairs)
-        rest = rest.where("NOT pivot").select("sig", "later", "cid", "n", "most")  # a pivot has met the whole group
+        rest = rest.where("NOT pivot").select("sig", "later", "cid", "n", "most", *BITS)  # a pivot has met the whole group
         pivots *= 8

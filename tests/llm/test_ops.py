@@ -141,6 +141,17 @@ def test_signatures_meet():
             assert keys[0] & keys[1]
 
 
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(14)
+    for n in (1, 3, 200, 3000):
+        pool = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.uint64))
+        for k in (0, 1, n // 10, n):
+            a, b = pool[:n], pool[k:n + k // 2]
+            places = int(np.bitwise_count((ngram_join.parity(a) ^ ngram_join.parity(b)).view(np.uint64)).sum())
+            assert places <= len(np.setxor1d(a, b)) and (places - len(np.setxor1d(a, b))) % 2 == 0
+    assert not ngram_join.parity(np.empty(0, np.uint64)).any()
+
+
 def test_token_counts(docs, none):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     want = [(i, len((s or "").encode()), len(t.encode(s or "", add_special_tokens=False).ids)) for i, s in [*enumerate(texts()), (3, texts()[3])]]
