@@ -36,7 +36,9 @@ STEM = 4
 NEAR = 6
 _WORD = re.compile(r"\w+")
 _LEET = str.maketrans("013457@$!|+", "oieastasilt")
-_MIXED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])\S*[^\W_][0-9@$!*|+]+[^\W\d_]\S*")
+#: A whole run of digits and marks before a letter; it starts at the run's start alone,
+#: so that a long run is read once.
+_MARKS = re.compile(r"(?<![0-9@$!*|+])([0-9@$!*|+]++)(?=[^\W\d_])")
 _RUNS = re.compile(r"([^\W\d_])\1{2,}")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?!\w)")
 _UPPER_WORD = re.compile(r"\b[A-Z]{3,}\b")
@@ -56,6 +58,14 @@ def term_weight(pos: float, neg: float, n_pos: float, n_neg: float) -> float:
     return max(0.0, odds - math.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)))
 
 
+def mixed_words(low: str) -> list[str]:
+    """Stretches without white space in which digits or marks stand between a letter or
+    digit and a letter. Linear in the text, however long a stretch is."""
+    def inside(w: str) -> bool:
+        return any(w[m.start() - 1:m.start()].isalnum() or any("0" <= c <= "9" for c in m[1][:-1]) for m in _MARKS.finditer(w))
+    return [w for w in low.split() if not w.isalpha() and inside(w)]
+
+
 def features_of(text: str, lexicon: dict[str, tuple[int, int]], n_pos: int, n_neg: int, label: int | None = None) -> list[float]:
     """FEATURES of a whole text. With a label, the row's own part in the lexicon's
     counts is taken out."""
@@ -80,7 +90,7 @@ def features_of(text: str, lexicon: dict[str, tuple[int, int]], n_pos: int, n_ne
         at = np.searchsorted(you, places)
         y = np.array([-10**9, *you, 10**9])
         near = int((np.minimum(np.abs(y[at] - places), np.abs(y[at + 1] - places)) <= NEAR).sum())
-    mixed = _MIXED.findall(low)
+    mixed = mixed_words(low)
     hidden = sum(1 for m in mixed for w in _WORD.findall(m.translate(_LEET)) if w in _INSULTS or weigh(w) >= 1.5)
     spaced = _SPACED.findall(low)
     hidden += sum(1 for m in spaced if re.sub(r"\W|_", "", m) in _INSULTS)
@@ -168,7 +178,7 @@ def _scorer(src: DataFrame, labels: DataFrame, fit_rows: int):
              .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
              .where(~held_out()))
     share = min(1.0, fit_rows / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = known.where(F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit((1 << 62) - 1)) < F.lit(int(share * (1 << 62))))
     # about fit_rows rows of 12 bytes: a broadcast that does not grow with the data
     sample = materialise(src.join(F.broadcast(chosen), "doc_id")
                          .withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(5)) == 0), "sample")
