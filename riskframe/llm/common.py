@@ -19,14 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the
     lineage, survives lost executors, and is compressed, unlike checkpoint()."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rows_with_number(docs: DataFrame, *cols: str, name: str) -> DataFrame:
+    """docs, written, as (row, at, cols): all of its columns in one struct, so that no
+    helper column can clash with one of them, a number of each row, and copies of cols."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return materialise(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("at"))
+                       .select("row", "at", *[F.col("row")[c].alias(c) for c in cols]), name, "zstd")
+
+
 def slices(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20):
     """(slice of a batch, its texts as UTF-8 bytes with null as empty), about
     ``limit`` bytes each, so a task's memory does not follow the batch size."""

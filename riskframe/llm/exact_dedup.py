@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialise, small, text_batches
+from .common import SPACES, materialise, rows_with_number, text_batches
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 256, 16384, 10
 KEY_BYTES = 16
@@ -49,9 +49,9 @@ def chunk_ends(data: bytes, mask_bits: int = MASK_BITS, least: int = MIN_CHUNK,
 
 
 def _recipes(key_bytes: int, with_chunks: bool):
-    """Rows (doc_id, n_cp, sha, recipe) of documents, or (key, chunk) of chunks."""
+    """Rows (doc_id, row, n_cp, sha, recipe) of documents, or (key, chunk) of chunks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (ids,), texts in text_batches(batches, "doc_id"):
+        for (ids, at), texts in text_batches(batches, "doc_id", "row"):
             keys, chunks, n_cp, sha, recipes = [], [], [], [], []
             for t in texts:
                 data = t.translate(None, SPACES)
@@ -72,12 +72,12 @@ def _recipes(key_bytes: int, with_chunks: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(chunks, pa.binary())], ["key", "chunk"])
             else:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n_cp, pa.int64()), pa.array(sha, pa.string()),
-                     pa.array(recipes, pa.binary())], ["doc_id", "n_cp", "text_sha256", "recipe"])
+                    [pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(n_cp, pa.int64()), pa.array(sha, pa.string()),
+                     pa.array(recipes, pa.binary())], ["doc_id", "row", "n_cp", "text_sha256", "recipe"])
     return run
 
 
-def exact_groups(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
+def exact_groups(docs: DataFrame, key_bytes: int = KEY_BYTES, number: str | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept,
     text_sha256.
 
@@ -86,12 +86,14 @@ def exact_groups(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
     code points in the original text stays, then the smallest doc_id (null
     last); of repeated rows that tie in both, exactly one stays. key_bytes sets
     the length of a chunk key: any length gives the same result, as keys that
-    stand for several byte strings are told apart by an ordinal.
+    stand for several byte strings are told apart by an ordinal. number names a
+    column with a number of its own for every row, returned as ``row``: rows that
+    tie are then told apart by it.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    at = F.monotonically_increasing_id() if number is None else F.col(number).cast("long")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", at.alias("row"))
     rows = materialise(
-        src.mapInArrow(_recipes(key_bytes, False), "doc_id long, n_cp long, text_sha256 string, recipe binary")
-        .withColumn("row", F.monotonically_increasing_id()), "recipes")
+        src.mapInArrow(_recipes(key_bytes, False), "doc_id long, row long, n_cp long, text_sha256 string, recipe binary"), "recipes")
     chunks = src.mapInArrow(_recipes(key_bytes, True), "key binary, chunk binary")
     # partial aggregation moves a chunk once per task that holds it
     distinct = chunks.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n"))
@@ -107,24 +109,18 @@ def exact_groups(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
            .groupBy("f.recipe").agg(F.min("row").alias("keep_row")))
     groups = materialise(first.join(one, "recipe").select("recipe", "keep_id", "group_size", "keep_row"), "groups")
     return (rows.join(groups, "recipe")
-            .select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"))
+            .select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256",
+                    *(["row"] if number else [])))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_groups does not keep; all columns stay."""
-    sha = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), " \t\n\x0b\x0c\r", ""), 256)
-    groups = materialise(exact_groups(docs), "kept")
-    gone = groups.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    stay = groups.where("kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"))
-    same = (F.col("a._gone").eqNullSafe(F.col("b._gone"))) & (F.col("a._sha") == F.col("b._sha"))
-    both = materialise(gone.alias("a").join(stay.alias("b"), same, "left_semi"), "repeated")
-    gone = materialise(gone.alias("a").join(both.alias("b"), same, "left_anti"), "gone")
-    left = docs.join(small(gone), docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (sha == gone["_sha"]), "left_anti")
-    if both.isEmpty():
-        return left
-    # rows repeated under one doc_id: one of them stays
-    repeated = F.struct(docs["doc_id"].cast("long").alias("i"), sha.alias("s"))
-    return left.withColumn("_row", repeated).dropDuplicates(["_row"]).drop("_row")
+    """docs without the rows that exact_groups does not keep; all columns stay, whatever
+    their names. Rows are judged one by one, by a number written with them: also rows
+    without a doc_id, several texts under one doc_id, and repeated rows, of which one
+    stays."""
+    rows = rows_with_number(docs, "doc_id", "text", name="rows")
+    gone = materialise(exact_groups(rows, number="at").where("NOT kept").select(F.col("row").alias("gone")), "gone")
+    return rows.select("row", "at").join(gone, F.col("at") == F.col("gone"), "left_anti").select("row.*")
 
 
 def _tell_apart(src: DataFrame, rows: DataFrame, chunks: DataFrame, clashes: DataFrame, key_bytes: int) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, spread
+from .common import materialise, rows_with_number, spread
 
 #: Relative weight of a source at time 0, 1/2 and 1, by its rank: early, flat, late.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
@@ -125,17 +125,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     position, with the columns of docs. A lap taken in part has the text's first
     words, one space apart, and n_chars (where docs has it) of that text. Every row
     keeps its own text, also where doc_id is null or repeated: rows are written with
-    a number, and the mix is joined to them by it."""
-    d = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    whole = mix(d, row="_row", **options)
-    m = whole.select(F.col("_row").alias("_at"), F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("laps").alias("_laps"),
-                     (F.col("taken") - F.col("size") * (F.col("laps") - 1)).alias("_last"), F.posexplode("positions").alias("_lap", "_position"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    joined = d.join(m, d["_row"] == m["_at"])
-    part = (F.col("_lap") == F.col("_laps") - 1) & (F.col("_last") < F.col("_size"))
-    words = F.filter(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " +"), lambda w: w != "")
-    cut = F.when(part, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_last"), F.lit(0)).cast("int")), " ")).otherwise(F.col("text"))
-    out = joined.withColumn("text", cut)
+    a number, and the mix is joined to them by it. Input columns may have any names."""
+    d = rows_with_number(docs, "doc_id", "source", "text", name="rows")
+    whole = mix(d, row="at", **options)
+    m = whole.select(F.col("_row").alias("of"), F.col("doc_id").alias("id"), "size", "laps",
+                     (F.col("taken") - F.col("size") * (F.col("laps") - 1)).alias("last"), F.posexplode("positions").alias("lap", "position"))
+    joined = d.select("row", "at").join(m, F.col("at") == F.col("of"))
+    text = F.col("row")["text"]
+    part = (F.col("lap") == F.col("laps") - 1) & (F.col("last") < F.col("size"))
+    words = F.filter(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " +"), lambda w: w != "")
+    cut = F.when(part, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("last"), F.lit(0)).cast("int")), " ")).otherwise(text)
+    own = {c: F.col("row")[c] for c in docs.columns} | {"text": cut}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(part, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.orderBy("_position", "_id", "_lap", "_row").select(*own)
+        own["n_chars"] = F.when(part, F.length(cut).cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    placed = joined.select(F.struct(*[v.alias(c) for c, v in own.items()]).alias("row"), "position", "id", "lap", "at")
+    return placed.orderBy("position", "id", "lap", "at").select("row.*")

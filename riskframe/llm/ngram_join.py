@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, small, text_batches
+from .common import connected_components, materialise, rows_with_number, small, text_batches
 
 WORDS, SIMILARITY = 4, 85
 #: Frequent tokens: at most this many (8 bytes each), the most frequent ones, each
@@ -303,19 +303,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = SIMIL
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each component of near copies; all columns stay. The row
     with the smallest doc_id stays (null last), then the one whose text has the
-    smallest md5. Components run over rows: rows without a doc_id or with one that
+    smallest md5. Input columns may have any names. Components run over rows: rows without a doc_id or with one that
     others have too are judged by their own texts. Rows without words stay."""
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    parts = materialise(jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), **options)
-                        .select(F.col("doc_id").alias("_at"), "component_id"), "row_parts")
+    rows = rows_with_number(docs, "doc_id", "text", name="rows")
+    parts = materialise(jaccard_components(rows.select(F.col("at").alias("doc_id"), "text"), **options)
+                        .select(F.col("doc_id").alias("own"), "component_id"), "row_parts")
     # most components are one row: only the others need an order
-    several = materialise(parts.where("_at <> component_id").select("component_id").distinct(), "several")
+    several = materialise(parts.where("own <> component_id").select("component_id").distinct(), "several")
     met = parts.join(small(several), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("i"), F.md5("text").alias("t"), F.col("_row").alias("r"))
-    told = materialise(rows.join(met, rows["_row"] == met["_at"]).select("component_id", order.alias("o")), "told")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("i"), F.md5("text").alias("t"), F.col("at").alias("r"))
+    told = materialise(rows.join(met, F.col("at") == F.col("own")).select("component_id", order.alias("o")), "told")
     best = told.groupBy("component_id").agg(F.min("o").alias("best"))
-    gone = materialise(told.join(best, "component_id").where(F.col("o.r") != F.col("best.r")).select(F.col("o.r").alias("_gone")), "gone")
-    return rows.join(small(gone), rows["_row"] == gone["_gone"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = materialise(told.join(best, "component_id").where(F.col("o.r") != F.col("best.r")).select(F.col("o.r").alias("gone")), "gone")
+    return rows.select("row", "at").join(small(gone), F.col("at") == F.col("gone"), "left_anti").select("row.*")
 
 
 def _linked(src: DataFrame, classes: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:

@@ -84,6 +84,36 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
 
 
+CLASH = ["_row", "_id", "_at", "_lap", "_position", "_gone", "_sha", "at", "of", "id", "last", "gone", "own"]
+
+
+def test_stages_judge_rows(spark):
+    # one id under other white space, ids that are missing, and names that helpers could have
+    rows = [(7, "abc"), (7, "a b c"), (7, "a  b  c"), (None, "x y"), (None, "x  y"), (None, "z"), (7, "other"), (8, "other"), (8, "other"), (9, None), (3, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("s").alias("source"), *[F.lit(f"its {c}").alias(c) for c in CLASH])
+    for d in (df, df.repartition(3)):
+        left = exact_dedup.drop_copies(d)
+        assert left.columns == df.columns
+        got = left.collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(
+            [(7, "a  b  c"), (None, "x  y"), (None, "z"), (7, "other"), (3, " ")], key=str)
+        assert all(r[c] == f"its {c}" for r in got for c in CLASH)
+    near, mixed = ngram_join.keep_one(df, words=5, percent=80), mixing.mixed_documents(df, weights=(1.0,), max_repeat=1)
+    for out, want in ((near, 7), (mixed, len(rows))):
+        got = out.collect()
+        assert out.columns == df.columns and len(got) == want and all(r[c] == f"its {c}" for r in got for c in CLASH)
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows, key=str)
+
+
+def test_mixed_words_are_linear():
+    slow = re.compile(r"(?<!\S)(?=\S*[^\W\d_])\S*[^\W_][0-9@$!*|+]+[^\W\d_]\S*")
+    r = random.Random(3)
+    for _ in range(5000):
+        t = "".join(r.choice("ab01!@+_. \té٣\u3000") for _ in range(14))
+        assert toxicity.mixed_words(t) == slow.findall(t), repr(t)
+    assert toxicity.mixed_words("a" + "0" * 1_000_000) == [] and len(toxicity.mixed_words("a0" * 500_000)) == 1
+
+
 def shingles(t, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[j:j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
