@@ -27,7 +27,7 @@ MSG_BLANK_REVIEWER = "Reviewer name cannot be empty."
 MSG_BAD_DECISION = "Please enter Benign, Malignant, or Uncertain."
 
 # A JavaScript-style numeric literal (what the upload check accepts).
-NUMERIC_RE = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|0[xX][0-9a-fA-F]+|Infinity)$"
+NUMERIC_RE = r"^[+-]?(\d+(\.\d*)?([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|0[xX][0-9a-fA-F]+|Infinity)$"
 
 
 def _number(x):
@@ -167,38 +167,44 @@ def parse_feature_requests(df: DataFrame, json_col: str, n: int = 30,
 
 
 # A9 ------------------------------------------------------------------------
+def csv_fields(line):
+    """Fields of a line: commas inside double quotes do not cut, a quoted field loses
+    its quotes. A line is cut at its quotes, commas outside them become line breaks
+    (which a line cannot hold), and these cut the fields: linear in the line, at any
+    number of fields. With a quote that is never closed, the quotes count from the end."""
+    from_end = F.transform(F.reverse(F.split(line, '"')),
+                           lambda part, quotes: F.when(quotes % 2 == 0, F.translate(part, ",", "\n")).otherwise(part))
+    return F.transform(F.split(F.array_join(F.reverse(from_end), '"'), "\n"),
+                       lambda x: F.trim(F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1")))
+
+
 def validate_feature_lines(lines: DataFrame, n: int = 30, file_col: str = "file",
                            line_col: str = "line", no_col: str = "line_no"
                            ) -> tuple[DataFrame, DataFrame]:
     """Uploaded CSV text, one row per (file, line_no, line) → (valid data
     rows with a ``features`` array, rejects with reason).
 
-    Rules: the file must end in .csv; blank lines are skipped; a file with no
+    Rules: the file must end in .csv; blank and null lines are skipped; a file with no
     non-blank line is empty; line 1 is a header iff any of its fields is not
     a number; a header-only file is rejected; every data line (all of them,
     not just the first) must have exactly n fields, each a number. Fields are
-    trimmed; a blank field is not a number."""
-    nb = lines.where(F.length(F.trim(F.col(line_col))) > 0)
-    # commas inside double quotes do not cut; a quoted field loses its quotes
-    fields = F.transform(F.split(F.col(line_col), r',(?=(?:[^"]*"[^"]*")*[^"]*$)'),
-                         lambda x: F.trim(F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1")))
-    d = nb.select(file_col, no_col, fields.alias("_f"))
-    d = d.withColumn("_num", F.forall("_f", lambda x: x.rlike(NUMERIC_RE)))
-    # First non-blank line per file from an aggregate (no per-file window).
-    firsts = d.groupBy(file_col).agg(F.min(no_col).alias("_first"),
-                                     F.count(F.lit(1)).alias("_lines"))
-    d = d.join(firsts, file_col)
-    d = d.withColumn("_header", (F.col(no_col) == F.col("_first")) & ~F.col("_num"))
-    hdr = d.where(F.col("_header")).select(file_col, F.lit(1).alias("_has_header"))
-    files = lines.select(file_col).distinct()
-    fr = (files.join(firsts, file_col, "left").join(hdr, file_col, "left")
-               .fillna(0, ["_lines", "_has_header"]))
+    trimmed; a blank field is not a number.
+
+    The facts of a file (lines, first line, header or not) come from one aggregate
+    with fixed-width states, joined back once."""
+    text = F.coalesce(F.length(F.trim(F.col(line_col))) > 0, F.lit(False))
+    d = lines.select(file_col, no_col, text.alias("_text"), csv_fields(F.col(line_col)).alias("_f"))
+    d = d.withColumn("_num", F.col("_text") & F.forall("_f", lambda x: x.rlike(NUMERIC_RE)))
+    # the least line number with the line's kind as its last bit
+    first = F.min(F.when(F.col("_text"), F.col(no_col).cast("long") * 2 + F.col("_num").cast("long")))
+    facts = d.groupBy(file_col).agg(F.count_if("_text").alias("_lines"), first.alias("_head"))
+    header = F.coalesce(F.col("_head") % 2 == 0, F.lit(False))
     file_reason = (F.when(~F.lower(F.col(file_col)).endswith(".csv"), F.lit(MSG_NOT_CSV))
                    .when(F.col("_lines") == 0, F.lit(MSG_EMPTY))
-                   .when((F.col("_has_header") == 1) & (F.col("_lines") < 2), F.lit(MSG_HEADER_ONLY)))
-    fr = fr.select(file_col, file_reason.alias("reason"))
-    ok_files = fr.where(F.col("reason").isNull()).select(file_col)
-    data = d.where(~F.col("_header")).join(ok_files, file_col, "left_semi")
+                   .when(header & (F.col("_lines") < 2), F.lit(MSG_HEADER_ONLY)))
+    facts = facts.select(file_col, file_reason.alias("_file_reason"), F.when(header, F.floor(F.col("_head") / 2)).alias("_header_no"))
+    ok = facts.where("_file_reason IS NULL").select(file_col, "_header_no")
+    data = d.where("_text").join(ok, file_col).where(~F.col(no_col).eqNullSafe(F.col("_header_no")))
     size = F.size("_f")
     reason = F.coalesce(
         F.when(size != n, F.format_string(MSG_CSV_ARITY.replace("{n}", str(n))
@@ -208,8 +214,8 @@ def validate_feature_lines(lines: DataFrame, n: int = 30, file_col: str = "file"
     valid = data.where(F.col("reason").isNull()).select(
         file_col, no_col, F.transform("_f", _number).alias("features"))
     line_rejects = data.where(F.col("reason").isNotNull()).select(file_col, no_col, "reason")
-    file_rejects = fr.where(F.col("reason").isNotNull()).select(
-        file_col, F.lit(None).cast("long").alias(no_col), "reason")
+    file_rejects = facts.where("_file_reason IS NOT NULL").select(
+        file_col, F.lit(None).cast("long").alias(no_col), F.col("_file_reason").alias("reason"))
     return valid, line_rejects.unionByName(file_rejects)
 
 

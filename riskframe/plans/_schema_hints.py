@@ -79,6 +79,8 @@ HINTS = {'audit_events': ([], []),
                                    'roc_auc'],
                                   ['tn', 'fp', 'fn', 'tp']),
  'report_text': ([], []),
+ 'csv_rejects': ([], ['line_no']),
+ 'csv_valid': (['value'], ['line_no', 'n_features', 'pos']),
  'request_rejects': ([], ['vec_id']),
  'request_valid': ([], ['vec_id', 'n_features']),
  'response_json': ([], []),

@@ -280,6 +280,48 @@ def request_valid_q(spark, sf_dir):
     return ok.select("vec_id", F.size("features").cast("long").alias("n_features"))
 
 
+def _uploads(spark, sf_dir):
+    """One CSV upload per embedding, in eight kinds by vec_id: with a quoted header (its
+    names hold commas), without one, quoted values behind a blank line, 63 values, a bad
+    second line, another suffix, a header alone, nothing but blanks."""
+    e = table(spark, sf_dir, "embeddings").withColumn("kind", F.col("vec_id") % 8)
+    nums = F.transform("embedding", lambda x: x.cast("double").cast("string"))
+    header = F.lit(",".join(f'"value, {i}"' for i in range(N_VALUES)))
+    data, quoted = F.array_join(nums, ","), F.concat(F.lit('"'), F.array_join(nums, '" , "'), F.lit('"'))
+    short, bad = F.array_join(F.slice(nums, 1, N_VALUES - 1), ","), F.concat(F.lit("abc,"), F.array_join(F.slice(nums, 2, N_VALUES), ","))
+    kinds = [F.array(header, data), F.array(data), F.array(header, F.lit(" "), quoted), F.array(short), F.array(data, bad),
+             F.array(data), F.array(header), F.array(F.lit("  "), F.lit(""))]
+    lines = F.element_at(F.array(*kinds), (F.col("kind") + 1).cast("int"))
+    name = F.concat(F.lit("upload_"), F.col("vec_id").cast("string"), F.when(F.col("kind") == 5, ".txt").otherwise(".csv"))
+    return (e.select(name.alias("file"), F.posexplode(lines).alias("line_no", "line"))
+            .withColumn("line_no", F.col("line_no").cast("long")))
+
+
+@register("csv_valid", """
+SELECT 'upload_' || vec_id || '.csv' AS file, CAST(CASE vec_id % 8 WHEN 0 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS line_no,
+       CAST(len(embedding) AS BIGINT) AS n_features, unnest(embedding)::DOUBLE AS value, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS pos
+FROM embeddings WHERE vec_id % 8 IN (0, 1, 2, 4)""")
+def csv_valid_q(spark, sf_dir):
+    """Every value of the accepted upload lines."""
+    ok, _ = R.validate_feature_lines(_uploads(spark, sf_dir), N_VALUES)
+    return (ok.select("file", "line_no", F.size("features").cast("long").alias("n_features"), F.posexplode("features").alias("pos", "value"))
+            .withColumn("pos", F.col("pos").cast("long")))
+
+
+@register("csv_rejects", """
+SELECT 'upload_' || vec_id || CASE WHEN vec_id % 8 = 5 THEN '.txt' ELSE '.csv' END AS file,
+       CAST(CASE vec_id % 8 WHEN 3 THEN 0 WHEN 4 THEN 1 END AS BIGINT) AS line_no,
+       CASE vec_id % 8 WHEN 3 THEN 'CSV must contain exactly 64 feature values. Found 63.'
+                       WHEN 4 THEN 'CSV contains one or more non-numeric feature values.'
+                       WHEN 5 THEN 'Please select a CSV file.' WHEN 6 THEN 'CSV contains a header but no data row.'
+                       ELSE 'CSV file is empty.' END AS reason
+FROM embeddings WHERE vec_id % 8 IN (3, 4, 5, 6, 7)""")
+def csv_rejects_q(spark, sf_dir):
+    """Upload lines and files rejected with their reason."""
+    _, rejects = R.validate_feature_lines(_uploads(spark, sf_dir), N_VALUES)
+    return rejects
+
+
 @register("display_fields", f"""
 WITH {LABELLED_SQL}, {_scored_sql()}
 SELECT case_id, CASE WHEN lower(risk_level) = 'high' THEN 'HIGH RISK'

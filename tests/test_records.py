@@ -81,3 +81,24 @@ def test_csv_hex_and_quotes(spark):
     valid, rejects = R.validate_feature_lines(_lines(spark, {"a.csv": '"3","4",0x1A\n"1,5",2,3'}), 3)
     assert [r.features for r in valid.collect()] == [[3.0, 4.0, 26.0]]
     assert [r.reason for r in rejects.collect()] == [R.MSG_NON_NUMERIC]
+
+
+def test_csv_long_lines(spark):
+    many = ",".join(f'"{i}"' for i in range(100_000))
+    files = {"many.csv": many, "digits.csv": "1" * 1_000_000 + "x\n1,2,3", "open.csv": '1,2,3\n"a,b,1,2', "null.csv": "1,2,3"}
+    lines = _lines(spark, files).union(spark.createDataFrame([("null.csv", 1, None)], "file string, line_no long, line string"))
+    valid, rejects = R.validate_feature_lines(lines, 3)
+    assert sorted((r.file, r.line_no) for r in valid.collect()) == [("digits.csv", 1), ("null.csv", 0), ("open.csv", 0)]
+    assert sorted((r.file, r.line_no, r.reason) for r in rejects.collect()) == [
+        ("many.csv", 0, R.MSG_CSV_ARITY.format(n=3, found=100_000)), ("open.csv", 1, R.MSG_CSV_ARITY.format(n=3, found=4))]
+
+
+def test_csv_fields_like_a_pattern(spark):
+    import random
+    import re
+    r = random.Random(5)
+    texts = ["".join(r.choice('ab",, ') for _ in range(12)) for _ in range(400)]
+    d = spark.createDataFrame([(t,) for t in texts], "line string").select("line", R.csv_fields(F.col("line")).alias("f"))
+    for row in d.collect():
+        cuts = re.split(r',(?=(?:[^"]*"[^"]*")*[^"]*$)', row.line)
+        assert row.f == [re.sub(r'^"(.*)"$', r"\1", x.strip(" ")).strip(" ") for x in cuts], row.line
