@@ -122,31 +122,44 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-OP10_SQL = r"""
+def _inverse(y0: str, y1: str, area: str) -> str:
+    return f"(CASE WHEN {area} <= 0 THEN CAST(0 AS DOUBLE) ELSE 2 * {area} / ({y0} + sqrt(greatest({y0} * {y0} + 4 * ({y1} - {y0}) * {area}, 0))) END)"
+
+
+def _training_time(lap: str) -> str:
+    """DuckDB expression of the training time of a lap, by the schedule (a, b, c)."""
+    need = f"(least(({lap} * source_size + start + size / 2) / goal, CAST(1 AS DOUBLE)) * ((a + 2 * b + c) / 4))"
+    return (f"CASE WHEN laps > 0 THEN CASE WHEN {need} <= (a + b) / 4 THEN {_inverse('a', 'b', need)} "
+            f"ELSE 0.5 + {_inverse('b', 'c', f'({need} - (a + b) / 4)')} END END")
+
+
+OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS BIGINT) AS size,
                   md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 k AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM s),
-l AS (SELECT *, source_size * CAST(3 AS DOUBLE) AS full_, source_size * CAST(3 AS DOUBLE) / w AS level FROM k),
+q AS (SELECT *, CAST(CASE w WHEN 1 THEN 1.5 WHEN 2 THEN 1 ELSE 0.5 END AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS b, CAST(CASE w WHEN 1 THEN 0.5 WHEN 2 THEN 1 ELSE 1.5 END AS DOUBLE) AS c FROM k),
+l AS (SELECT *, source_size * CAST(3 AS DOUBLE) AS full_, source_size * CAST(3 AS DOUBLE) / w AS level FROM q),
 f AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(full_) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS reach FROM l),
-g AS (SELECT source, source_size, least(full_, w * max(CASE WHEN reach <= level THEN reach END) OVER ()) AS target FROM f),
-c AS (SELECT d.doc_id, d.size, g.source_size, g.target, CAST(round(g.target) AS BIGINT) AS goal,
+g AS (SELECT source, source_size, a, b, c, least(full_, w * max(CASE WHEN reach <= level THEN reach END) OVER ()) AS target FROM f),
+t AS (SELECT d.doc_id, d.size, a, b, c, g.source_size, g.target, CAST(round(g.target) AS BIGINT) AS goal,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-e AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS laps_full FROM c)
-SELECT doc_id, size, source_size, target,
-       CAST(laps_full * size + greatest(0, least(size, goal - laps_full * source_size - start)) AS BIGINT) AS taken,
-       CAST(laps_full + CASE WHEN start < goal - laps_full * source_size THEN 1 ELSE 0 END AS INTEGER) AS laps
-FROM e
+e AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS laps_full FROM t),
+r AS (SELECT *, CAST(laps_full * size + greatest(0, least(size, goal - laps_full * source_size - start)) AS BIGINT) AS taken,
+       CAST(laps_full + CASE WHEN start < goal - laps_full * source_size THEN 1 ELSE 0 END AS INTEGER) AS laps FROM e)
+SELECT doc_id, size, source_size, target, taken, laps, {_training_time("0")} AS first_position, {_training_time("(laps - 1)")} AS last_position FROM r
 """
 
 
 @register("op10_mixing", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
+    """What the mix takes of every document, and the training times of its first and
+    last lap (null without one), range-sorted by them."""
+    lap = [F.try_element_at("positions", F.lit(k)).alias(c) for k, c in ((1, "first_position"), (-1, "last_position"))]
     return (mixing.mix(table(spark, sf_dir, "documents"))
-            .select("doc_id", "size", "source_size", "target", "taken", "laps"))
+            .select("doc_id", "size", "source_size", "target", "taken", "laps", *lap).orderBy("first_position", "last_position", "doc_id"))
 
 
 #: crc: table of the CRC-32 of one byte; a string's CRC folds it over the bytes.
