@@ -3,7 +3,9 @@ per-document pre-token frequencies, and summed; no ids are kept.
 
 The frequencies travel by block, a slice of some MB of documents: a block holds
 its distinct pre-tokens once and, per document, (pre-token number, frequency)
-pairs, so the join moves a pre-token once per block and not once per document.
+pairs, so the join moves a pre-token once per block and not once per document. It is
+one exchange: dealt and sorted by pre-token, each is counted where its rows lie next
+to each other, and the counts go back to their blocks packed.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import materialise, text_batches
 from .tokens import STRETCH, PreTokens, load, piece_counts, pre_tokens
 
+#: Rows that a task packs at a time.
+PACKED = 1_000_000
 BLOCK = "doc_ids array<long>, n_bytes array<long>, ends array<long>, pairs binary, pre_tokens array<string>"
 
 
@@ -54,6 +58,18 @@ def frequencies(texts: list[bytes], pre: PreTokens) -> tuple[np.ndarray, np.ndar
     return ends, pair % max(1, len(numbers)), freq, list(numbers)
 
 
+def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(of_block, counts) of (block, number, count) arrays: a row per block with its
+    numbers, sorted, and their counts."""
+    block, number, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((number, block))
+    block, number, n = block[order], number[order].astype("<u4"), n[order].astype("<u4")
+    own, start = np.unique(block, return_index=True)
+    packer, ends = zstandard.ZstdCompressor(level=1), [*start[1:].tolist(), len(block)]
+    counts = [packer.compress(number[a:b].tobytes() + n[a:b].tobytes()) for a, b in zip(start.tolist(), ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(counts, pa.binary())], ["of_block", "counts"])
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of
     docs (doc_id, text). Null and empty texts have 0 bytes and tokens; repeated
@@ -71,20 +87,36 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
                                              ["doc_ids", "n_bytes", "ends", "pairs", "pre_tokens"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by pre-token: (block, number, n) of each, packed by block."""
         tokenizer = load(tokenizer_path)
+        last, last_n, held, rows = None, 0, [], 0
         for batch in batches:
             names = batch.column("pre_token").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("pre_token"), pa.array(piece_counts(tokenizer, names), pa.int32())],
-                                             ["pre_token", "n"])
+            distinct = list(dict.fromkeys(names))
+            known = {last: last_n}
+            new = [x for x in distinct if x not in known]
+            known.update(zip(new, piece_counts(tokenizer, new), strict=True))
+            if names:
+                last, last_n = names[-1], known[names[-1]]
+            n = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+            held.append((batch.column("block").to_numpy(), batch.column("number").to_numpy(), n))
+            rows += len(n)
+            if rows >= PACKED:
+                yield packed(held)
+                held, rows = [], 0
+        if held:
+            yield packed(held)
 
     def total(block: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, unpack = [], zstandard.ZstdDecompressor().decompress
+        told = [np.frombuffer(unpack(x), "<u4").reshape(2, -1) for x in counts["counts"]]
         for row in block.itertuples():
-            raw = zstandard.ZstdDecompressor().decompress(row.pairs)
+            raw = unpack(row.pairs)
             half = len(raw) // 2
             number = np.cumsum(np.frombuffer(raw[:half], "<i4").astype(np.int64))
-            n = np.zeros(int(counts["number"].max()) + 1 if len(counts) else 1, np.int64)
-            n[counts["number"].to_numpy()] = counts["n"].to_numpy()
+            n = np.zeros(max((int(t[0].max()) for t in told), default=0) + 1, np.int64)
+            for t in told:
+                n[t[0]] = t[1]
             sums = np.concatenate(([0], np.cumsum(np.frombuffer(raw[half:], "<u4") * n[number])))
             ends = np.asarray(row.ends, np.int64)
             out.append(pd.DataFrame({"doc_id": pd.array(row.doc_ids, "Int64"), "n_bytes": row.n_bytes,
@@ -94,8 +126,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = materialise(src.mapInArrow(blocks, BLOCK).withColumn("block", F.monotonically_increasing_id()), "blocks")
     names = held.select("block", F.posexplode("pre_tokens").alias("number", "pre_token"))
-    counts = names.select("pre_token").distinct().mapInArrow(count, "pre_token string, n int")
-    own = names.join(counts, "pre_token").select(F.col("block").alias("of_block"), "number", "n")
+    # every row of a pre-token in one task, next to each other: it is counted once
+    own = (names.repartition("pre_token").sortWithinPartitions("pre_token")
+           .mapInArrow(count, "of_block long, counts binary"))
     left = held.select("block", "doc_ids", "n_bytes", "ends", "pairs")
     sums = (left.groupBy("block").cogroup(own.groupBy("of_block"))
             .applyInPandas(total, "doc_id long, n_bytes long, n_tokens long"))

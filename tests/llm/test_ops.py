@@ -182,7 +182,9 @@ def test_parity_bounds_the_difference():
     assert not ngram_join.parity(np.empty(0, np.uint64)).any()
 
 
-def test_token_counts(docs, none):
+@pytest.mark.parametrize("rows", [1_000_000, 3])
+def test_token_counts(docs, none, monkeypatch, rows):
+    monkeypatch.setattr(token_counts, "PACKED", rows)
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     want = [(i, len((s or "").encode()), len(t.encode(s or "", add_special_tokens=False).ids)) for i, s in [*enumerate(texts()), (3, texts()[3])]]
     got = token_counts.token_counts(docs, P.path("byte_bpe_50k.json"))
