@@ -88,7 +88,7 @@ def rank_within(df: DataFrame, groups: Sequence[str], order_hex: str,
         hex_digits = auto_hex_digits(df.count())
     b = "_rk_bucket"
     d = df.withColumn(b, F.conv(F.substring(F.col(order_hex), 1, hex_digits), 16, 10)
-                      .cast("int"))
+                      .cast("long"))
     counts = (d.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("_rk_n"))
                 .persist(StorageLevel.MEMORY_AND_DISK))
     w = (Window.partitionBy(*groups).orderBy(b)

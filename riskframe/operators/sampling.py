@@ -2,8 +2,10 @@
 
 Row order is a reproducible pseudo-random key, md5(seed|key), never a
 position. Per-class quotas are computed on the tiny class-count table;
-ranks within a class use the two-level rank, so a class holding most of the
-rows still spreads over thousands of tasks.
+splits and samples find the cutoff key of a class from a histogram of hash
+prefixes and decide every row where it lies; folds and shuffles, which need every
+rank, use the two-level rank, so a class holding most of the rows still spreads
+over thousands of tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import hash_order_key, null_safe_join, rank_within, sized_broadcast
+from .ranking import (auto_hex_digits, hash_order_key, null_safe_join, prefix_before, rank_within,
+                      sized_broadcast)
 
 
 def _key(df: DataFrame, key: str | Sequence[str]) -> Column:
@@ -51,24 +54,79 @@ def quotas_from_counts(c: DataFrame, label: str, test_frac: float) -> DataFrame:
                     (F.col("n_c") - F.col("train_quota")).alias("test_quota"))
 
 
+# Selection -----------------------------------------------------------------
+def _ordered(df: DataFrame, key: str | Sequence[str], seed: int | str) -> DataFrame:
+    """Adds ``_h`` (md5 of seed|key) and ``_tie`` (the key as text, empty for null: null
+    keys share one md5)."""
+    return df.withColumn("_h", hash_order_key(_key(df, key), seed)) \
+             .withColumn("_tie", F.coalesce(_key(df, key).cast("string"), F.lit("")))
+
+
+def select_first(df: DataFrame, groups: Sequence[str], quotas, key: str | Sequence[str],
+                 seed: int | str = 42, out: str = "selected") -> DataFrame:
+    """Adds boolean ``out``: whether a row is among the first ``quota`` rows of its group in
+    md5(seed|key) order. Exact, and no exchange moves the rows.
+
+    A histogram of hash prefixes per group (one aggregate, map-side combined) shows the
+    bucket in which a group's quota runs out; the keys of that bucket alone are counted
+    and ordered, which gives the last selected key, the cutoff. Every row is then decided
+    by comparing its own key with its group's cutoff, a table of one row per group.
+
+    ``quotas`` maps the group sizes (groups + ``n_c``) to a table of groups + ``quota``; a
+    quota of 0 or null selects nothing, one past the group's size all of it. Null group
+    values are a group. Where a key is repeated at the cutoff and only some of its rows
+    fit, those rows (and no others) are numbered by the hash of the whole row; rows that
+    are equal in every column are interchangeable."""
+    groups = list(groups)
+    own = df.columns
+    d = _ordered(df, key, seed)
+    b = F.conv(F.substring("_h", 1, auto_hex_digits(df.count())), 16, 10).cast("long")
+    d = d.withColumn("_bucket", b)
+    counts = d.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n")).cache()
+    sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("n_c"))
+    n_groups = sizes.count()
+    before = prefix_before(counts, groups, "_bucket", ["_n"], prefix="_before")
+    edge = null_safe_join(before, quotas(sizes).select(*groups, "quota"), groups)
+    edge = null_safe_join(edge, sizes, groups)
+    fits = F.least("quota", "n_c")
+    edge = edge.where((F.col("_before_n") < fits) & (fits <= F.col("_before_n") + F.col("_n"))) \
+               .select(*groups, "_bucket", (fits - F.col("_before_n")).alias("_left"))
+    near = null_safe_join(d.select(*groups, "_bucket", "_h", "_tie"),
+                          sized_broadcast(edge, known_rows=n_groups), [*groups, "_bucket"])
+    near = near.groupBy(*groups, "_left", "_h", "_tie").agg(F.count(F.lit(1)).alias("_have"))
+    w = Window.partitionBy(*groups).orderBy("_h", "_tie")
+    near = near.withColumn("_upto", F.sum("_have").over(w))
+    cuts = near.where((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_have") < F.col("_left"))) \
+               .select(*groups, F.struct("_h", "_tie").alias("_cut"),
+                       (F.col("_left") - F.col("_upto") + F.col("_have")).alias("_need"), "_have").cache()
+    shared = cuts.where(F.col("_need") < F.col("_have")).count()
+    counts.unpersist()
+    j = null_safe_join(d, sized_broadcast(cuts, known_rows=n_groups), groups, how="left")
+    at = F.struct("_h", "_tie")
+    if not shared:
+        return j.select(*own, F.coalesce(at <= F.col("_cut"), F.lit(False)).alias(out))
+    split_key = F.coalesce((at == F.col("_cut")) & (F.col("_need") < F.col("_have")), F.lit(False))
+    sure = j.where(~split_key).select(*own, F.coalesce(at <= F.col("_cut"), F.lit(False)).alias(out))
+    order = Window.partitionBy(*groups).orderBy(F.xxhash64(*[F.col(c) for c in own]))
+    return sure.unionByName(j.where(split_key).withColumn("_r", F.row_number().over(order))
+                            .select(*own, (F.col("_r") <= F.col("_need")).alias(out)))
+
+
 # S1 ------------------------------------------------------------------------
 def stratified_holdout(df: DataFrame, label: str, test_frac: float = 0.2,
                        key: str | Sequence[str] = "id", seed: int = 42,
-                       split_col: str = "split", names: tuple[str, str] = ("train", "test"),
-                       keep_rank: bool = False) -> DataFrame:
+                       split_col: str = "split", names: tuple[str, str] = ("train", "test")
+                       ) -> DataFrame:
     """Adds ``split``: exact per-class test sizes (as a stratified 80/20 split
     allocates them); the test rows of a class are its first ``test_quota``
-    rows in md5(seed|key) order. Reproducible on any engine with md5."""
-    d = df.withColumn("_h", hash_order_key(_key(df, key), seed)) \
-          .withColumn("_tie", _key(df, key).cast("string"))
-    ranked, class_n, n_classes = rank_within(d, [label], "_h", "_tie", out="_rank",
-                                             return_counts=True)
-    quotas = quotas_from_counts(class_n, label, test_frac).select(label, "test_quota")
-    j = null_safe_join(ranked, sized_broadcast(quotas, known_rows=n_classes), [label])
-    out = j.withColumn(split_col, F.when(F.col("_rank") <= F.col("test_quota"), names[1])
-                       .otherwise(names[0]))
-    drop = ["_h", "_tie", "test_quota"] + ([] if keep_rank else ["_rank"])
-    return out.drop(*drop)
+    rows in md5(seed|key) order. Reproducible on any engine with md5; rows stay
+    where they are (``select_first``)."""
+    def quotas(sizes):
+        return quotas_from_counts(sizes, label, test_frac).withColumnRenamed("test_quota", "quota")
+
+    s = select_first(df, [label], quotas, key, seed, "_selected")
+    return s.withColumn(split_col, F.when(F.col("_selected"), names[1]).otherwise(names[0])) \
+            .drop("_selected")
 
 
 # S2 ------------------------------------------------------------------------
@@ -76,14 +134,19 @@ def train_validation_test(df: DataFrame, label: str, test_frac: float = 0.2,
                           val_frac: float = 0.2, key: str | Sequence[str] = "id",
                           seed: int = 42, split_col: str = "split") -> DataFrame:
     """Nested split: test held out first; validation is then taken from the
-    remaining rows with a different salt."""
+    remaining rows with a different salt. The test rows go through the second
+    selection as groups of their own with quota 0, so one narrow scan decides both."""
     first = stratified_holdout(df, label, test_frac, key, seed, "_outer", ("rest", "test"))
-    rest = first.where(F.col("_outer") == "rest").drop("_outer")
-    test = first.where(F.col("_outer") == "test").drop("_outer") \
-                .withColumn(split_col, F.lit("test"))
-    inner = stratified_holdout(rest, label, val_frac, key, f"{seed}/validation", split_col,
-                               ("train", "validation"))
-    return inner.unionByName(test)
+
+    def quotas(sizes):
+        rest = sizes.where(F.col("_outer") == "rest").drop("_outer")
+        q = quotas_from_counts(rest, label, val_frac)
+        return q.select(F.lit("rest").alias("_outer"), label, F.col("test_quota").alias("quota"))
+
+    both = select_first(first, ["_outer", label], quotas, key, f"{seed}/validation", "_selected")
+    part = F.when(F.col("_outer") == "test", "test") \
+            .when(F.col("_selected"), "validation").otherwise("train")
+    return both.withColumn(split_col, part).drop("_outer", "_selected")
 
 
 # S3 ------------------------------------------------------------------------
@@ -160,19 +223,21 @@ def shuffle_rank(df: DataFrame, key: str | Sequence[str], seed: int = 42,
 
 
 # S6 / S7 -------------------------------------------------------------------
-TOP_N_LIMIT = 100_000
+TOP_N_LIMIT = 1_000
 
 
 def sample_n(df: DataFrame, n: int, key: str | Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly min(n, rows) rows without replacement: the first n in
-    md5(seed|key) order. Small n is a top-n (TakeOrderedAndProject: per-task
-    top-n, then an n-row merge); a large n filters on the two-level rank
-    instead, so no single task ever holds the sample."""
+    md5(seed|key) order. Up to ``TOP_N_LIMIT`` rows it is a top-n (one pass, each
+    task hands at most n rows to the merge); beyond, ``select_first`` decides every
+    row by the cutoff key where it lies, so no task ever holds the sample."""
     if n <= TOP_N_LIMIT:
         return (df.withColumn("_h", hash_order_key(_key(df, key), seed))
                   .orderBy("_h", _key(df, key).cast("string")).limit(n).drop("_h"))
-    ranked = shuffle_rank(df, key, seed, out="_sr")
-    return ranked.where(F.col("_sr") <= n).drop("_sr")
+    d = df.withColumn("_all_rows", F.lit(0))
+    s = select_first(d, ["_all_rows"], lambda sizes: sizes.withColumn("quota", F.lit(n).cast("long")),
+                     key, seed, "_selected")
+    return s.where("_selected").drop("_selected", "_all_rows")
 
 
 sample_at_most = sample_n

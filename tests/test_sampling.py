@@ -80,3 +80,49 @@ def test_sample_n_large_path_equals_top_n(spark, monkeypatch):
     monkeypatch.setattr(SM, "TOP_N_LIMIT", 10)
     large = {r["k"] for r in SM.sample_n(d, 120, "k").collect()}
     assert small == large and len(small) == 120
+
+
+def _first(rows, quota, seed):
+    rows = sorted(rows, key=lambda k: hashlib.md5(f"{seed}|{k}".encode()).hexdigest())
+    return set(rows[:quota])
+
+
+def test_select_first_moves_no_rows(spark):
+    d = spark.range(4000).select("id", (F.col("id") % 3).cast("int").alias("label"), F.concat(F.lit("p"), "id").alias("payload"))
+    s = SM.stratified_holdout(d, "label", 0.2, "id", 42)
+    rows, cutoffs = s._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation", 1)
+    assert "payload" in rows and not any(x in rows for x in ("Window", "Aggregate", "Sort", "Repartition"))
+    assert "payload" not in cutoffs
+    got = {r["id"] for r in s.where("split = 'test'").collect()}
+    quota = {r["label"]: r["test_quota"] for r in SM.class_quotas(d, "label", 0.2).collect()}
+    assert got == set().union(*(_first(range(c, 4000, 3), quota[c], 42) for c in range(3)))
+
+
+def test_split_with_repeated_null_and_hot_keys(spark):
+    rows = [("hot", 0, i) for i in range(700)] + [(None, 0, i) for i in range(100)]
+    rows += [(f"k{i}", 0, i) for i in range(200)] + [("hot", None, i) for i in range(50)]
+    d = spark.createDataFrame(rows, "id string, label int, n int")
+    for frac in (0.05, 0.2, 0.5, 0.95):
+        s = SM.stratified_holdout(d, "label", frac, "id", 42)
+        q = {r["label"]: r["test_quota"] for r in SM.class_quotas(d, "label", frac).collect()}
+        n = {r["label"]: r["count"] for r in s.where("split = 'test'").groupBy("label").count().collect()}
+        assert n == {k: v for k, v in q.items() if v} and s.count() == len(rows)
+        assert s.distinct().count() == d.distinct().count()
+
+
+def test_split_of_identical_rows_and_of_no_rows(spark):
+    d = spark.createDataFrame([(1, 1)] * 90 + [(2, 0)] * 10, "id long, label int")
+    s = SM.stratified_holdout(d, "label", 0.2, "id", 7).where("split = 'test'")
+    assert {r["label"]: r["count"] for r in s.groupBy("label").count().collect()} == {1: 18, 0: 2}
+    none = SM.train_validation_test(d.where("id > 5"), "label", 0.2, 0.2, "id", 7)
+    assert none.columns == ["id", "label", "split"] and none.count() == 0
+
+
+def test_nested_split_equals_two_splits(spark):
+    d = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(700)], "id long, label int")
+    both = {r["id"]: r["split"] for r in SM.train_validation_test(d, "label", 0.2, 0.25, "id", 42).collect()}
+    outer = SM.stratified_holdout(d, "label", 0.2, "id", 42)
+    inner = SM.stratified_holdout(outer.where("split = 'train'").drop("split"), "label", 0.25, "id", "42/validation")
+    want = {r["id"]: "test" for r in outer.where("split = 'test'").collect()}
+    want |= {r["id"]: "validation" if r["split"] == "test" else "train" for r in inner.collect()}
+    assert both == want
