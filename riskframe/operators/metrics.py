@@ -63,20 +63,27 @@ def classification_metrics(df: DataFrame, label: str = "label", pred: str = "pre
 
 def threshold_metrics(df: DataFrame, label: str, score: str, threshold: float,
                       by: Sequence[str] = ()) -> DataFrame:
-    """E13 at a fixed threshold (prediction = score >= threshold)."""
-    d = df.withColumn("_pred", (F.col(score) >= F.lit(threshold)).cast("int"))
+    """E13 at a fixed threshold (prediction = score >= threshold). Rows whose score is
+    missing (null or NaN) have no prediction and are in none of the counts, as in the
+    sweep and the ROC operators."""
+    d = df.withColumn("_pred", F.when(has_score(score), (F.col(score) >= F.lit(threshold)).cast("int")))
     return classification_metrics(d, label, "_pred", by)
 
 
 # E15 / E16 -----------------------------------------------------------------
+def has_score(score: str) -> Column:
+    """Whether a row has a score: neither null nor NaN."""
+    return F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+
+
 def _score_counts(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     """Distinct (group, score) with positive / negative counts; rows with a
-    null label or score are left out. One pass over the rows with map-side
+    null label or a missing score (null or NaN) are left out. One pass over the rows with map-side
     combine; the result is persisted (memory, spilling to disk) because the
     quantile, offset and final steps all read it."""
     from pyspark import StorageLevel
     y = F.col(label)
-    return (df.where(y.isNotNull() & F.col(score).isNotNull())
+    return (df.where(y.isNotNull() & has_score(score))
               .groupBy(*by, score)
               .agg(F.count_if(y == 1).cast("long").alias("pos"),
                    F.count_if(y != 1).cast("long").alias("neg"))
@@ -188,19 +195,24 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score",
 
     Each row goes to bucket b = number of grid points <= score (binary search),
     so it is predicted positive exactly at thresholds t_i with i < b. The pass
-    ends in ``groupBy(group, bucket)`` (at most len(grid)+1 rows per group);
-    counts per threshold are reverse running sums over that small table."""
+    ends in ``groupBy(group, bucket)`` (at most len(grid)+1 rows per group, combined
+    before the exchange, so nothing is exchanged or kept by score); counts per
+    threshold are reverse running sums over that small table. ``with_auc`` adds the
+    exact ROC-AUC, which needs the distinct scores; these are then counted once and
+    serve both. Rows with a null label or a missing score (null or NaN) are left out."""
     grid = list(grid if grid is not None else arange(*GRID_05))
     if sorted(grid) != grid or len(set(grid)) != len(grid):
         raise ValueError("grid must be strictly increasing")
     d, g = with_all_group(df, by)
-    # One pass over the rows: distinct (group, score) counts, shared with the
-    # ROC-AUC below; the bucketing then runs over distinct scores only.
-    sc = _score_counts(d, label, score, g)
     splits = [float("-inf"), *grid, float("inf")]
-    b = bucketize(sc, score, splits, "_bucket")
-    counts = b.groupBy(*g, "_bucket").agg(F.sum("pos").cast("long").alias("pos"),
-                                          F.sum("neg").cast("long").alias("neg"))
+    if with_auc:
+        sc = _score_counts(d, label, score, g)
+        pos, neg = F.sum("pos"), F.sum("neg")
+    else:
+        sc = d.where(F.col(label).isNotNull() & has_score(score)).select(*g, label, score)
+        pos, neg = F.count_if(F.col(label) == 1), F.count_if(F.col(label) != 1)
+    counts = bucketize(sc, score, splits, "_bucket").groupBy(*g, "_bucket") \
+        .agg(pos.cast("long").alias("pos"), neg.cast("long").alias("neg"))
     # Grid points per group: the grid is a parameter (bounded), exploded from a
     # literal array next to each distinct group; no join with the rows.
     groups = counts.select(*g).distinct()

@@ -151,3 +151,20 @@ def test_roc_curve_matches_drop_intermediate_rule(spark):
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert a[0] == b[0] and a[1] == pytest.approx(b[1]) and a[2] == pytest.approx(b[2])
+
+
+def test_sweep_exchanges_no_scores_and_skips_missing_ones(spark):
+    nan = float("nan")
+    rows = [(i % 2, i / 100.0) for i in range(100)] + [(1, nan), (0, nan), (1, None), (None, 0.5)]
+    d = spark.createDataFrame(rows, "label int, score double")
+    grid = [0.2, 0.5, 0.8]
+    sweep = M.threshold_sweep(d, "label", "score", grid, with_auc=False)
+    shuffles = [x for x in sweep._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert shuffles and not any("score" in x for x in shuffles)
+    with_auc = {r["threshold"]: r for r in M.threshold_sweep(d, "label", "score", grid).collect()}
+    for r in sweep.collect():
+        one = M.threshold_metrics(d, "label", "score", r["threshold"]).first()
+        for c in ("tn", "fp", "fn", "tp", "recall"):
+            assert r[c] == one[c] == with_auc[r["threshold"]][c]
+        assert r["tn"] + r["fp"] + r["fn"] + r["tp"] == 100
+    assert M.roc_auc(d, "label", "score").first()[0] == M.roc_auc(d.where("score < 2"), "label", "score").first()[0]
