@@ -20,7 +20,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC,
                                        LogisticRegression, RandomForestClassifier)
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
@@ -69,15 +69,16 @@ def _pipeline(stats, cols, estimator) -> Pipeline:
 
 
 def fit_logistic(df: DataFrame, cols: Sequence[str], label: str = "label", C: float = 1.0,
-                 balanced: bool = True, max_iter: int = 3000, tol: float = 1e-9) -> PipelineModel:
+                 balanced: bool = True, max_iter: int = 3000, tol: float = 1e-9,
+                 regParam: float | None = None) -> PipelineModel:
     """L2 logistic regression on standardised features with the objective
     C * sum(w_i * loss_i) + |beta|^2 / 2, i.e. Spark's regParam = 1 / (C * sum w)
-    (the intercept is not penalised)."""
+    (the intercept is not penalised). ``regParam``, where given, takes the place of C."""
     d = M.with_class_weight(df, label, "_w") if balanced else df.withColumn("_w", F.lit(1.0))
     stats = standard_stats(d, cols)
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w",
-                            regParam=1.0 / (C * _weight_sum(d, "_w")), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, tol=tol)
+                            regParam=1.0 / (C * _weight_sum(d, "_w")) if regParam is None else regParam,
+                            elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
     return _pipeline(stats, cols, lr).fit(d)
 
 
@@ -190,6 +191,21 @@ def positive_score(model: PipelineModel, df: DataFrame, out: str = "score") -> D
     return res.select(*[F.col(q(c)) for c in own], s.alias(out))
 
 
+def decision_cut(model) -> float:
+    """Where a model's ``positive_score`` turns positive: 0.5 for a probability, 0 for
+    the margin of a model without probabilities."""
+    stage = model.stages[-1] if isinstance(model, PipelineModel) else model
+    return 0.5 if hasattr(stage, "getProbabilityCol") or not isinstance(model, PipelineModel) else 0.0
+
+
+def decided(model, df: DataFrame, score: str = "score", out: str = "prediction") -> DataFrame:
+    """``df`` with the model's class-1 score and its 0/1 decision at the model's own cut;
+    no decision where the score is missing. A model is a pipeline or any object whose
+    call adds ``score`` as a class-1 probability (``NeighbourModel``)."""
+    d = positive_score(model, df, score) if isinstance(model, PipelineModel) else model(df, score)
+    return d.withColumn(out, F.when(M.has_score(score), (F.col(score) >= decision_cut(model)).cast("int")))
+
+
 def coefficients(model: PipelineModel, cols: Sequence[str]) -> list[tuple[str, float]]:
     lr = model.stages[-1]
     return [("intercept", float(lr.intercept))] + \
@@ -290,66 +306,105 @@ def standardised_moments(model: PipelineModel) -> dict[str, tuple[float, float]]
 
 
 # J8 ------------------------------------------------------------------------
+def _held_out(df: DataFrame, fit_fn, label: str, fold_col: str, key: str | None, folds: int,
+              parallelism: int) -> DataFrame:
+    """Every row scored and decided by the model of the folds it is not in:
+    (fold, key, label, score, prediction). ``fit_fn`` sees the other folds alone, so its
+    scaler, class weights and penalty are those of a fold's own training rows."""
+    def one(k):
+        model = fit_fn(df.where(F.col(fold_col) != k))
+        s = decided(model, df.where(F.col(fold_col) == k))
+        return s.select(F.lit(k).alias(fold_col), *([key] if key else []), label, "score", "prediction")
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        parts = list(pool.map(one, range(folds)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def cross_validate(df: DataFrame, fitters: dict, label: str = "label",
                    fold_col: str = "fold", key: str = "case_key",
-                   threshold: float = 0.5, parallelism: int = 4, folds: int = 5) -> DataFrame:
+                   threshold: float | None = None, parallelism: int = 4, folds: int = 5) -> DataFrame:
     """Fit every (model, fold) from a driver thread pool, score the held-out
     fold, and compute metrics + ROC-AUC grouped by (model, fold) over the
-    long scored table. Returns one row per (model, fold)."""
-    def one(args):
-        name, k = args
-        model = fitters[name](df.where(F.col(fold_col) != k))
-        s = positive_score(model, df.where(F.col(fold_col) == k), "score")
-        return s.select(F.lit(name).alias("model"), F.lit(k).alias(fold_col), key, label, "score")
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        scored = list(pool.map(one, [(n, k) for n in fitters for k in range(folds)]))
-    long = scored[0]
-    for s in scored[1:]:
-        long = long.unionByName(s)
-    m = M.threshold_metrics(long, label, "score", threshold, by=["model", fold_col])
+    long scored table. Returns one row per (model, fold). A row is positive at its
+    model's own cut (0.5, or 0 for margins) or from ``threshold`` on where one is given.
+    A fold without rows has no row."""
+    long = None
+    for name, fit_fn in fitters.items():
+        s = _held_out(df, fit_fn, label, fold_col, key, folds, parallelism).withColumn("model", F.lit(name))
+        long = s if long is None else long.unionByName(s)
+    if threshold is None:
+        m = M.classification_metrics(long, label, "prediction", by=["model", fold_col])
+    else:
+        m = M.threshold_metrics(long, label, "score", threshold, by=["model", fold_col])
     auc = M.roc_auc(long, label, "score", by=["model", fold_col])
     return m.join(auc, ["model", fold_col])
 
 
+# J11 -----------------------------------------------------------------------
+def evaluate_models(train: DataFrame, test: DataFrame, fitters: dict, label: str = "label",
+                    key: str = "case_key") -> DataFrame:
+    """One row per model: fitted on ``train``, decided on ``test`` at its own cut,
+    confusion counts, metrics and exact ROC-AUC from one long scored table."""
+    long = None
+    for name, fit_fn in fitters.items():
+        s = decided(fit_fn(train), test).select(F.lit(name).alias("model"), key, label, "score", "prediction")
+        long = s if long is None else long.unionByName(s)
+    m = M.classification_metrics(long, label, "prediction", by=["model"])
+    return m.join(M.roc_auc(long, label, "score", by=["model"]), "model")
+
+
 # J9 ------------------------------------------------------------------------
+#: Families that ``grid_search`` knows and their fits.
+FAMILIES = {"logistic": fit_logistic, "forest": fit_forest, "tree": fit_tree, "svm": fit_svm}
+
+
 def grid_search(df: DataFrame, cols: Sequence[str], label: str, estimator: str,
                 grid: Sequence[dict], fold_col: str = "fold", parallelism: int = 4,
-                folds: int = 5):
-    """Spark's CrossValidator over a parameter grid with our fold column and
-    exact ROC-AUC (numBins=0); returns (best PipelineModel, per-setting
-    metrics DataFrame). Ties → first setting."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    d = M.with_class_weight(df, label, "_w")
-    stats = standard_stats(d, cols)
-    if estimator == "logistic":
-        est = LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w",
-                                 elasticNetParam=0.0, standardization=False, maxIter=1000)
-    elif estimator == "forest":
-        est = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="_w", seed=42)
-    elif estimator == "tree":
-        est = DecisionTreeClassifier(featuresCol="features", labelCol=label, weightCol="_w", seed=42)
-    else:
+                folds: int = 5, balanced: bool = False):
+    """Mean exact ROC-AUC of every setting over the folds, then a refit of the best one
+    on all rows: (best PipelineModel, table of setting, params, roc_auc). Ties go to the
+    first setting. A setting holds arguments of the family's fit; ``regParam`` of the
+    logistic family stands for the penalty itself, in place of C.
+
+    Scaler, class weights and penalty are fitted inside each fold. A setting's fold
+    models are dropped before the next setting, so the driver never holds more than
+    ``folds`` models; a fold whose held-out rows have one class is left out of the mean."""
+    if estimator not in FAMILIES:
         raise ValueError(estimator)
-    pipe = _pipeline(stats, cols, est)
-    builder = ParamGridBuilder()
-    maps = []
-    for setting in grid:
-        pm = {}
-        for k, v in setting.items():
-            pm[est.getParam(k)] = v
-        maps.append(pm)
-    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
-                                       metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps or builder.build(), evaluator=ev,
-                        foldCol=fold_col, numFolds=folds, parallelism=parallelism, seed=42)
-    cvm = cv.fit(d)
+
+    def fit(setting):
+        return lambda d: FAMILIES[estimator](d, cols, label, balanced=balanced, **setting)
+
+    rows = []
+    for i, setting in enumerate(grid):
+        held = _held_out(df, fit(setting), label, fold_col, None, folds, parallelism)
+        auc = M.roc_auc(held, label, "score", by=[fold_col]).agg(F.avg("roc_auc")).first()[0]
+        rows.append((i, str(sorted(setting.items())), auc))
     spark = df.sparkSession
-    rows = [(i, str(sorted((p.name, v) for p, v in m.items())), float(a))
-            for i, (m, a) in enumerate(zip(maps, cvm.avgMetrics))]
     table = spark.createDataFrame(rows, "setting int, params string, roc_auc double")
-    return cvm.bestModel, table
+    scored = [r for r in rows if r[2] is not None]
+    best = max(scored, key=lambda r: (r[2], -r[0]))[0] if scored else 0
+    return fit(grid[best])(df), table
+
+
+def tune_families(train: DataFrame, test: DataFrame, cols: Sequence[str], grids: dict,
+                  label: str = "label", fold_col: str = "fold", key: str = "case_key",
+                  parallelism: int = 4, folds: int = 5):
+    """``grid_search`` of every family in ``grids`` (family -> settings) on ``train``, then
+    one test row per family with its refitted best model: (models by family, metrics with
+    the chosen params and their cross-validated ROC-AUC as ``cv_roc_auc``)."""
+    models, chosen = {}, []
+    for family, grid in grids.items():
+        models[family], table = grid_search(train, cols, label, family, grid, fold_col, parallelism, folds)
+        best = table.orderBy(F.col("roc_auc").desc_nulls_last(), "setting").first()
+        chosen.append((family, best["params"], best["roc_auc"]))
+    m = evaluate_models(train, test, {f: (lambda _, f=f: models[f]) for f in models}, label, key)
+    spark = train.sparkSession
+    return models, m.join(F.broadcast(spark.createDataFrame(chosen, "model string, params string, cv_roc_auc double")), "model")
 
 
 # J4 ------------------------------------------------------------------------
@@ -373,6 +428,7 @@ def _block_topk(k: int):
         Q = np.stack(q["qv"].to_numpy()).astype(np.float64)
         T = np.stack(t["tv"].to_numpy()).astype(np.float64)
         tid = t["tid"].to_numpy()
+        tie = np.unique(tid, return_inverse=True)[1]  # ids of any type, as ranks
         tl = t["tl"].to_numpy()
         qn = (Q * Q).sum(1)
         tn = (T * T).sum(1)
@@ -387,7 +443,7 @@ def _block_topk(k: int):
                 cand = np.nonzero(approx[i] <= kth[i] + tol[i])[0]
                 diff = T[cand] - Qc[i]
                 exact = np.cumsum(diff * diff, axis=1)[:, -1]
-                order = np.lexsort((tid[cand], exact))[:kk]
+                order = np.lexsort((tie[cand], exact))[:kk]
                 c = cand[order]
                 out_q.extend([q["qid"].iloc[s0 + i]] * len(c))
                 out_d.extend(exact[order].tolist())
@@ -397,38 +453,78 @@ def _block_topk(k: int):
     return run
 
 
-def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "id",
+def nearest_rows(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "id",
                  vec_col: str = "vec", label: str = "label", block_rows: int = 4096
                  ) -> DataFrame:
-    """Exact k-nearest-neighbour vote (squared Euclidean; distance ties →
-    smaller train id; vote ties → smaller class; probability = votes / k).
+    """(qid, d, tid, tl): the k nearest training rows of every test row (squared
+    Euclidean; distance ties → smaller train id). Ids may be of any type that orders.
+    Rows whose vector is null or holds a null or a NaN are nobody's neighbour and have none.
 
     Exact kNN is |test| x |train| distance work. Both sides are hashed into
     blocks of about ``block_rows`` rows; every (test block, train block) pair
     is one cogroup whose size is bounded by 2 x block_rows, solved with NumPy
     (one matrix product per chunk, exact re-rank of the candidates). Each
-    pair emits only k candidates per test row — no all-pairs table — and a
-    final top-k per test row merges the train blocks."""
-    n_tr, n_te = train.count(), test.count()
-    nb_tr = max(1, math.ceil(n_tr / block_rows))
-    nb_te = max(1, math.ceil(n_te / block_rows))
-    tr = train.select(F.col(id_col).cast("long").alias("tid"),
-                      F.transform(vec_col, lambda x: x.cast("double")).alias("tv"),
-                      F.col(label).cast("int").alias("tl"))
-    te = test.select(F.col(id_col).cast("long").alias("qid"),
-                     F.transform(vec_col, lambda x: x.cast("double")).alias("qv"))
-    tr = tr.withColumn("_rb", F.pmod(F.xxhash64("tid"), F.lit(nb_tr))) \
-           .withColumn("_tb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb_te - 1).cast("long"))))
-    te = te.withColumn("_tb", F.pmod(F.xxhash64("qid"), F.lit(nb_te))) \
-           .withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb_tr - 1).cast("long"))))
+    pair emits only k candidates per test row — no all-pairs table — and a rank
+    limit per test row, applied before and after the exchange, merges the blocks."""
+    nb_tr = max(1, math.ceil(train.count() / block_rows))
+    nb_te = max(1, math.ceil(test.count() / block_rows))
+
+    def side(df, prefix, *more):
+        vec = F.transform(vec_col, lambda x: x.cast("double"))
+        ok = F.col(vec_col).isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x))
+        return df.where(ok).select(F.col(id_col).alias(prefix + "id"), vec.alias(prefix + "v"), *more)
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    tr = side(train, "t", F.col(label).cast("int").alias("tl"))
+    te = side(test, "q")
+    tr = tr.withColumn("_rb", F.pmod(F.xxhash64("tid"), F.lit(nb_tr))).withColumn("_tb", every(nb_te))
+    te = te.withColumn("_tb", F.pmod(F.xxhash64("qid"), F.lit(nb_te))).withColumn("_rb", every(nb_tr))
+    schema = (f"qid {te.schema['qid'].dataType.simpleString()}, d double, "
+              f"tid {tr.schema['tid'].dataType.simpleString()}, tl int")
     cand = (te.groupBy("_tb", "_rb").cogroup(tr.groupBy("_tb", "_rb"))
-              .applyInPandas(_block_topk(k), "qid long, d double, tid long, tl int"))
-    top = cand.groupBy("qid").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("d", "tid", "tl"))), 1, k).alias("nn"))
-    votes = top.select("qid", F.explode("nn").alias("e")).groupBy("qid", F.col("e.tl").alias("cls")) \
-               .agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("qid").agg(F.max_by(F.struct("votes", (-F.col("cls")).alias("neg")),
-                                             F.struct("votes", (-F.col("cls")).alias("neg")))
-                                    .alias("b"))
+              .applyInPandas(_block_topk(k), schema))
+    w = Window.partitionBy("qid").orderBy("d", "tid")
+    return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "id",
+                 vec_col: str = "vec", label: str = "label", block_rows: int = 4096
+                 ) -> DataFrame:
+    """Exact k-nearest-neighbour vote over ``nearest_rows`` (vote ties → smaller class;
+    probability = the winner's votes / k)."""
+    top = nearest_rows(train, test, k, id_col, vec_col, label, block_rows)
+    votes = top.groupBy("qid", F.col("tl").alias("cls")).agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("qid").agg(F.max(F.struct("votes", (-F.col("cls")).alias("neg"))).alias("b"))
     return best.select(F.col("qid").alias(id_col), (-F.col("b.neg")).alias("predicted"),
                        (F.col("b.votes") / F.lit(float(k))).alias("probability"))
+
+
+class NeighbourModel:
+    """k nearest neighbours as a fitted model: training rows standardised by their own
+    mean and deviation. Called on rows, it adds the share of class 1 among a row's
+    nearest training rows, null for rows with a missing feature."""
+
+    def __init__(self, train: DataFrame, cols: Sequence[str], label: str = "label",
+                 key: str = "case_key", k: int = 5):
+        self.stats = standard_stats(train, cols)
+        self.label, self.key, self.k = label, key, k
+        self.train = self._vectors(train).select(key, "_vec", label)
+
+    def _vectors(self, df: DataFrame) -> DataFrame:
+        z = [((F.col(q(c)) - m) / s).cast("double") for c, (m, s) in self.stats.items()]
+        return df.withColumn("_vec", F.array(*z))
+
+    def __call__(self, df: DataFrame, out: str = "score") -> DataFrame:
+        rows = self._vectors(df).select(self.key, "_vec")
+        near = nearest_rows(self.train, rows, self.k, self.key, "_vec", self.label)
+        share = near.groupBy(F.col("qid").alias("_near_key")).agg(F.avg((F.col("tl") == 1).cast("double")).alias("_share"))
+        d = df.drop(out)
+        return d.join(share, d[self.key] == F.col("_near_key"), "left") \
+                .drop("_near_key").withColumnRenamed("_share", out)
+
+
+def fit_neighbours(df: DataFrame, cols: Sequence[str], label: str = "label",
+                   key: str = "case_key", k: int = 5) -> NeighbourModel:
+    return NeighbourModel(df, cols, label, key, k)

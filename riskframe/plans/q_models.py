@@ -93,45 +93,45 @@ def forest_importance_q(spark, sf_dir):
     return ML.feature_importance(spark, model, FEATURES)
 
 
+def _five_models():
+    """The compared models with the fits' defaults."""
+    return {
+        "logistic_regression": lambda d: ML.fit_logistic(d, FEATURES),
+        "k_nearest_neighbours": lambda d: ML.fit_neighbours(d, FEATURES),
+        "support_vector_machine": lambda d: ML.fit_svm(d, FEATURES),
+        "decision_tree": lambda d: ML.fit_tree(d, FEATURES),
+        "random_forest": lambda d: ML.fit_forest(d, FEATURES),
+    }
+
+
 @register("evaluate_models")
 def evaluate_models_q(spark, sf_dir):
-    """J11+G1: fit logistic, tree and forest on the training split, score the
-    test split into one long table, metrics and ROC-AUC per model, ranked
-    recall-first."""
+    """J11+J4+G1: five models with their defaults (logistic, 5 neighbours, RBF SVM, tree,
+    300-tree forest) fitted on the training split, the test split in one long scored
+    table, metrics and ROC-AUC per model, ranked recall-first."""
     s = _split(spark, sf_dir)
-    train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
-    fitted = {
-        "logistic_regression": ML.fit_logistic(train, FEATURES),
-        "decision_tree": ML.fit_tree(train, FEATURES),
-        "random_forest": ML.fit_forest(train, FEATURES, n_trees=50),
-    }
-    long = None
-    for name, model in fitted.items():
-        sc = ML.positive_score(model, test, "score").select(
-            F.lit(name).alias("model"), "case_key", "label", "score")
-        long = sc if long is None else long.unionByName(sc)
-    m = M.threshold_metrics(long, "label", "score", 0.5, by=["model"])
-    m = m.join(M.roc_auc(long, "label", "score", by=["model"]), "model")
+    m = ML.evaluate_models(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), _five_models())
     return SEL.rank_models(m, SEL.ORDER_RECALL_FN)
 
 
 @register("cross_validate")
 def cross_validate_q(spark, sf_dir):
-    """J8+E17: 5 shuffled stratified folds, logistic and tree per fold,
+    """J8+E17: 5 shuffled stratified folds, logistic, neighbours and tree per fold,
     metrics per (model, fold), then mean / population std per model."""
-    lab = planted(spark, sf_dir)
-    folds = SM.stratified_kfold(lab, "label", 5, "case_key", 42)
-    per = ML.cross_validate(folds, {"logistic_regression": lambda d: ML.fit_logistic(d, FEATURES),
-                                    "decision_tree": lambda d: ML.fit_tree(d, FEATURES)})
+    from ..session import cut_lineage
+    folds = cut_lineage(SM.stratified_kfold(planted(spark, sf_dir), "label", 5, "case_key", 42))
+    names = ("logistic_regression", "k_nearest_neighbours", "decision_tree")
+    per = ML.cross_validate(folds, {n: f for n, f in _five_models().items() if n in names})
     return M.cv_summary(per, ["accuracy", "precision", "recall", "f1", "roc_auc"], by=["model"])
 
 
 @register("grid_search")
 def grid_search_q(spark, sf_dir):
-    """Logistic regression regParam grid with 5 ordered stratified folds,
-    exact ROC-AUC per setting (CrossValidator with our fold column)."""
+    """Logistic regression regParam grid with 5 ordered stratified folds, scaler
+    fitted per fold, exact ROC-AUC per setting."""
+    from ..session import cut_lineage
     lab = planted(spark, sf_dir).withColumn("key", F.xxhash64("case_key"))
-    folds = SM.kfold_ordered(lab, "label", 5, "key")
+    folds = cut_lineage(SM.kfold_ordered(lab, "label", 5, "key"))
     grid = [{"regParam": r} for r in (1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0)]
     _, table_ = ML.grid_search(folds, FEATURES, "label", "logistic", grid)
     return table_
