@@ -4,12 +4,15 @@ per-document pre-token frequencies, and summed; no ids are kept.
 The frequencies travel by block, a slice of some MB of documents: a block holds
 its distinct pre-tokens once and, per document, (pre-token number, frequency)
 pairs, so the join moves a pre-token once per block and not once per document. It is
-one exchange: dealt and sorted by pre-token, each is counted where its rows lie next
-to each other, and the counts go back to their blocks packed.
+one exchange: a block's pre-tokens are dealt by hash into buckets and travel packed, a
+row per block and bucket; a bucket counts each of its pre-tokens once, and the counts
+go back to their blocks packed. Buckets follow the number of pre-tokens, so what a task
+holds of one bucket at a time does not grow with the corpus.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +22,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_batches
+from .common import materialise, spread, text_batches
 from .tokens import STRETCH, PreTokens, load, piece_counts, pre_tokens
 
-#: Rows that a task packs at a time.
+#: Counts that a task packs at a time.
 PACKED = 1_000_000
+#: Pre-tokens, counted by block, for each bucket.
+PER_BUCKET = 1_000_000
 BLOCK = "doc_ids array<long>, n_bytes array<long>, ends array<long>, pairs binary, pre_tokens array<string>"
 
 
@@ -58,6 +63,27 @@ def frequencies(texts: list[bytes], pre: PreTokens) -> tuple[np.ndarray, np.ndar
     return ends, pair % max(1, len(numbers)), freq, list(numbers)
 
 
+def dealt(names: list[str], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, how many, packed) of a block's pre-tokens, the position in names being a pre-token's
+    number: the numbers, the lengths and the UTF-8 bytes of a bucket's pre-tokens."""
+    raw = [x.encode() for x in names]
+    bucket = np.fromiter((zlib.crc32(x) % buckets for x in raw), np.int64, len(raw))
+    size = np.fromiter(map(len, raw), "<u4", len(raw))
+    order = np.argsort(bucket, kind="stable")
+    own, start = np.unique(bucket[order], return_index=True)
+    packer = zstandard.ZstdCompressor(level=1)
+    for b, part in zip(own.tolist(), np.split(order, start[1:]), strict=True):
+        yield b, len(part), packer.compress(part.astype("<u4").tobytes() + size[part].tobytes() + b"".join([raw[i] for i in part.tolist()]))
+
+
+def undealt(n: int, data: bytes) -> tuple[np.ndarray, list[str]]:
+    """(numbers, pre-tokens) of n pre-tokens that ``dealt`` packed."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4 * n).astype(np.int64)) + 8 * n
+    starts = [8 * n, *ends[:-1].tolist()]
+    return np.frombuffer(raw, "<u4", n), [raw[a:b].decode() for a, b in zip(starts, ends.tolist(), strict=True)]
+
+
 def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """(of_block, counts) of (block, number, count) arrays: a row per block with its
     numbers, sorted, and their counts."""
@@ -86,24 +112,32 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
                                              ["doc_ids", "n_bytes", "ends", "pairs", "pre_tokens"])
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, names in zip(batch.column("block").to_pylist(), batch.column("pre_tokens"), strict=True):
+                parts = list(dealt(names.as_py(), buckets))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b for b, _, _ in parts], pa.int64()), pa.array([block] * len(parts), pa.int64()),
+                     pa.array([n for _, n, _ in parts], pa.int32()), pa.array([d for _, _, d in parts], pa.binary())],
+                    ["bucket", "block", "size", "data"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by pre-token: (block, number, n) of each, packed by block."""
+        """Rows sorted by bucket: (block, number, n) of each pre-token, packed by block."""
         tokenizer = load(tokenizer_path)
-        last, last_n, held, rows = None, 0, [], 0
+        at, known, held, rows = None, {}, [], 0
         for batch in batches:
-            names = batch.column("pre_token").to_pylist()
-            distinct = list(dict.fromkeys(names))
-            known = {last: last_n}
-            new = [x for x in distinct if x not in known]
-            known.update(zip(new, piece_counts(tokenizer, new), strict=True))
-            if names:
-                last, last_n = names[-1], known[names[-1]]
-            n = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
-            held.append((batch.column("block").to_numpy(), batch.column("number").to_numpy(), n))
-            rows += len(n)
-            if rows >= PACKED:
-                yield packed(held)
-                held, rows = [], 0
+            for bucket, block, size, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "size", "data")), strict=True):
+                if bucket != at:
+                    at, known = bucket, {}
+                number, names = undealt(size, data)
+                new = [x for x in names if x not in known]
+                known.update(zip(new, piece_counts(tokenizer, new), strict=True))
+                n = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+                held.append((np.full(len(n), block), number, n))
+                rows += len(n)
+                if rows >= PACKED:
+                    yield packed(held)
+                    held, rows = [], 0
         if held:
             yield packed(held)
 
@@ -125,9 +159,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = materialise(src.mapInArrow(blocks, BLOCK).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    names = held.select("block", F.posexplode("pre_tokens").alias("number", "pre_token"))
-    # every row of a pre-token in one task, next to each other: it is counted once
-    own = (names.repartition("pre_token").sortWithinPartitions("pre_token")
+    many = held.agg(F.sum(F.size("pre_tokens").cast("long"))).first()[0] or 0
+    buckets = spread(many, PER_BUCKET)
+    names = held.select("block", "pre_tokens").mapInArrow(deal, "bucket long, block long, size int, data binary")
+    # all rows of a bucket in one task, next to each other: a pre-token is counted once
+    own = (names.repartition(buckets, "bucket").sortWithinPartitions("bucket")
            .mapInArrow(count, "of_block long, counts binary"))
     left = held.select("block", "doc_ids", "n_bytes", "ends", "pairs")
     sums = (left.groupBy("block").cogroup(own.groupBy("of_block"))
