@@ -100,17 +100,20 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of
     docs (doc_id, text). Null and empty texts have 0 bytes and tokens; repeated
     rows are counted each."""
+    def block_of(pre: PreTokens, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        """One row for a slice; what it took to make it is freed before the next slice."""
+        ends, number, freq, names = frequencies(texts, pre)
+        step = np.diff(number, prepend=0).astype("<i4")
+        pairs = zstandard.ZstdCompressor(level=1).compress(step.tobytes() + freq.astype("<u4").tobytes())
+        cols = [[ids], [[len(t) for t in texts]], [ends.tolist()], [pairs], [names]]
+        kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                                          ["doc_ids", "n_bytes", "ends", "pairs", "pre_tokens"])
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = pre_tokens(tokenizer_path)
-        packer = zstandard.ZstdCompressor(level=1)
         for (ids,), texts in text_batches(batches, "doc_id"):
-            ends, number, freq, names = frequencies(texts, pre)
-            step = np.diff(number, prepend=0).astype("<i8")
-            pairs = packer.compress(step.astype("<i4").tobytes() + freq.astype("<u4").tobytes())
-            cols = [[ids], [[len(t) for t in texts]], [ends.tolist()], [pairs], [names]]
-            kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                             ["doc_ids", "n_bytes", "ends", "pairs", "pre_tokens"])
+            yield block_of(pre, ids, texts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
