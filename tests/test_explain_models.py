@@ -155,3 +155,32 @@ def test_explain_report_tables(spark):
     assert rep["global_importance"].first()["feature"] == "a"
     assert rep["local_factors"].count() == 6
     assert rep["local_prediction"].count() == 3
+
+
+def test_nearest_rows_search_few_cells_and_lose_nothing(spark):
+    rnd = random.Random(9)
+
+    def vec():
+        return [float(rnd.randint(0, 4)), rnd.randint(0, 3) / 7, rnd.gauss(0, 1), rnd.gauss(0, 1)]
+    tr = [(f"t{i:05d}", vec(), i % 3) for i in range(1500)]
+    tr += [(f"s{i:05d}", [1.0, 0.0, 0.25, 0.25], 1) for i in range(400)]  # one vector many rows share
+    te = [(f"q{i:04d}", vec()) for i in range(150)] + [("far", [90.0, 0.0, 0.0, -50.0]), ("at", [1.0, 0.0, 0.25, 0.25])]
+    train = spark.createDataFrame(tr, "id string, vec array<double>, label int")
+    test = spark.createDataFrame(te, "id string, vec array<double>")
+    kept = []
+    near = ML.nearest_rows(train, test, 5, "id", "vec", "label", block_rows=16, cell_rows=16, kept=kept)
+    got = {}
+    for r in near.orderBy("qid", "d", "tid").collect():
+        got.setdefault(r["qid"], []).append((r["d"], r["tid"]))
+    for qid, q in te:
+        want = []
+        for tid, v, _ in tr:
+            d = 0.0
+            for a, b in zip(v, q):
+                d += (a - b) * (a - b)
+            want.append((d, tid))
+        assert got[qid] == sorted(want)[:5]
+    placed, home = kept
+    cells = placed.select("cell").distinct().count()
+    assert cells > 40 and placed.where("tid like 's%'").count() == 5
+    assert home.agg(F.avg(F.size("cells"))).first()[0] < cells / 2  # all pairs of blocks would be every cell
