@@ -23,11 +23,12 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.columns import col
+from ..session import scratch_path
 from .explain import BAR_FLOOR, TOP_N
 
 MAX_BACKGROUND = 1000
@@ -65,26 +66,44 @@ def leaf_boxes(pipeline) -> tuple[list[list[tuple[dict[int, tuple[float, float]]
     if not hasattr(last, "featureImportances"):
         raise ValueError("closed-form factors are of trees and forests; use permutation_shap for other models")
     trees = [last] if isinstance(last, DecisionTreeClassificationModel) else last.trees
-    out = []
-    for tree in trees:
-        leaves, todo = [], [(tree._call_java("rootNode"), {})]
-        while todo:
-            node, box = todo.pop()
-            if not node.subtreeDepth():
-                stats = list(node.impurityStats().stats())
-                leaves.append((box, stats[1] / sum(stats) if sum(stats) else 0.0))
-                continue
-            split = node.split()  # standardised features are continuous: every split has a threshold
-            f, cut = split.featureIndex(), split.threshold()
-            low, high = box.get(f, (-np.inf, np.inf))
-            todo.append((node.leftChild(), {**box, f: (low, min(high, cut))}))
-            todo.append((node.rightChild(), {**box, f: (max(low, cut), high)}))
-        out.append(leaves)
+    out = [_leaves(nodes) for nodes in _tree_nodes(last, len(trees))]
     moments = standardised_moments(pipeline)
     names = standardised_columns(pipeline)
     return out, np.array([moments[n][0] for n in names]), np.array([moments[n][1] for n in names])
 
 
+def _tree_nodes(model, n_trees: int) -> list[dict]:
+    """Per tree {node id: (class counts, left, right, feature, cut)}, as the model writes
+    itself: one job, in place of calls to the driver's JVM for every node."""
+    spark = model.sparkSession if hasattr(model, "sparkSession") else SparkSession.getActiveSession()
+    path = scratch_path(spark, "trees")
+    model.write().save(path)
+    d = spark.read.parquet(f"{path}/data")
+    node = "nodeData" if "nodeData" in d.columns else None
+    at = (lambda c: F.col(f"{node}.{c}")) if node else F.col
+    tree = F.col("treeID") if "treeID" in d.columns else F.lit(0)
+    rows = d.select(tree.cast("int").alias("tree"), at("id").alias("id"), at("impurityStats").alias("stats"), at("leftChild").alias("left"), at("rightChild").alias("right"),
+                    at("split.featureIndex").alias("feature"), F.get(at("split.leftCategoriesOrThreshold"), F.lit(0)).alias("cut")).collect()
+    out: list[dict] = [{} for _ in range(n_trees)]
+    for r in rows:
+        out[r["tree"]][r["id"]] = (r["stats"], r["left"], r["right"], r["feature"], r["cut"])
+    return out
+
+
+def _leaves(nodes: dict) -> list[tuple[dict[int, tuple[float, float]], float]]:
+    leaves, todo = [], [(0, {})]  # the root's id is 0
+    while todo:
+        at, box = todo.pop()
+        stats, left, right, f, cut = nodes[at]
+        if left < 0:
+            leaves.append((box, stats[1] / sum(stats) if sum(stats) else 0.0))
+            continue
+        low, high = box.get(f, (-np.inf, np.inf))  # standardised features are continuous: every split has a threshold
+        todo.append((left, {**box, f: (low, min(high, cut))}))
+        todo.append((right, {**box, f: (max(low, cut), high)}))
+    return leaves
+
+
 def _signs(x: np.ndarray, box: dict[int, tuple[float, float]]) -> np.ndarray:
     """For every row a bit per tested feature: inside the leaf's interval."""
     code = np.zeros(len(x), np.int64)

@@ -97,3 +97,18 @@ def test_missing_rows_bounds_and_clashes(spark, data, forest):
         FA.background_rows(spark.range(1001).select(F.col("id").alias("a")), ["a"])
     with pytest.raises(ValueError):
         FA.leaf_boxes(ML.fit_logistic(data, FEATS))
+
+
+def test_tree_nodes_come_from_one_read(spark):
+    from riskframe.operators import factors as FA
+    from riskframe.operators import models as ML
+    d = spark.range(300).selectExpr("(id * 37) % 101 / 10.0 AS a", "(id * 53) % 97 / 10.0 AS b").selectExpr("*", "CAST(a + b > 9 AS INT) AS label")
+    for model in (ML.fit_forest(d, ["a", "b"], n_trees=3), ML.fit_tree(d, ["a", "b"])):
+        last = model.stages[-1]
+        trees = getattr(last, "trees", [last])
+        found, _, _ = FA.leaf_boxes(model)
+        assert [len(leaves) for leaves in found] == [(t.numNodes + 1) // 2 for t in trees]
+        assert len(FA._tree_nodes(last, len(trees))) == len(trees)
+    one = d.repartition(1)
+    from riskframe.session import spread
+    assert spread(one, 45_000).rdd.getNumPartitions() == 5 and sorted(map(tuple, spread(one).collect())) == sorted(map(tuple, one.collect()))
