@@ -285,7 +285,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = SIMIL
                                *[F.max(b).alias(b) for b in BITS]), "classes")
     tokens, powers = frequent_tokens(slices)
     frequent = spark.sparkContext.broadcast((tokens, percent, powers))
-    index = src.select("text").mapInArrow(partial(_index, words, frequent), "sig long, d1 long, rare long, single boolean, later boolean")
+    # read twice (shared keys, rows under them): written, as shingling the texts again costs more
+    index = materialise(src.select("text").mapInArrow(partial(_index, words, frequent), "sig long, d1 long, rare long, single boolean, later boolean"),
+                        "index", "zstd")
     shared = (index.groupBy("sig").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("sig"))
     met = index.join(shared, "sig").distinct()
     # where all rare tokens of a set are keys, those that no other set has as a key are its own
