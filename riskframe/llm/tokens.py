@@ -20,8 +20,9 @@ WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x2
 #: A run of white space with the run of other characters behind it, or the last white space.
 STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Marks at the end of a word, behind a digit or a letter of a-z or Latin-1; the
-#: apostrophe is left, as it can go with the letter behind it.
-END_MARKS = re.compile(rb"([0-9a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([!-&(-/:-@\[-`{-~]+)(?=[ \t-\r]|\Z)")
+#: apostrophe is left, as it can go with the letter behind it. A pattern that begins
+#: with the mark itself is sought much faster than one that begins with the letter.
+END_MARKS = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[0-9a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-&(-/:-@\[-`{-~]*(?=[ \t-\r]|\Z)", re.DOTALL)
 #: Words of small letters of a-z and Latin-1, which normalising leaves as they are.
 PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Stretches that a worker remembers, from task to task; the memory is emptied when
@@ -56,28 +57,29 @@ class WordIds:
 
     def words(self, text: bytes) -> list[bytes]:
         if not any(c in text for c in self.as_written):
-            text = END_MARKS.sub(rb"\1 \2", text.lower())
+            text = END_MARKS.sub(rb" \g<0>", text.lower())
         return text.split()
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; no special tokens are added."""
-        known, words = self.known, [self.words(t) for t in texts]
-        own: dict[bytes, bytes] = {}
-        for w in set().union(*words):
-            ids = known.get(w)
-            own[w] = ids if ids is not None else b""
-        new = [w for w in own if w not in known]
+        words = [self.words(t) for t in texts]
+        seen: set[bytes] = set().union(*words)
+        new = seen.difference(self.known)
+        if len(self.known) + len(new) > MEMORY:
+            self.known = {w: self.known[w] for w in seen.difference(new)}
+        known = self.known
         easy = [w for w in new if PLAIN.fullmatch(w)]
-        hard = set(new).difference(easy)
-        for tokenizer, some in ((self.plain, easy), (self.tokenizer, list(hard))):
+        for tokenizer, some in ((self.plain, easy), (self.tokenizer, list(new.difference(easy)))):
             for start in range(0, len(some), 4096):
                 part = some[start:start + 4096]
                 coded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                own.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, coded, strict=True))
-        if len(known) + len(new) > MEMORY:
+                known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, coded, strict=True))
+        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
+        for w in [w for w in new if len(w) > LONGEST]:
+            del known[w]
+        if len(known) > MEMORY:
             known.clear()
-        known.update((w, own[w]) for w in new[:MEMORY] if len(w) <= LONGEST)
-        return [b"".join(map(own.__getitem__, ws)) for ws in words]
+        return out
 
     def ids(self, text: bytes) -> bytes:
         return self.of([text])[0]

@@ -1,7 +1,9 @@
 """What a stage writes once, and what it leaves behind."""
 
 import corpus_pipeline as C
-from riskframe.llm import ngram_join
+import numpy as np
+import public_tokenizers as P
+from riskframe.llm import ngram_join, tokens
 
 
 def test_index_keys_are_made_once(spark, monkeypatch):
@@ -25,3 +27,14 @@ def test_pipeline_frees_shuffles_between_stages(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(C, "STAGES", [("one", stage), ("two", stage), ("last", lambda s, d, _: d)])
     assert C.run(spark, str(tmp_path)).count() == 2
     assert seen == ["true", "true"] and spark.conf.get(C.CLEANUP, None) == before
+
+
+def test_known_words_outlast_a_full_memory(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 6)
+    words = tokens.WordIds(P.path("word_bpe_49k.json"))
+    whole = lambda t: np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    for text in ("red green pink", "red blue grey, white", "red " + "x" * 100, "a b c d e f g h red!"):
+        assert words.of([text.encode()]) == [whole(text)]
+        if "blue" in text:  # the memory was full here: what this text needs stays
+            assert b"red" in words.known and b"green" not in words.known
+        assert len(words.known) <= 6 and all(len(w) <= tokens.LONGEST for w in words.known)
