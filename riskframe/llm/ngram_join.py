@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, rows_with_number, small, text_batches
+from .common import connected_components, materialise, rows_with_number, small, spread, text_batches
 
 WORDS, SIMILARITY = 4, 85
 #: Frequent tokens: at most this many (8 bytes each), the most frequent ones, each
@@ -33,10 +33,14 @@ WORDS, SIMILARITY = 4, 85
 FREQUENT, FREQUENT_FROM = 1_000_000, 4
 #: Prefix tokens per pair group; pivots of the first round with several.
 PER_GROUP, PIVOTS = 2, 8
+#: Keys grouped together in a task, about.
+KEYS = 250_000
 #: Bits of a set's parity, in whole 64-bit numbers.
 PARITY = 512
 BITS = [f"b{k}" for k in range(PARITY // 64)]
 _MIX = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Masks of the first bytes of eight; words up to this many bytes are hashed side by side.
+_FIRST, LONG = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64), 64
 
 
 def _stir(h: np.ndarray) -> np.ndarray:
@@ -45,32 +49,60 @@ def _stir(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Shingler(dict):
-    """Sorted distinct 64-bit n-gram tokens of a text; remembers word hashes."""
-
-    def __init__(self, words: int):
-        self.words = words
-
-    def __missing__(self, word: bytes) -> bytes:
-        h = xxhash.xxh3_64_digest(word)
-        if len(word) <= 64:
-            if len(self) > 1_000_000:
-                self.clear()
-            self[word] = h
-        return h
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        # bytes.lower() lower-cases A-Z alone and bytes.split() cuts at [\x20\x09-\x0D]
-        w = np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), np.uint64)
-        k = min(self.words, len(w))
-        if k == 0:
-            return w
-        h = np.full(len(w) - k + 1, k, np.uint64)
-        for j in range(k):
-            h += w[j:len(w) - k + 1 + j] * _MIX[j]
-        h = _stir(h)
-        h.sort()
-        return h[np.concatenate(([True], h[1:] != h[:-1]))]
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of each word of a text, cut at [\x20\x09-\x0D]: eight bytes
+    of all words at a time; words of more than LONG bytes are hashed one by one."""
+    data = text + bytes(8)
+    b = np.frombuffer(data, np.uint8)[:len(text)]
+    word = (b != 32) & (b - np.uint8(9) > 4)
+    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray((len(text) + 1,), "<u8", data, strides=(1,))
+    h = _stir((eight[start] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * _MIX[20])
+    rest, done = np.flatnonzero(size > 8), 8
+    while len(rest) and done < LONG:
+        more = eight[start[rest] + done] & _FIRST[np.minimum(size[rest] - done, 8)]
+        h[rest] = _stir(h[rest] * _MIX[21] + more)
+        done += 8
+        rest = rest[size[rest] > done]
+    for i in rest.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[start[i]:start[i] + size[i]])
+    return start, h
+
+
+def _chunks(texts: list[bytes], limit: int) -> Iterator[list[bytes]]:
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t)
+        if held >= limit:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def token_sets(words: int, texts: list[bytes], limit: int = 1 << 18) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit n-gram tokens of each text; words of about ``limit`` bytes
+    of texts are hashed together."""
+    for part in _chunks(texts, limit):
+        # bytes.lower() lower-cases A-Z alone
+        start, w = word_hashes(b"\n".join(part).lower())
+        cut = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in part])).tolist()
+        full = np.full(max(0, len(w) - words + 1), words, np.uint64)
+        for j in range(words):
+            full += w[j:len(full) + j] * _MIX[j]
+        full = _stir(full)
+        for lo, hi in zip(cut, cut[1:]):
+            k = hi - lo
+            if k >= words:
+                h = full[lo:hi - words + 1].copy()
+            elif k:
+                h = _stir(np.array([k], np.uint64) + (w[lo:hi] * _MIX[:k]).sum(dtype=np.uint64))
+            else:
+                h = w[:0]
+            h.sort()
+            yield h[np.concatenate(([True], h[1:] != h[:-1]))] if k else h
 
 
 def missing(n: int, percent: int) -> int:
@@ -125,9 +157,11 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int, powers: n
             stop = int(np.searchsorted(gain, need)) + 1
             order = np.argsort(group[:stop], kind="stable")
             t, g = often[:stop][order], group[:stop][order]
-            for lo, hi in zip(*_runs(g), strict=True):
-                a, b = np.triu_indices(hi - lo, 1)
-                keys.append(_stir(t[lo + a] * _MIX[10] + t[lo + b] * _MIX[11] + np.uint64(level)))
+            for apart in range(1, len(g)):  # all pairs of a group: neighbours, then those one further apart
+                pair = np.flatnonzero(g[apart:] == g[:-apart])
+                if not len(pair):
+                    break
+                keys.append(_stir(t[pair] * _MIX[10] + t[pair + apart] * _MIX[11] + np.uint64(level)))
             if level == own:
                 first = sum(map(len, keys))
     else:
@@ -139,11 +173,6 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
     return index_keys(tokens, frequent, percent)[0]
 
 
-def _runs(sorted_values: np.ndarray) -> tuple[list[int], list[int]]:
-    cut = np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1
-    return [0, *cut.tolist()], [*cut.tolist(), len(sorted_values)]
-
-
 def parity(tokens: np.ndarray) -> np.ndarray:
     """For each value of a token's last bits whether an odd number of tokens has it.
     Parities of two sets differ in no more places than there are tokens in one set
@@ -156,9 +185,8 @@ def _describe(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     """A row per slice: doc_id, size, 128-bit name and parity of each set, and the tokens
     that several documents of the slice hold, with their number. A token in more
     documents than there are slices cannot stay below two in all of them."""
-    shingle = Shingler(words)
     for (ids,), texts in text_batches(batches, "doc_id"):
-        sets = [shingle(t) for t in texts]
+        sets = list(token_sets(words, texts))
         names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         pairs = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
         token, count = np.unique(np.concatenate(list(dict(zip(names, sets, strict=True)).values())), return_counts=True)
@@ -169,37 +197,61 @@ def _describe(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                                          ["doc_id", "n", "d1", "d2", "token", "times", *BITS])
 
 
-def _index(words: int, frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, first half of the set's name, rare: number of rare tokens where all
-    are keys, else null; single: the key is one of these; later: of the next level)."""
-    shingle = Shingler(words)
+def _index(words: int, frequent, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index keys of a slice by bucket of the key, a row each: keys (sigs), first halves
+    of their sets' names (d1s), and marks: 4 * (1 + number of the set's rare tokens
+    where all are keys, else 0) + 2 * (the key is one of these) + (it is of the next
+    level). Eight-byte numbers side by side, as rows of their own take twice the space."""
     for _, texts in text_batches(batches):
-        sig, name, rare, firsts, done = [np.empty(0, np.uint64)], [], [], [], set()
-        for t in texts:
-            s = shingle(t)
+        sig, name, mark, done = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], set()
+        for s in token_sets(words, texts):
             d = xxhash.xxh3_128_digest(s.tobytes())
             if d not in done and len(s):
                 done.add(d)
                 keys, alone, first = index_keys(s, *frequent.value)
+                m = np.zeros(len(keys), np.int32)
+                if alone is not None:
+                    m += 4 * (alone + 1)
+                    m[:alone] += 2
+                m[first:] += 1
                 sig.append(keys)
-                name.append(np.frombuffer(d[:8], "<i8")[0])
-                rare.append(-1 if alone is None else alone)
-                firsts.append(first)
-        sizes = np.array([len(k) for k in sig[1:]], np.int64)
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        alone = np.array(rare, np.int64)[of]
-        place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        cols = [np.concatenate(sig).view(np.int64), np.array(name, np.int64)[of], pa.array(alone, mask=alone < 0), place < alone,
-                place >= np.array(firsts, np.int64)[of]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["sig", "d1", "rare", "single", "later"])
+                name.append(np.full(len(keys), np.frombuffer(d[:8], "<i8")[0]))
+                mark.append(m)
+        sigs = np.concatenate(sig)
+        bucket = (sigs % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        own, start = np.unique(bucket[order], return_index=True)
+        start = np.append(start, len(order))
+        cols = [pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((start * c.itemsize).astype(np.int32)), pa.py_buffer(c[order])])
+                for c in (sigs, np.concatenate(name), np.concatenate(mark))]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *cols], ["bucket", "sigs", "d1s", "marks"])
+
+
+def _met(bucket: pa.Table) -> pa.Table:
+    """Distinct rows (sig, d1, rare, single, later) of the keys that several sets have."""
+    sig, d1, mark = (np.frombuffer(b"".join(bucket.column(c).to_pylist()), kind)
+                     for c, kind in (("sigs", np.uint64), ("d1s", np.int64), ("marks", np.int32)))
+    order = np.argsort(sig)
+    sig, d1, mark = sig[order], d1[order], mark[order]
+    start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    several = np.minimum.reduceat(d1, start) != np.maximum.reduceat(d1, start)
+    held = np.repeat(several, np.diff(start, append=len(sig)))
+    sig, d1, mark = sig[held], d1[held], mark[held]
+    order = np.lexsort((mark, d1, sig))
+    sig, d1, mark = sig[order], d1[order], mark[order]
+    first = np.ones(len(sig), bool)
+    first[1:] = (sig[1:] != sig[:-1]) | (d1[1:] != d1[:-1]) | (mark[1:] != mark[:-1])
+    sig, d1, mark = sig[first], d1[first], mark[first]
+    rare = (mark >> 2).astype(np.int64) - 1
+    cols = [sig.view(np.int64), d1, pa.array(rare, mask=rare < 0), mark & 2 > 0, mark & 1 > 0]
+    return pa.table([pa.array(c) for c in cols], ["sig", "d1", "rare", "single", "later"])
 
 
 def _named(words: int, batches: Iterator[pa.RecordBatch], make, kind: str) -> Iterator[pa.RecordBatch]:
     """cid and make(tokens) of the rows whose set has the name that cid stands for."""
-    shingle = Shingler(words)
     for (cids, firsts, seconds), texts in text_batches(batches, "cid", "d1", "d2"):
-        out = [(c, make(s)) for c, a, b, t in zip(cids, firsts, seconds, texts, strict=True)
-               for s in (shingle(t),) if xxhash.xxh3_128_digest(s.tobytes()) == np.array([a, b], "<i8").tobytes()]
+        out = [(c, make(s)) for c, a, b, s in zip(cids, firsts, seconds, token_sets(words, texts), strict=True)
+               if xxhash.xxh3_128_digest(s.tobytes()) == np.array([a, b], "<i8").tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["cid", kind])
 
 
@@ -285,15 +337,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = SIMIL
                                *[F.max(b).alias(b) for b in BITS]), "classes")
     tokens, powers = frequent_tokens(slices)
     frequent = spark.sparkContext.broadcast((tokens, percent, powers))
-    # read twice (shared keys, rows under them): written, as shingling the texts again costs more
-    index = materialise(src.select("text").mapInArrow(partial(_index, words, frequent), "sig long, d1 long, rare long, single boolean, later boolean"),
-                        "index", "zstd")
-    shared = (index.groupBy("sig").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("sig"))
-    met = index.join(shared, "sig").distinct()
+    # a set has about as many keys as it may lack tokens; each bucket is grouped in one task's memory
+    held = classes.agg(F.sum("n")).first()[0] or 0
+    buckets = spread(held * (100 - percent) // 100, KEYS, 32)
+    index = (src.select("text").mapInArrow(partial(_index, words, frequent, buckets), "bucket int, sigs binary, d1s binary, marks binary")
+             .groupBy("bucket").applyInArrow(_met, "sig long, d1 long, rare long, single boolean, later boolean"))
+    met = materialise(index, "index")
     # where all rare tokens of a set are keys, those that no other set has as a key are its own
     own = met.groupBy("d1").agg((F.max("rare") - F.count_if("single")).alias("own"))
-    known = classes.join(own, "d1").select("d1", "cid", "n", (F.col("n") - F.col("own")).alias("most"), *BITS)
-    met = materialise(met.join(known, "d1").select("sig", "later", "cid", "n", "most", *BITS), "met")
+    known = classes.join(own, "d1").select("d1", "cid", "n", (F.col("n") - F.col("own")).alias("most"))
+    met = materialise(met.join(known, "d1").select("sig", "later", "cid", "n", "most"), "met")
     parts = _linked(src, classes, met, words, percent)
     named = classes.join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -322,7 +375,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 def _linked(src: DataFrame, classes: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:
     """(cid, component) of the classes that verified links connect, from the index
-    rows met (sig, later, cid, n, most, BITS). A pair of classes under a common key is left
+    rows met (sig, later, cid, n, most). A pair of classes under a common key is left
     out only when the two are in one component already, compared and found unlike,
     both under a key of the next level (similar ones meet under their own), or too
     unlike by their numbers: by their sizes, because their parities differ in more
@@ -362,14 +415,17 @@ def _linked(src: DataFrame, classes: DataFrame, met: DataFrame, words: int, perc
     pairs = met.join(first, "sig").select("cid", "n", "most", "f.*").where("cid <> v").where(like)
     pairs = materialise(pairs.groupBy("cid").agg(F.min("v").alias("v")).select(F.col("cid").alias("u"), "v"), "pairs")
     edges, tried, pivots = verified(pairs), pairs, PIVOTS
-    parts, rest = components(edges), met
+    parts, rest, bits = components(edges), met, []
     while True:
-        now = rest.join(parts, "cid", "left").select("sig", "later", "cid", "n", "most", *BITS, F.coalesce("component", "cid").alias("c"))
+        now = rest.join(parts, "cid", "left").select("sig", "later", "cid", "n", "most", *bits, F.coalesce("component", "cid").alias("c"))
         open_ = now.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig", "size")
         # one in a power of two of the classes, the same ones under every key: near
         # copies meet under many keys, and few of them should be pivots in all
         share = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("size") / pivots)))).cast("long")
-        rest = materialise(now.join(open_, "sig").withColumn("pivot", F.pmod(F.xxhash64("cid"), share) == 0), "open")
+        rest = now.join(open_, "sig").withColumn("pivot", F.pmod(F.xxhash64("cid"), share) == 0)
+        if not bits:  # parities take most of a row: only rows of open keys get them
+            rest, bits = rest.join(classes.select("cid", *BITS), "cid"), BITS
+        rest = materialise(rest, "open")
         if rest.isEmpty():
             return parts
         p = rest.where("pivot").select("sig", F.col("later").alias("later_v"), F.col("cid").alias("v"), F.col("n").alias("m"), F.col("most").alias("most_m"), F.col("c").alias("d"),

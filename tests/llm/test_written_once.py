@@ -29,6 +29,32 @@ def test_pipeline_frees_shuffles_between_stages(spark, monkeypatch, tmp_path):
     assert seen == ["true", "true"] and spark.conf.get(C.CLEANUP, None) == before
 
 
+def test_index_holds_shared_keys_only(spark, monkeypatch):
+    held, real = {}, ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, name, *a: held.setdefault(name, real(df, name, *a)))
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, text("a")), (2, text("a") + " x"), *((k, text(f"own{k}_")) for k in range(3, 9)), (9, text("own3_"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == {1: 1, 2: 1, **{k: k for k in range(3, 9)}, 9: 3}
+    index = held["index"].collect()
+    assert index and len({r["d1"] for r in index}) == 2
+    assert all(len({r["d1"] for r in index if r["sig"] == s}) == 2 for s in {r["sig"] for r in index})
+
+
+def test_words_are_hashed_whole():
+    heads = [b"a", b"b" * 8, b"c" * 9, b"d" * 64, b"e" * 65, b"f" * 200]
+    words = [h + t for h in heads for t in (b"", b"\0", b"z", b"\xc2\xa0", b"\x1c")]
+    start, h = ngram_join.word_hashes(b" \t".join(words) + b"\n" + b"\x0b".join(words))
+    assert len(start) == 2 * len(words) and len(set(h.tolist())) == len(words)
+    assert h[:len(words)].tolist() == h[len(words):].tolist()
+    # a text's set is the same whichever texts are hashed with it
+    texts = [b" ".join(words), b"", b" ", b"one", b"A b  c", b"a B c d e", b" ".join(words[::-1])]
+    alone = [next(ngram_join.token_sets(4, [t])).tolist() for t in texts]
+    assert [s.tolist() for s in ngram_join.token_sets(4, texts)] == [s.tolist() for s in ngram_join.token_sets(4, texts, 1)] == alone
+    assert [len(s) for s in alone] == [len(words) - 3, 0, 0, 1, 1, 2, len(words) - 3]
+
+
 def test_known_words_outlast_a_full_memory(monkeypatch):
     monkeypatch.setattr(tokens, "MEMORY", 6)
     words = tokens.WordIds(P.path("word_bpe_49k.json"))
