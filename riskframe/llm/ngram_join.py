@@ -398,8 +398,11 @@ def _linked(src: DataFrame, classes: DataFrame, met: DataFrame, words: int, perc
     sketches = materialise(texts_of(wanted).mapInArrow(partial(_named, words, make=sketch, kind="sketch"), "cid long, sketch binary"), "sketches")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x = sketches.select(F.col("cid").alias("u"), F.col("sketch").alias("x"))
-        y = sketches.select(F.col("cid").alias("v"), F.col("sketch").alias("y"))
+        # later rounds compare few classes: the sketches of the others are not moved
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("cid"))
+        some = sketches.join(F.broadcast(ends) if pairs.count() <= 250_000 else ends, "cid", "left_semi")
+        x = some.select(F.col("cid").alias("u"), F.col("sketch").alias("x"))
+        y = some.select(F.col("cid").alias("v"), F.col("sketch").alias("y"))
         left = materialise(pairs.select("u", "v").join(x, "u").join(y, "v").mapInArrow(partial(_possible, percent), "u long, v long").distinct(), "possible")
         ends = left.select(F.explode(F.array("u", "v")).alias("cid"), "u", "v")
         some = materialise(ends.select("cid").distinct().join(wanted, "cid"), "ends")

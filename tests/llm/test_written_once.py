@@ -1,9 +1,15 @@
 """What a stage writes once, and what it leaves behind."""
 
+import contextlib
+import glob
+import io
+import time
+
 import corpus_pipeline as C
 import numpy as np
 import public_tokenizers as P
-from riskframe.llm import ngram_join, tokens
+from pyspark.sql import functions as F
+from riskframe.llm import common, ngram_join, tokens
 
 
 def test_index_keys_are_made_once(spark, monkeypatch):
@@ -64,3 +70,36 @@ def test_known_words_outlast_a_full_memory(monkeypatch):
         if "blue" in text:  # the memory was full here: what this text needs stays
             assert b"red" in words.known and b"green" not in words.known
         assert len(words.known) <= 6 and all(len(w) <= tokens.LONGEST for w in words.known)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for d in disk.localDirsString() for f in glob.glob(f"{d}/*/shuffle_*")}
+    before, conf = held(), spark.conf.get(common.CLEANUP, None)
+    rows = common.materialise(spark.range(1000, numPartitions=3).withColumn("k", F.col("id") % 7).groupBy("k").count(), "freed")
+    for _ in range(100):  # files are removed in the background
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before and spark.conf.get(common.CLEANUP, None) == conf
+    assert rows.count() == 7
+
+
+def test_sketches_of_compared_classes_are_moved(spark, monkeypatch):
+    made, real = [], ngram_join.materialise
+
+    def keep(df, name, *a):
+        plan = io.StringIO()
+        with contextlib.redirect_stdout(plan):
+            df.explain()
+        made.append((name, plan.getvalue()))
+        return real(df, name, *a)
+
+    monkeypatch.setattr(ngram_join, "materialise", keep)
+    body = lambda k: [f"t{k}_{i}" for i in range(300)]
+    texts = [" ".join(["other", *body(k)[1:]] if second else body(k)) for k in range(5) for second in (0, 1)]
+    docs = spark.createDataFrame([*enumerate(texts), (50, texts[0] + " " + texts[2])], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(10)} | {50: 50}
+    plans = [plan for name, plan in made if name == "possible"]
+    assert plans and all(plan.count("LeftSemi") == 2 for plan in plans)
