@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from riskframe.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from riskframe.llm.common import materialise, table
+from riskframe.llm.common import CLEANUP, materialise, shuffles_freed, table  # noqa: F401
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,6 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_join", drop_near_copies),
           ("mixing", mix_sources), ("packing", pack)]
 
-#: Whether a query's shuffle files are removed when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 #: The last stage tokenizes and the first one learns, which SQL cannot say.
 ORACLE_SQL = None
 
@@ -54,11 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     the tables inside it, so a query's shuffle files go as soon as it has ended: waiting
     for the driver's garbage collector, they would pile up over the stages."""
     docs = table(spark, sf_dir, "documents")
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with shuffles_freed(spark):
         for name, stage in STAGES[:-1]:
             docs = materialise(stage(spark, docs, sf_dir), name)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return STAGES[-1][1](spark, docs, sf_dir)

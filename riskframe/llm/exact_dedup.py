@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialise, rows_with_number, text_batches
+from .common import SPACES, materialise, rows_with_number, small, text_batches
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 256, 16384, 10
 KEY_BYTES = 16
@@ -115,12 +115,18 @@ def exact_groups(docs: DataFrame, key_bytes: int = KEY_BYTES, number: str | None
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_groups does not keep; all columns stay, whatever
-    their names. Rows are judged one by one, by a number written with them: also rows
-    without a doc_id, several texts under one doc_id, and repeated rows, of which one
-    stays."""
-    rows = rows_with_number(docs, "doc_id", "text", name="rows")
+    their names. Only rows whose text has copies are written, with a number, and judged
+    one by one: also rows without a doc_id, several texts under one doc_id, and repeated
+    rows, of which one stays. The others are told by a hash of their text; a text that
+    shares the hash of one with copies is written and judged too. docs is read several
+    times and must give the same rows each time."""
+    found = exact_groups(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), number="key")
+    several = small(materialise(found.where("group_size > 1").select(F.col("row").alias("_key")).distinct(), "several"))
+    copied = F.xxhash64(docs["text"]) == several["_key"]
+    rows = rows_with_number(docs.join(several, copied, "left_semi"), "doc_id", "text", name="rows")
     gone = materialise(exact_groups(rows, number="at").where("NOT kept").select(F.col("row").alias("gone")), "gone")
-    return rows.select("row", "at").join(gone, F.col("at") == F.col("gone"), "left_anti").select("row.*")
+    kept = rows.select("row", "at").join(small(gone), F.col("at") == F.col("gone"), "left_anti").select("row.*")
+    return docs.join(several, copied, "left_anti").unionAll(kept)
 
 
 def _tell_apart(src: DataFrame, rows: DataFrame, chunks: DataFrame, clashes: DataFrame, key_bytes: int) -> DataFrame:

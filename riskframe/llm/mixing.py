@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, rows_with_number, spread
+from .common import materialise, spread
 
 #: Relative weight of a source at time 0, 1/2 and 1, by its rank: early, flat, late.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
@@ -64,7 +64,7 @@ def _position(share: Column, schedule: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeat: int = MAX_REPEAT,
-        schedules: tuple = SCHEDULES, seed: int = 42, row: str | None = None) -> DataFrame:
+        schedules: tuple = SCHEDULES, seed: int = 42, row: str | None = None, carry: str | None = None) -> DataFrame:
     """One row per row of docs (doc_id, source, text): doc_id, source, size,
     source_size, target, taken, laps, positions.
 
@@ -77,13 +77,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repea
     every lap that passes them. Rows that repeat a doc_id are rows of their own.
     The order depends on rows alone, so reruns agree. row names a column with a
     number of its own for every row, which is carried along; the text then orders
-    rows that agree in doc_id and number of words.
+    rows that agree in doc_id and number of words. carry names a column that goes
+    along as ``_carried``, whole texts too: rows are then not written first, and docs
+    is read twice and must give the same rows each time.
     """
     extra = [F.col(row).alias("_row"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_text")] if row else []
+    extra += [F.col(carry).alias("_carried")] if carry else []
     ties = ["_text", "_row"] if row else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                        word_count(F.col("text")).alias("size"), *extra)
-    rows = materialise(rows.withColumn("ord", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "mix")
+    rows = rows.withColumn("ord", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    rows = rows if carry else materialise(rows, "mix")
     n = rows.count()
     buckets = spread(n, 10_000)
     rows = rows.withColumn("bucket", (F.conv(F.substring("ord", 1, 8), 16, 10).cast("long") * buckets / F.lit(float(2**32))).cast("long"))
@@ -94,6 +98,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repea
     table = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in schedules])
     plan = plan.withColumn("schedule", F.element_at(table, (F.col("rank") % len(schedules) + 1).cast("int")))
     small = starts.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.*", "source_size", "target", "schedule")
+    if carry and sums.count() <= 500_000:  # a row for some 10,000 documents: whole rows are then dealt once, for the window
+        small = F.broadcast(small)
     joined = (rows.alias("r").join(small.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.bucket") == F.col("s.bucket")))
               .select("r.*", "ahead", "source_size", "target", "schedule"))
     upto = Window.partitionBy("source", "bucket").orderBy("ord", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
@@ -107,7 +113,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repea
     lap_list = F.when(F.col("laps") > 0, F.sequence(F.lit(0), F.col("laps") - 1)).otherwise(F.array().cast("array<int>"))
     places = F.transform(lap_list, lambda k: _position(
         F.least((k * F.col("source_size") + F.col("start") + F.col("size") / 2) / F.col("goal"), F.lit(1.0)), F.col("schedule")))
-    return d.select("doc_id", "source", "size", "source_size", "target", "taken", "laps", places.alias("positions"), *ties[1:])
+    return d.select("doc_id", "source", "size", "source_size", "target", "taken", "laps", places.alias("positions"), *ties[1:], *(["_carried"] if carry else []))
 
 
 def curriculum(docs: DataFrame, **options) -> DataFrame:
@@ -124,13 +130,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row per document and lap, range-sorted by training
     position, with the columns of docs. A lap taken in part has the text's first
     words, one space apart, and n_chars (where docs has it) of that text. Every row
-    keeps its own text, also where doc_id is null or repeated: rows are written with
-    a number, and the mix is joined to them by it. Input columns may have any names."""
-    d = rows_with_number(docs, "doc_id", "source", "text", name="rows")
-    whole = mix(d, row="at", **options)
-    m = whole.select(F.col("_row").alias("of"), F.col("doc_id").alias("id"), "size", "laps",
-                     (F.col("taken") - F.col("size") * (F.col("laps") - 1)).alias("last"), F.posexplode("positions").alias("lap", "position"))
-    joined = d.select("row", "at").join(m, F.col("at") == F.col("of"))
+    keeps its own text, also where doc_id is null or repeated: rows go through the mix
+    whole and are written with their places, once, before the laps are sorted. Input
+    columns may have any names. docs is read twice and must give the same rows each time."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    d = (docs.select(row.alias("row"), F.monotonically_increasing_id().alias("at"))
+         .select("row", "at", *[F.col("row")[c].alias(c) for c in ("doc_id", "source", "text")]))
+    whole = materialise(mix(d, row="at", carry="row", **options).where("laps > 0"), "mixed", "zstd")
+    joined = whole.select(F.col("_carried").alias("row"), F.col("_row").alias("at"), F.col("doc_id").alias("id"), "size", "laps",
+                          (F.col("taken") - F.col("size") * (F.col("laps") - 1)).alias("last"), F.posexplode("positions").alias("lap", "position"))
     text = F.col("row")["text"]
     part = (F.col("lap") == F.col("laps") - 1) & (F.col("last") < F.col("size"))
     words = F.filter(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " +"), lambda w: w != "")

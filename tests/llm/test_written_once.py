@@ -9,7 +9,7 @@ import corpus_pipeline as C
 import numpy as np
 import public_tokenizers as P
 from pyspark.sql import functions as F
-from riskframe.llm import common, ngram_join, tokens
+from riskframe.llm import common, exact_dedup, mixing, ngram_join, tokens
 
 
 def test_index_keys_are_made_once(spark, monkeypatch):
@@ -103,3 +103,23 @@ def test_sketches_of_compared_classes_are_moved(spark, monkeypatch):
     assert got == {i: i - i % 2 for i in range(10)} | {50: 50}
     plans = [plan for name, plan in made if name == "possible"]
     assert plans and all(plan.count("LeftSemi") == 2 for plan in plans)
+
+
+def test_stages_write_no_row_twice(spark, monkeypatch):
+    made, real = {}, common.materialise
+
+    def keep(df, name, *a):
+        made[name] = real(df, name, *a)
+        return made[name]
+
+    for module in (common, exact_dedup, mixing):
+        monkeypatch.setattr(module, "materialise", keep)
+    rows = [(1, "a b", "s"), (2, "ab", "s"), (None, "ab", "t"), *[(k, f"own{k}", "t") for k in range(3, 40)], (40, None, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = exact_dedup.drop_copies(docs)
+    assert sorted((r.doc_id for r in left.collect())) == [1, *range(3, 41)] and left.columns == docs.columns
+    assert made["rows"].count() == 3  # those with copies alone
+    made.clear()
+    mixed = mixing.mixed_documents(docs, weights=(1.0,), max_repeat=1)
+    assert sorted(map(tuple, mixed.select("doc_id", "text").collect()), key=str) == sorted(((i, t) for i, t, _ in rows), key=str)
+    assert "rows" not in made and "mix" not in made and made["mixed"].count() == len(rows)
