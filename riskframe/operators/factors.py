@@ -18,6 +18,7 @@ are functions of that array.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from math import factorial
 
@@ -32,6 +33,7 @@ from ..session import scratch_path
 from .explain import BAR_FLOOR, TOP_N
 
 MAX_BACKGROUND = 1000
+MAX_GRID = 4_000_000  # numbers in a forest's tables over the cells between its cuts
 FACTORS = "array<struct<feature:string,value:double,shap_value:double>>"
 
 
@@ -142,12 +144,67 @@ def tree_shap(x: np.ndarray, background: np.ndarray, trees: list) -> np.ndarray:
     return phi / max(1, len(trees))
 
 
+def grid_tables(background: np.ndarray, trees: list, n_features: int):
+    """(cuts of each feature, {features: table}): all trees together as one table over the
+    cells between their cuts, and for every set of features the mean over the background of
+    that table with the other features as the background row has them. None where the
+    tables would hold more than ``MAX_GRID`` numbers."""
+    bounds: list[set] = [set() for _ in range(n_features)]
+    boxes = [(box, share) for leaves in trees for box, share in leaves if share]
+    for box, _ in boxes:
+        for f, sides in box.items():
+            bounds[f].update(b for b in sides if np.isfinite(b))
+    cuts = [np.array(sorted(b), float) for b in bounds]
+    widths = [len(c) + 1 for c in cuts]
+    if n_features > 10 or math.prod(w + 1 for w in widths) > MAX_GRID:
+        return None
+    first, end = np.zeros((len(boxes), n_features), np.int64), np.tile(np.array(widths), (len(boxes), 1))
+    for i, (box, _) in enumerate(boxes):
+        for f, (low, high) in box.items():
+            if np.isfinite(low):
+                first[i, f] = np.searchsorted(cuts[f], low) + 1
+            if np.isfinite(high):
+                end[i, f] = np.searchsorted(cuts[f], high) + 1
+    share = np.array([s for _, s in boxes]) / max(1, len(trees))
+    whole = np.zeros([w + 1 for w in widths])  # a leaf's box by its corners
+    for corner in range(1 << n_features):
+        at = tuple(np.where(corner >> f & 1, end[:, f], first[:, f]) for f in range(n_features))
+        np.add.at(whole, at, -share if corner.bit_count() % 2 else share)
+    for f in range(n_features):
+        np.cumsum(whole, axis=f, out=whole)
+    whole = whole[tuple(slice(w) for w in widths)]
+    there = [np.searchsorted(c, background[:, f], "left") for f, c in enumerate(cuts)]
+    tables = {}
+    for code in range(1 << n_features):
+        own = tuple(f for f in range(n_features) if code >> f & 1)
+        tables[own] = sum(whole[tuple(slice(None) if f in own else there[f][z] for f in range(n_features))] for z in range(len(background))) / len(background)
+    return cuts, tables
+
+
+def grid_shap(x: np.ndarray, cuts: list[np.ndarray], tables: dict) -> np.ndarray:
+    """Factors of standardised rows from ``grid_tables``: the weighted gains of each feature
+    over the sets without it, a lookup per set and row. Equal to ``tree_shap``."""
+    m = len(cuts)
+    at = [np.searchsorted(c, np.nan_to_num(x[:, f]), "left") for f, c in enumerate(cuts)]
+    value = {own: np.broadcast_to(t[tuple(at[f] for f in own)], len(x)) for own, t in tables.items()}
+    phi = np.zeros((len(x), m))
+    for own, v in value.items():
+        size = len(own)
+        for f in range(m):
+            if f in own:
+                phi[:, f] += v * (factorial(size - 1) * factorial(m - size) / factorial(m))
+            else:
+                phi[:, f] -= v * (factorial(size) * factorial(m - size - 1) / factorial(m))
+    return phi
+
+
 def tree_factors(df: DataFrame, background: DataFrame, pipeline, out: str = "factors") -> DataFrame:
     """df with the factors of a fitted tree or forest for every row, in one narrow pass.
 
     Factors and the background's mean probability add up to the row's probability. A
     row with a missing feature has no factors (null). Batches are Arrow batches; the
-    leaves are sent to the tasks once.
+    tables of ``grid_tables`` are sent to the tasks once, or the leaves where those would
+    be too large.
     """
     from .models import standardised_columns
     features = standardised_columns(pipeline)
@@ -155,22 +212,22 @@ def tree_factors(df: DataFrame, background: DataFrame, pipeline, out: str = "fac
     base = (background_rows(background, features) - mean) / dev
     if np.isnan(base).any():
         raise ValueError("the background has missing values")
-    sent = df.sparkSession.sparkContext.broadcast((trees, base))
+    grid = grid_tables(base, trees, len(features))
+    sent = df.sparkSession.sparkContext.broadcast((None if grid else trees, base, grid))
     own = [c for c in df.columns if c != out]
     d = df.select(*[col(c) for c in own], F.array(*[col(f).cast("double") for f in features]).alias(out))
-    kind = pa.list_(pa.struct([("feature", pa.string()), ("value", pa.float64()), ("shap_value", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, base = sent.value
+        trees, base, grid = sent.value
+        m = len(features)
         for batch in batches:
-            place = batch.schema.names.index(out)
-            x = np.array([[np.nan if v is None else v for v in r] for r in batch.column(place).to_pylist()], float).reshape(-1, len(features))
-            phi = tree_shap((x - mean) / dev, base, trees)
-            whole = ~np.isnan(x).any(axis=1)
-            rows = [[{"feature": f, "value": v, "shap_value": p} for f, v, p in zip(features, xs, ps, strict=True)] if ok else None
-                    for xs, ps, ok in zip(x.tolist(), phi.tolist(), whole.tolist(), strict=True)]
-            cols = [batch.column(i) for i in range(len(own))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, kind)], [*own, out])
+            x = batch.column(batch.schema.names.index(out)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, m)
+            z = (x - mean) / dev
+            phi = grid_shap(z, *grid) if grid else tree_shap(z, base, trees)
+            one = pa.StructArray.from_arrays([pa.array(np.tile(np.array(features, object), len(x)), pa.string()), pa.array(x.ravel()), pa.array(phi.ravel())],
+                                             ["feature", "value", "shap_value"])
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, m * len(x) + 1, m), pa.int32()), one, mask=pa.array(np.isnan(x).any(axis=1)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(own))], rows], [*own, out])
     schema = df.select(*[col(c) for c in own]).schema.add(out, _type(FACTORS))
     return d.mapInArrow(run, schema)
 
